@@ -7,10 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sharding
+from . import quality_rules, sharding, substring_dedup, token_records
 from .common import table
 
 
+def tokenizer_path(name: str) -> str:
+    """A vocabulary file of the public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token records, from the index of the files that were read back."""
+    path = token_records.write_records(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+    index = token_records.read_index(spark, token_records.write_index(spark, path))
+    return index.select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset")
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What 50-word windows of earlier documents leave of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards under the law `rows`, read back from the written shards."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -32,7 +52,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_sharding, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_token_records, op2_substring_dedup, op7_sharding, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
