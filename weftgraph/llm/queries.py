@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sharding, substring_dedup, token_records
+from . import near_dedup, piece_lattice, quality_rules, sharding, substring_dedup, token_records, toxicity
 from .common import table
 
 
@@ -31,6 +31,18 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from two thirds of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document, on 2-word shingles at 0.8."""
+    return near_dedup.label_near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards under the law `rows`, read back from the written shards."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -51,8 +63,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_measures(table(spark, sf_dir, "documents"))
 
 
+def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four best segmentations of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_lattice.segmentations(docs, tokenizer_path("piece_bpe_32k.model"), 4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_records, op2_substring_dedup, op7_sharding, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_token_records, op2_substring_dedup, op3_toxicity, op5_near_dedup, op7_sharding, op9_quality_rules, op10_piece_lattice)}
 
 
 def oracle_sql() -> dict[str, str]:
