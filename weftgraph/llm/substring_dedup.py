@@ -165,7 +165,7 @@ def repeats(docs: DataFrame, window: int = 50, anchor: int = 12, chunk_bytes: in
     branches = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor")
     heads = classes.join(branches, "anchor", "left_semi").select("anchor", "source.*")
     windows = stored(_windows(heads, keyed, window), "windows")
-    earliest = windows.groupBy("anchor", "code").agg(F.min("doc").alias("_first"))
+    earliest = stored(windows.groupBy("anchor", "code").agg(F.min("doc").alias("_first")), "earliest")  # then a hot key's rows can be split
     whole = shared.join(classes.select("anchor", "code", F.col("source.doc").alias("_first")), ["anchor", "code"]).where("_first < doc")
     single = windows.join(earliest, ["anchor", "code"]).where("_first < doc")
     return whole.select("doc", "row", "start", "size").unionByName(single.select("doc", "row", "start", F.lit(1).alias("size")))
