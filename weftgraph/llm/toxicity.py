@@ -30,14 +30,14 @@ from .common import as_bytes
 
 @dataclass(frozen=True)
 class Settings:
-    docs_per_class: int = 2000
-    passages_per_doc: int = 40
+    docs_per_class: int = 1500
+    passages_per_doc: int = 24
     passage_words: int = 48
-    grams: tuple[int, int] = (3, 5)
-    buckets: int = 1 << 16
+    grams: tuple[int, int] = (3, 6)
+    buckets: int = 1 << 17
     dim: int = 8
     batches: int = 24
-    epochs: int = 12
+    epochs: int = 9
     rate: float = 0.5
     seed: int = 11
 
@@ -139,12 +139,13 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """Trains on a bounded sample of the labelled documents (columns doc_id and toxic of labels)."""
-    marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     counts = dict(marked.groupBy("toxic").count().collect())
     # a hash below the class's share keeps about docs_per_class of each class
+    rates = {k: min(1.0, s.docs_per_class / n) for k, n in counts.items()}
     share = F.lit(0.0)
-    for k, n in counts.items():
-        share = F.when(F.col("toxic") == k, F.lit(min(1.0, s.docs_per_class / n))).otherwise(share)
+    for k, rate in rates.items():
+        share = F.when(F.col("toxic") == k, F.lit(rate)).otherwise(share)
     chosen = marked.where(F.pmod(F.xxhash64(F.lit(s.seed), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     chosen = F.broadcast(chosen)  # about twice docs_per_class rows
 
@@ -164,7 +165,10 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
 
     sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic").mapInArrow(run, "passage binary, toxic int").toPandas()
     order = sorted(range(len(sample)), key=lambda i: (bytes(sample.passage[i]), sample.toxic[i]))  # the order of arrival must not matter
-    return train([bytes(sample.passage[i]).split() for i in order], sample.toxic.to_numpy()[order], s)
+    model = train([bytes(sample.passage[i]).split() for i in order], sample.toxic.to_numpy()[order], s)
+    if len(counts) == 2:  # classes were sampled at different rates
+        model.bias -= float(np.log(rates[1] / rates[0]))
+    return model
 
 
 def score(docs: DataFrame, model: Model, s: Settings = Settings(), threshold: float = 0.7) -> DataFrame:
