@@ -1,7 +1,8 @@
 """Toxicity scores from subword-bag embeddings and a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams, each a row of a hashed embedding table; a word's vector is the
-mean of its n-grams', a passage's the mean of its words', and a linear softmax on it gives the passage's
+mean of its n-grams', a passage's the mean of its different words' (of `Settings.least_words` at least, so that a
+word repeated on its own weighs little), and a linear softmax on it gives the passage's
 probability. A misspelling shares most n-grams with the word it spells. A text's score is that of its most
 toxic passage, over all passages of the whole text.
 
@@ -16,6 +17,7 @@ are that class's rate; repeated rows get equal scores; an empty table gives no r
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,6 +35,7 @@ class Settings:
     docs_per_class: int = 1500
     passages_per_doc: int = 24
     passage_words: int = 48
+    least_words: int = 24
     grams: tuple[int, int] = (3, 6)
     buckets: int = 1 << 17
     dim: int = 8
@@ -64,8 +67,9 @@ class Model:
 
 def _batch(passages: list[list[bytes]], s: Settings):
     place: dict[bytes, int] = {}
-    tokens = np.array([place.setdefault(w, len(place)) for p in passages for w in p], np.int64)
-    sizes = np.array([len(p) for p in passages])
+    bags = [sorted(set(p)) for p in passages]
+    tokens = np.array([place.setdefault(w, len(place)) for p in bags for w in p], np.int64)
+    sizes = np.array([len(p) for p in bags])
     grams = [gram_ids(w, s) for w in place]
     counts = np.array([len(g) for g in grams])
     rows, local = np.unique(np.concatenate([np.array(g, np.int64) for g in grams]), return_inverse=True)
@@ -90,14 +94,15 @@ def train(passages: list[list[bytes]], labels: np.ndarray, s: Settings = Setting
             (tokens, sizes, local, counts, rows), y = batches[b]
             e = table[rows]
             words = np.add.reduceat(e[local], np.cumsum(counts) - counts) / counts[:, None]
-            mean = np.add.reduceat(words[tokens], np.cumsum(sizes) - sizes) / sizes[:, None]
+            over = np.maximum(sizes, s.least_words)[:, None]
+            mean = np.add.reduceat(words[tokens], np.cumsum(sizes) - sizes) / over
             z = mean @ soft + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(y)), y] -= 1
             p /= len(y)
             g_soft, g_bias = mean.T @ p, p.sum(axis=0)
-            g_mean = (p @ soft.T) / sizes[:, None]
+            g_mean = (p @ soft.T) / over
             at = np.repeat(np.arange(len(sizes)), sizes)
             of_word = np.repeat(np.arange(len(counts)), counts)
             for k in range(s.dim):
@@ -129,9 +134,9 @@ class Scorer:
             known = self.known
             for w in set(words).difference(known):
                 self._weight(w)
-            values = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-            starts = passage_starts(len(words), self.s.passage_words)
-            top = float((np.add.reduceat(values, starts) / np.diff(np.append(starts, len(words)))).max())
+            starts = passage_starts(len(words), self.s.passage_words).tolist()
+            bags = (set(words[a:b]) for a, b in zip(starts, [*starts[1:], len(words)]))
+            top = max(math.fsum(map(known.__getitem__, bag)) / max(len(bag), self.s.least_words) for bag in bags)
             if len(known) > self.most:
                 known.clear()
         return float(1 / (1 + np.exp(-np.clip(top + self.model.bias, -50, 50))))
