@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, piece_lattice, quality_rules, sharding, substring_dedup, token_records, toxicity
+from . import decontamination, edit_counts, language_id, near_dedup, piece_lattice, quality_rules, sharding, substring_dedup, token_records, toxicity
 from .common import table
 
 
@@ -38,11 +38,37 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page; text likelihoods are learnt from the documents."""
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document, on 2-word shingles at 0.8."""
     return near_dedup.label_near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def scripted_edits(text: str = "text", doc_id: str = "doc_id"):
+    """Three edits of a document, fixed by its id: words put in, characters replaced, characters taken out."""
+    size = F.coalesce(F.length(text), F.lit(0))
+    at = lambda k: F.pmod(F.xxhash64(F.lit(k), doc_id), size + 1)
+    drop = lambda k: F.pmod(F.xxhash64(F.lit(k + 10), doc_id), F.lit(40))
+    edit = lambda at, drop, put: F.struct(at.cast("long").alias("at"), drop.cast("long").alias("drop"), put.alias("put"))
+    return F.array(
+        edit(at(1), F.lit(0), F.lit(" an inserted phrase, 42 ")),
+        edit(at(2), drop(2), F.concat(F.lit("re"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("-written"))),
+        edit(at(3), drop(3), F.lit("")),
+    )
+
+
+def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return edit_counts.count_edits(docs, scripted_edits(), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards under the law `rows`, read back from the written shards."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,6 +84,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All verified benchmark items of every document."""
+    return decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return quality_rules.quality_measures(table(spark, sf_dir, "documents"))
@@ -70,7 +101,11 @@ def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_records, op2_substring_dedup, op3_toxicity, op5_near_dedup, op7_sharding, op9_quality_rules, op10_piece_lattice)}
+    found = (
+        op1_token_records, op2_substring_dedup, op3_toxicity, op4_language_id, op5_near_dedup,
+        op6_edit_counts, op7_sharding, op8_decontamination, op9_quality_rules, op10_piece_lattice,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
