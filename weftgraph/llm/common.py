@@ -9,7 +9,8 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The ASCII white space that ends a word; bytes.split() cuts at just these.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -47,6 +48,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def col(name: str) -> Column:
+    """A column by its plain name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, *left_out: str) -> list[str]:
+    """The columns of df that pass through: those not named like a result column."""
+    return [c for c in df.columns if c not in left_out]
+
+
+def fields(df: DataFrame, names: list[str]) -> str:
+    """The schema of some columns as text."""
+    return ", ".join("`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString() for f in df.schema if f.name in names)
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow that also takes column names with dots; run gets the columns by position."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, schema)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of each text, without decoding them."""
     if isinstance(column, pa.ChunkedArray):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, in_arrow
 
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 HITS = "item_id long, passage_start int, score double, question_overlap double, answer_overlap double"
@@ -246,13 +246,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Dat
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The documents without a verified hit, with all their columns; judged row by row, without a join."""
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
     for index in indexes(benchmark, s):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not document_hits(t, shared.value) for t in as_bytes(batch.column(at))], pa.bool_()))
+                yield batch.filter(pa.array([not document_hits(t, shared.value) for t in as_bytes(batch.column(at))], pa.bool_())).rename_columns(names)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = in_arrow(docs, run, docs.schema)
     return docs

@@ -11,7 +11,8 @@ text comes in their place. Edits apply in the order of the array.
 
 Defined cases: a null text counts as empty; null or empty edits change nothing; offsets beyond the text count
 as its end, negative ones as 0; null fields count as 0 or as the empty text; repeated rows give equal results;
-an empty table gives no rows; other columns pass through untouched.
+an empty table gives no rows; other columns pass
+through, but for those named like a result column.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import col, fields, in_arrow, others
+
 EDITS = "array<struct<at:long,drop:long,put:string>>"
 SCHEMA = "tokens_before long, tokens_after long, reencoded long, edits_applied int"
 
@@ -101,7 +104,8 @@ class CountTree:
             self.__init__(new, self.counter)
             self.reencoded += self.total
             return
-        first, start = self._slot_at(max(0, at - 1))
+        # a pre-token can look two characters past its end: those that end this near the edit are split anew
+        first, start = self._slot_at(max(0, at - 4))
         last, last_end = first, start + self.chars[first + self.width]
         shift, place, parts = len(new) - len(old), start, []
         while True:
@@ -135,7 +139,7 @@ def counter(ranks_path: str, pattern: str) -> Counter:
 def count_edits(docs: DataFrame, edits: Column, ranks_path: str, pattern: str) -> DataFrame:
     """docs without their text, with the token counts before and after the edits, the tokens that the edits
     re-encoded and the number of edits. edits: a column of EDITS."""
-    names = [c for c in docs.columns if c != "text"]
+    names = others(docs, "text", *(x.split()[0] for x in SCHEMA.split(", ")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(ranks_path, pattern)
@@ -153,8 +157,8 @@ def count_edits(docs: DataFrame, edits: Column, ranks_path: str, pattern: str) -
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*names, *(x.split()[0] for x in SCHEMA.split(", "))])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), SCHEMA])
-    return docs.select(*[docs[c] for c in names], docs["text"], edits.cast(EDITS).alias("_edits")).mapInArrow(run, schema)
+    schema = ", ".join([*filter(None, [fields(docs, names)]), SCHEMA])
+    return in_arrow(docs.select(*map(col, names), "text", edits.cast(EDITS).alias("_edits")), run, schema)
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ can differ from their best in the N best of the whole text, so the A-star search
 combined. A character without a piece is spelled with byte pieces.
 
 Defined cases: null counts as empty and has one segmentation without pieces; equal scores go to smaller ids of the last piece (best) or of all pieces (the others);
-repeated rows get equal results; an empty table gives no rows; other columns pass through untouched.
+repeated rows get equal results; an empty table gives no rows; other columns pass
+through, but for those named like a result column.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import col, fields, in_arrow, others
+
 MARK = "▁"
 #: Where a text falls into segments: a line end alone, spaces before a word, spaces before a line end or the end.
 SEGMENT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
@@ -203,7 +206,7 @@ def segmentations(docs: DataFrame, model_path: str, n: int = 4, with_ids: bool =
     scores and nbest_crc32 (of the ids as little-endian unsigned 32-bit integers) go from the best on;
     decoded_equal tells that the best decodes to the text.
     """
-    names = [c for c in docs.columns if c != "text"]
+    names = others(docs, "text", *(x.split()[0] for x in SCHEMA.split(", ")), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(model_path)
@@ -220,13 +223,13 @@ def segmentations(docs: DataFrame, model_path: str, n: int = 4, with_ids: bool =
             out = [*(batch.column(k) for k in range(len(names))), *(pa.array(c, k) for c, k in zip(columns, kinds))]
             yield pa.RecordBatch.from_arrays(out + ([pa.array(best_ids, pa.list_(pa.int32()))] if with_ids else []), names=[*names, *(x.split()[0] for x in SCHEMA.split(", ")), *(["ids"] if with_ids else [])])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), SCHEMA, *(["ids array<int>"] if with_ids else [])])
-    return docs.select(*[docs[c] for c in names], docs["text"]).mapInArrow(run, schema)
+    schema = ", ".join([*filter(None, [fields(docs, names)]), SCHEMA, *(["ids array<int>"] if with_ids else [])])
+    return in_arrow(docs.select(*map(col, names), "text"), run, schema)
 
 
 def decode_ids(rows: DataFrame, model_path: str) -> DataFrame:
     """rows with a column ids: the same rows with `text`, the decoded ids, in its place."""
-    names = [c for c in rows.columns if c != "ids"]
+    names = others(rows, "ids", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(model_path)
@@ -234,5 +237,5 @@ def decode_ids(rows: DataFrame, model_path: str) -> DataFrame:
             texts = [model.decode(x or []) for x in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(texts, pa.string())], names=[*names, "text"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "ids"), "text string"])
-    return rows.select(*[rows[c] for c in names], rows["ids"]).mapInArrow(run, schema)
+    schema = ", ".join([*filter(None, [fields(rows, names)]), "text string"])
+    return in_arrow(rows.select(*map(col, names), "ids"), run, schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CONTINUATION, SPACE, as_bytes, chunks, word_ids
+from .common import CONTINUATION, SPACE, as_bytes, chunks, in_arrow, word_ids
 from .suffix_repeats import covered, longest_repeats
 
 SYMBOLS = b"#*$%&|<>"
@@ -100,6 +100,6 @@ def filter_quality(docs: DataFrame, limits: Limits = Limits(), chunk_bytes: int
         for batch in batches:
             texts = as_bytes(batch.column(at))
             kept = [measure(texts[part], limits)["kept"] for part in chunks(texts, chunk_bytes)]
-            yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
+            yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool))).rename_columns(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

@@ -6,8 +6,8 @@ record in the whole is the number of records in the buckets before plus its plac
 are equal ranges of places, so their row counts are at most one apart (the law `rows`).
 
 Defined cases: null ids and null texts are records as any other (a null text has no bytes); repeated rows
-are kept, each at a place of its own; an empty table gives no rows. Columns of any name pass through:
-bucket and place names are made new.
+are kept, each at a place of its own; an empty table gives no rows. Other columns pass through, but for
+those named shard or slot.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import col, others, shared_path
 
 #: Bytes of overhead that a record counts besides its text.
 RECORD_OVERHEAD = 16
@@ -31,19 +31,20 @@ def external_shuffle(docs: DataFrame, shards: int, seed: int = 17, bucket_bytes:
     bucket_bytes bounds what one task holds of a bucket; there are `buckets_per_shard` buckets for each shard
     at least. Places need the row counts of the buckets, a table of as many rows as there are buckets.
     """
-    kept = docs.columns
+    kept = others(docs, "shard", "slot")
     total, n = docs.select(F.sum(record_size()), F.count(F.lit(1))).first()
     n_buckets = max(shards * buckets_per_shard, -(-(total or 0) // bucket_bytes))
     # the id alone names most records; where it is null, the text does
-    scattered = docs.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.xxhash64("text"))), F.lit(n_buckets)).cast("int"))
-    counts = scattered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.xxhash64("text"))), F.lit(n_buckets)).cast("int")
+    scattered = docs.select(F.struct(*map(col, kept)).alias("_record"), bucket.alias("_bucket"))
+    counts = docs.select(bucket.alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     before = counts.selectExpr("_bucket", "sum(_rows) OVER (ORDER BY _bucket) - _rows AS _before")
     if n_buckets <= 1 << 16:  # 24 bytes each
         before = F.broadcast(before)
     dealt = (
         scattered.repartition("_bucket")
         .groupBy("_bucket")
-        .agg(F.array_sort(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in kept]))).alias("_records"))
+        .agg(F.array_sort(F.collect_list("_record")).alias("_records"))
         .sortWithinPartitions("_bucket")  # shuffle() draws from one stream for each partition
         .select("_bucket", F.shuffle("_records", F.lit(seed)).alias("_records"))
         .select("_bucket", F.posexplode("_records").alias("_at", "_record"))
@@ -52,7 +53,7 @@ def external_shuffle(docs: DataFrame, shards: int, seed: int = 17, bucket_bytes:
         .withColumn("_shard", F.expr(f"(_place * {shards}) div {max(n, 1)}").cast("int"))
     )
     return dealt.select(
-        *[F.col(f"_record.`{c}`").alias(c) for c in kept if c not in ("shard", "slot")],
+        "_record.*",
         F.col("_shard").alias("shard"),
         F.expr(f"_place - (CAST(_shard AS BIGINT) * {n} + {shards - 1}) div {shards}").alias("slot"),
     )

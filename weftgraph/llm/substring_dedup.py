@@ -15,7 +15,8 @@ is exact up to collisions of 128 hash bits, at any number of copies.
 
 Defined cases: a null text has no words and stays null; texts of fewer than `window` words lose nothing;
 rows with a null id count as after all others; rows with equal ids count as one document (they don't remove
-from each other); an empty table gives no rows. Other columns pass through, whatever their names.
+from each other); an empty table gives no rows. Other columns pass through, but for those named like a
+result column.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, stored
+from .common import as_bytes, chunks, col, fields, in_arrow, others, stored
 from .suffix_repeats import covered
 
 #: Odd bases of the two polynomial hashes, modulo 2**64.
@@ -177,10 +178,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 12, chunk_by
     A text that loses words becomes its other words joined by one space; the others stay as they are.
     kept_sha256 is that of the kept words joined by one space.
     """
-    names, at = docs.columns, docs.columns.index("text")
+    added = ("n_words", "n_removed", "kept_sha256")
+    names = others(docs, *added)
+    at = names.index("text")
     marks = repeats(docs, window, anchor, chunk_bytes).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "size")).alias("_marks"))
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_row": F.xxhash64("text")})
-    joined = keyed.join(marks, (keyed["_doc"] == marks["doc"]) & (keyed["_row"] == marks["row"]), "left").select(*[keyed[c] for c in names], "_marks")
+    keyed = docs.select(F.struct(*map(col, names)).alias("_rec"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("row"))
+    joined = keyed.join(marks, ["doc", "row"], "left").select("_rec.*", "_marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +201,6 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 12, chunk_by
                 if n_removed[-1]:
                     texts[i] = kept
             columns = [pa.array(texts, pa.binary()).cast(pa.string()) if k == at else batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest)], names=[*names, "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest)], names=[*names, *added])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(run, f"{schema}, n_words long, n_removed long, kept_sha256 string")
+    return in_arrow(joined, run, f"{fields(docs, names)}, n_words long, n_removed long, kept_sha256 string")
