@@ -18,7 +18,7 @@ are that class's rate; repeated rows get equal scores; an empty table gives no r
 from __future__ import annotations
 
 import math
-import zlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,11 +45,23 @@ class Settings:
     seed: int = 11
 
 
-def gram_ids(word: bytes, s: Settings) -> list[int]:
-    """Buckets of a word's character n-grams."""
-    w = f"<{word.decode('utf-8', 'replace').lower()}>"
-    found = {w[i : i + n] for n in range(s.grams[0], s.grams[1] + 1) for i in range(max(1, len(w) - n + 1))}
-    return [zlib.crc32(g.encode()) % s.buckets for g in sorted(found)]
+def gram_buckets(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """For each character n-gram of the words, in order of the words: the word's place and the n-gram's bucket."""
+    texts = [f"<{w.decode('utf-8', 'replace').lower()}>" for w in words]
+    sizes = np.array(list(map(len, texts)), np.int64)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    word, end = np.repeat(np.arange(len(texts)), sizes), np.repeat(np.cumsum(sizes), sizes)
+    at, h, owners, buckets = np.arange(len(flat)), np.zeros(len(flat) + 1, np.uint64), [], []
+    for n in range(1, s.grams[1] + 1):
+        h = h[:-1] * np.uint64(0x100000001B3) + flat[n - 1 :]
+        if n >= s.grams[0]:
+            inside = at[: len(h)] + n <= end[: len(h)]
+            mixed = (h[inside] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+            owners.append(word[: len(h)][inside])
+            buckets.append(((mixed >> np.uint64(32)) % np.uint64(s.buckets)).astype(np.int64))
+    owner, bucket = np.concatenate(owners), np.concatenate(buckets)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], bucket[order]
 
 
 def passage_starts(n: int, size: int) -> np.ndarray:
@@ -70,9 +82,9 @@ def _batch(passages: list[list[bytes]], s: Settings):
     bags = [sorted(set(p)) for p in passages]
     tokens = np.array([place.setdefault(w, len(place)) for p in bags for w in p], np.int64)
     sizes = np.array([len(p) for p in bags])
-    grams = [gram_ids(w, s) for w in place]
-    counts = np.array([len(g) for g in grams])
-    rows, local = np.unique(np.concatenate([np.array(g, np.int64) for g in grams]), return_inverse=True)
+    owner, bucket = gram_buckets(list(place), s)
+    counts = np.bincount(owner, minlength=len(place))
+    rows, local = np.unique(bucket, return_inverse=True)
     return tokens, sizes, local, counts, rows
 
 
@@ -119,27 +131,44 @@ def train(passages: list[list[bytes]], labels: np.ndarray, s: Settings = Setting
 
 
 class Scorer:
+    """Scores of texts; the weight of each different word is worked out once."""
+
     def __init__(self, model: Model, s: Settings, most: int = 600_000):
         self.model, self.s, self.most, self.known = model, s, most, {}
 
-    def _weight(self, word: bytes) -> float:
-        found = float(self.model.weights[gram_ids(word, self.s)].mean())
-        self.known[word] = found
-        return found
-
-    def __call__(self, text: bytes | None) -> float:
-        words = text.split() if text else []
-        top = 0.0
-        if words:
-            known = self.known
-            for w in set(words).difference(known):
-                self._weight(w)
-            starts = passage_starts(len(words), self.s.passage_words).tolist()
-            bags = (set(words[a:b]) for a, b in zip(starts, [*starts[1:], len(words)]))
-            top = max(math.fsum(map(known.__getitem__, bag)) / max(len(bag), self.s.least_words) for bag in bags)
-            if len(known) > self.most:
-                known.clear()
-        return float(1 / (1 + np.exp(-np.clip(top + self.model.bias, -50, 50))))
+    def learn(self, words: set[bytes]) -> None:
+        new = list(words.difference(self.known))
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            owner, bucket = gram_buckets(part, self.s)
+            mean = np.bincount(owner, self.model.weights[bucket], len(part)) / np.bincount(owner, minlength=len(part))
+            self.known.update(zip(part, mean.tolist()))
+
+    def __call__(self, texts: list[bytes | None]) -> list[float]:
+        out = []
+        for k in range(0, len(texts), 256):
+            split = [t.split() if t else [] for t in texts[k : k + 256]]
+            if len(self.known) > self.most:
+                self.known.clear()
+            self.learn(set().union(*split))
+            weight = self.known.__getitem__
+            for words in split:
+                starts = passage_starts(len(words), self.s.passage_words).tolist()
+                bags = (set(words[a:b]) for a, b in zip(starts, [*starts[1:], len(words)]))
+                top = max(math.fsum(map(weight, bag)) / max(len(bag), self.s.least_words) for bag in bags)
+                out.append(1 / (1 + math.exp(-min(50.0, max(-50.0, top + self.model.bias)))))
+        return out
+
+
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer(name: str, model: Model, s: Settings) -> Scorer:
+    """One scorer for each worker process and model."""
+    if name not in _scorers:
+        _scorers.clear()
+        _scorers[name] = Scorer(model, s)
+    return _scorers[name]
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
@@ -178,12 +207,12 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
 
 def score(docs: DataFrame, model: Model, s: Settings = Settings(), threshold: float = 0.7) -> DataFrame:
     """docs' doc_id with score and predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value, s)
+        rate = scorer(name, shared.value, s)
         for batch in batches:
-            found = np.array([scorer(t) for t in as_bytes(batch.column(1))])
+            found = np.array(rate(as_bytes(batch.column(1))), np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
