@@ -4,8 +4,8 @@ Every path through a text's piece lattice is a segmentation; its score is the su
 Forward Viterbi scores give, for every place, the exact best score of the text before it; a backward A-star
 search from the end with them as heuristic pops complete segmentations in order of score.
 
-No piece spans a place where its two characters never stand side by side in a piece (and none holds a line
-end or a space mark after another character), so the lattice falls into segments there. A segment's second best score
+No piece of the model holds a letter beside another character, a line end, or a space mark behind another
+character (this is checked when it is loaded), so the lattice falls into segments there. A segment's second best score
 comes from the best path through each edge off its best path; only the N-1 segments whose second best is nearest
 can differ from their best in the N best of the whole text, so the A-star search runs on those and their results are
 combined. A character without a piece is spelled with byte pieces.
@@ -30,12 +30,15 @@ from pyspark.sql import DataFrame
 from .common import col, fields, in_arrow, others
 
 MARK = "▁"
-#: Where a text falls into segments: a line end alone, spaces before a word, spaces before a line end or the end.
-SEGMENT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+#: Where a text falls into segments: a line end alone, letters with the spaces before them, other characters
+#: with the spaces before them, spaces before a line end or the end.
+LETTERS = r"[^\W\d_¹²³]+"
+OTHERS = rf"(?:(?![^\W\d_¹²³])[^{MARK}\n])+"
+SEGMENT = re.compile(rf"\n|{MARK}*{LETTERS}|{MARK}*{OTHERS}|{MARK}+")
 
 
 class Lattice:
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -53,9 +56,10 @@ class Lattice:
                 self.pieces[piece] = i
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
         self.longest = max(map(len, self.pieces))
+        self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         self.scored = {p: (self.scores[i], (i,)) for p, i in self.pieces.items()}
         self.unknown = min(s for s, _ in self.scored.values() if s > -1e8) - 10.0  # for each byte of a character without a piece
-        if any("\n" in p or re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces):
+        if not all(SEGMENT.fullmatch(p) and p != "\n" for p in self.pieces):
             raise ValueError("a piece of this model spans segments")
         self.most, self.known = most, {}
 
@@ -71,7 +75,7 @@ class Lattice:
                     out[j].append((i, scores[found], (found,)))
                     one |= j == i + 1
             if not one:
-                ids, s = self._spelled(text[i])
+                s, ids = self._spelled(text[i])
                 out[i + 1].append((i, s, ids))
         return out
 
@@ -86,31 +90,34 @@ class Lattice:
     def best(self, text: str) -> tuple[bytes, float, float]:
         """Piece ids (as little-endian 32 bits) and score of the best segmentation of a segment, and how far
         the second best is behind (inf: none). One forward pass keeps the two best scores for each place."""
-        scored, longest, n = self.scored, self.longest, len(text)
+        scored, prefixes, n = self.scored, self.prefixes, len(text)
         none = float("-inf")
         first, second, back = [none] * (n + 1), [none] * (n + 1), [(0, ())] * (n + 1)
         first[0] = 0.0
         for i in range(n):
             f, g = first[i], second[i]
-            if i + 1 <= n and text[i] not in scored:
-                ids, s = self._spelled(text[i])
-                options = [(i + 1, s, ids)]
-            else:
-                options = []
-            for j in range(i + 1, min(n, i + longest) + 1):
-                found = scored.get(text[i:j])
+            j, part = i + 1, text[i]
+            found = scored.get(part) or self._spelled(part)
+            while True:
                 if found is not None:
-                    options.append((j, found[0], found[1]))
-            for j, s, ids in options:
-                x, y = f + s, g + s
-                if x > first[j]:
-                    second[j] = first[j] if first[j] > y else y
-                    first[j], back[j] = x, (i, ids)
-                else:
-                    if x == first[j] and ids < back[j][1]:
-                        back[j] = (i, ids)
-                    if x > second[j]:
-                        second[j] = x
+                    s, ids = found
+                    x = f + s
+                    if x > first[j]:
+                        y = g + s
+                        second[j] = first[j] if first[j] > y else y
+                        first[j], back[j] = x, (i, ids)
+                    else:
+                        if x == first[j] and ids < back[j][1]:
+                            back[j] = (i, ids)
+                        if x > second[j]:
+                            second[j] = x
+                j += 1
+                if j > n:
+                    break
+                part = text[i:j]
+                if part not in prefixes:
+                    break
+                found = scored.get(part)
         path, j = [], n
         while j:
             j, ids = back[j]
@@ -122,17 +129,18 @@ class Lattice:
         known = self.known
         if len(known) >= self.most:
             known.clear()
-        for x in set(segments).difference(known):
+        new = set(segments).difference(known)
+        for x in new:
             known[x] = self.best(x)
         found = list(map(known.__getitem__, segments))
-        for x in segments:
+        for x in new:
             if len(x) > 64:  # long ones are hardly met again
-                known.pop(x, None)
+                del known[x]
         return found
 
-    def _spelled(self, char: str) -> tuple[tuple[int, ...], float]:
+    def _spelled(self, char: str) -> tuple[float, tuple[int, ...]]:
         raw = (" " if char == MARK else char).encode("utf-8", "surrogatepass")
-        return tuple(self.byte_ids[b] for b in raw), self.unknown * len(raw)
+        return self.unknown * len(raw), tuple(self.byte_ids[b] for b in raw)
 
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a segment in order of (score, ids), by backward A-star search."""
