@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nt import reverse_complement
+from .lineage import cut
 from .ordering import dense_numbers
 
 
@@ -46,7 +47,7 @@ def symmetric(arcs: DataFrame) -> DataFrame:
     other = dual(marked.where((F.col("v") != flip("w")))).select("v", "w", "ov", "ow", F.col("link").alias("_link")).dropDuplicates(["v", "w", "ov", "ow"])
     given = both.join(other, ["v", "w", "ov", "ow"], "left")
     second = F.col("_link").isNotNull() & ((flip("w") < F.col("v")) | ((flip("w") == F.col("v")) & (flip("v") < F.col("w")))) & ~F.col("comp")
-    return given.withColumn("comp", F.col("comp") | second).withColumn("link", F.when(second, F.col("_link")).otherwise(F.col("link"))).drop("_link")
+    return given.withColumns({"comp": F.col("comp") | second, "link": F.when(second, F.col("_link")).otherwise(F.col("link"))}).drop("_link")
 
 
 def infer_overlaps(arcs: DataFrame) -> DataFrame:
@@ -147,9 +148,8 @@ def reach(arcs: DataFrame, sources: DataFrame, most_steps: int, most_dist: int |
         if most_dist is not None:
             ahead = ahead.where(F.col("dist") <= most_dist)
         ahead = ahead.groupBy("source", "v").agg(F.min(F.struct("dist", "steps")).alias("_b")).select("source", "v", "_b.*")
-        both = found.unionByName(ahead).groupBy("source", "v").agg(F.min(F.struct("dist", "steps")).alias("_b")).select("source", "v", "_b.*")
-        found = both
-        front = both.where(F.col("steps") == k)
+        found = cut(found.unionByName(ahead).groupBy("source", "v").agg(F.min(F.struct("dist", "steps")).alias("_b")).select("source", "v", "_b.*"))
+        front = found.where(F.col("steps") == k)
     return found
 
 
@@ -163,7 +163,7 @@ def k_shortest(arcs: DataFrame, pairs: DataFrame, most_steps: int, k: int) -> Da
     best = lambda keys: Window.partitionBy(*keys).orderBy("dist", "walk")
     for _ in range(most_steps):
         grown = grown.join(arcs.select("v", "w", F.col("dist").alias("_d")), "v").select("source", "target", F.col("w").alias("v"), (F.col("dist") + F.col("_d")).alias("dist"), F.concat("walk", F.array("w")).alias("walk"))
-        grown = grown.withColumn("_r", F.row_number().over(best(["source", "target", "v"]))).where(F.col("_r") <= k).drop("_r")
+        grown = cut(grown.withColumn("_r", F.row_number().over(best(["source", "target", "v"]))).where(F.col("_r") <= k).drop("_r"))
         out = out.unionByName(grown.where("v = target"))
     return out.withColumn("rank", F.row_number().over(best(["source", "target"]))).where(F.col("rank") <= k).select("source", "target", "rank", "dist", "walk")
 
@@ -173,6 +173,6 @@ def count_paths(arcs: DataFrame, sources: DataFrame, most_steps: int, most: int
     front = sources.select("source", F.col("source").alias("v"), F.lit(1).cast("long").alias("n"))
     out = front
     for _ in range(most_steps):
-        front = front.join(arcs.select("v", "w"), "v").groupBy("source", F.col("w").alias("v")).agg(F.least(F.sum("n"), F.lit(most)).alias("n"))
+        front = cut(front.join(arcs.select("v", "w"), "v").groupBy("source", F.col("w").alias("v")).agg(F.least(F.sum("n"), F.lit(most)).alias("n")))
         out = out.unionByName(front)
     return out.groupBy("source", "v").agg(F.least(F.sum("n"), F.lit(most)).alias("n"))
