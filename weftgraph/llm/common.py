@@ -68,6 +68,18 @@ def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, schema)
 
 
+_owner: list = ["", None]
+
+
+def claim(owner: str, clear) -> None:
+    """Tells that an operator now fills its memory of words in this worker process; that of the operator before
+    is dropped, so a worker that serves several operators in turn holds one of them."""
+    if _owner[0] != owner:
+        if _owner[1] is not None:
+            _owner[1]()
+        _owner[:] = [owner, clear]
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of each text, without decoding them."""
     if isinstance(column, pa.ChunkedArray):

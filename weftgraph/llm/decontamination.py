@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, in_arrow
+from .common import as_bytes, claim, in_arrow
 
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 HITS = "item_id long, passage_start int, score double, question_overlap double, answer_overlap double"
@@ -64,7 +64,8 @@ _terms = _Terms()
 
 def terms(text: bytes | None) -> list[bytes]:
     """The words of a text as terms; words of punctuation alone are none."""
-    if len(_terms) > 500_000:
+    claim("terms", _terms.clear)
+    if len(_terms) > 400_000:
         _terms.clear()
     return [t for t in map(_terms.__getitem__, text.split()) if t] if text else []
 

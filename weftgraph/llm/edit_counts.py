@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fields, in_arrow, others
+from .common import claim, col, fields, in_arrow, others
 
 EDITS = "array<struct<at:long,drop:long,put:string>>"
 SCHEMA = "tokens_before long, tokens_after long, reencoded long, edits_applied int"
@@ -133,6 +133,7 @@ def counter(ranks_path: str, pattern: str) -> Counter:
     """One counter for each worker process."""
     if ranks_path not in _counters:
         _counters[ranks_path] = Counter(ranks_path, pattern)
+    claim(f"edits {ranks_path}", _counters[ranks_path].known.clear)
     return _counters[ranks_path]
 
 

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import col, fields, in_arrow, others
+from .common import claim, col, fields, in_arrow, others
 
 MARK = "▁"
 #: Where a text falls into segments: a line end alone, letters with the spaces before them, other characters
@@ -38,7 +38,7 @@ SEGMENT = re.compile(rf"\n|{MARK}*{LETTERS}|{MARK}*{OTHERS}|{MARK}+")
 
 
 class Lattice:
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -202,6 +202,7 @@ def lattice(path: str) -> Lattice:
     """One lattice for each worker process."""
     if path not in _lattices:
         _lattices[path] = Lattice(path)
+    claim(f"pieces {path}", _lattices[path].known.clear)
     return _lattices[path]
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, col, fields, in_arrow, others, stored
+from .common import as_bytes, chunks, claim, col, fields, in_arrow, others, stored
 from .suffix_repeats import covered
 
 #: Odd bases of the two polynomial hashes, modulo 2**64.
@@ -48,7 +48,8 @@ _hashes = _WordHashes()
 
 
 def _word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    if len(_hashes) > 600_000:
+    claim("words", _hashes.clear)
+    if len(_hashes) > 400_000:
         _hashes.clear()
     parts = []
     for t in texts:

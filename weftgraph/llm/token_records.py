@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, shared_path
+from .common import as_bytes, chunks, claim, shared_path
 
 MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
@@ -73,7 +73,7 @@ class WordEncoder:
     remembered is dropped at `most` words.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -120,6 +120,7 @@ def encoder(path: str) -> WordEncoder:
     """One encoder for each worker process."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    claim(f"encoder {path}", _encoders[path].clear)
     return _encoders[path]
 
 

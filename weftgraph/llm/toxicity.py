@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, claim
 
 
 @dataclass(frozen=True)
@@ -168,6 +168,7 @@ def scorer(name: str, model: Model, s: Settings) -> Scorer:
     if name not in _scorers:
         _scorers.clear()
         _scorers[name] = Scorer(model, s)
+    claim(f"toxicity {name}", _scorers[name].known.clear)
     return _scorers[name]
 
 
