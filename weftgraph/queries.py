@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import cigar, nt, tags
-from .operators import alleles, chaining, coverage, graph, intervals, ordering, ranking, seeding
+from .operators import alleles, augment, bubbles, chaining, coverage, graph, intervals, ordering, ranking, seeding
 from .plans import mapping
 from .sources import fasta
 from .streaming import sessions as streams
@@ -458,6 +458,47 @@ def walk_link_use(spark, sf):
     return coverage.link_use(steps, "sample", ["walk"], 50).withColumn("use", F.round("use", 6))
 
 
+def nation_graph(spark, sf) -> graph.SequenceGraph:
+    """Nations in order as their region's reference; suppliers as other ways from a nation to the next."""
+    n = table(spark, sf, "nation")
+    by = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    line = n.select(F.col("n_nationkey").cast("long").alias("seg"), F.col("n_regionkey").cast("string").alias("sn"), F.lead("n_nationkey").over(by).cast("long").alias("next"))
+    own = line.select("seg", F.lit(4).cast("long").alias("len"), "sn", (F.col("seg") * 4).alias("so"), F.lit(0).cast("long").alias("sr"))
+    s = table(spark, sf, "supplier").join(line, F.col("s_nationkey") == F.col("seg")).where("next IS NOT NULL").select((F.col("s_suppkey") + 1000).alias("sup"), "seg", "next")
+    other = s.select(F.col("sup").alias("seg"), (F.col("sup") % 7 + 1).alias("len"), F.lit("s").alias("sn"), F.lit(0).cast("long").alias("so"), F.lit(1).cast("long").alias("sr"))
+    ends = line.where("next IS NOT NULL").select("seg", "next").unionByName(s.select("seg", F.col("sup").alias("next"))).unionByName(s.select(F.col("sup").alias("seg"), "next"))
+    arcs = as_arcs(ends.select((F.col("seg") * 2).alias("v"), (F.col("next") * 2).alias("w"), F.lit(0).cast("long").alias("rank")))
+    name = F.concat(F.lit("s"), F.col("seg").cast("string")).alias("name")
+    seq = F.repeat(F.lit("A"), F.col("len").cast("int")).alias("seq")
+    tags_ = F.lit(None).cast(tags.KIND).alias("tags")
+    return graph.SequenceGraph(own.unionByName(other).select("seg", name, seq, "len", "sn", "so", "sr", tags_), graph.symmetric(arcs))
+
+
+@query(
+    """WITH n AS (SELECT n_nationkey::BIGINT AS seg, n_regionkey::VARCHAR AS sn, lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::BIGINT AS next FROM nation)
+    SELECT sn, seg * 4 + 4 AS ss, next * 4 AS se, seg * 2 AS source, next * 2 AS sink, count(*) + 2 AS n_seg, count(*) + 1 AS n_paths, 0 AS len_min, max((s_suppkey + 1000) % 7 + 1)::BIGINT AS len_max
+    FROM n JOIN supplier ON s_nationkey = seg WHERE next IS NOT NULL GROUP BY ALL"""
+)
+def bubble_detect(spark, sf):
+    """Bubbles of the graph of nations (KN-24, KN-25, AG-12)."""
+    g = nation_graph(spark, sf)
+    return bubbles.bubbles(g.segments, g.arcs, 3)
+
+
+@query(
+    """WITH n AS (SELECT n_nationkey::BIGINT AS seg, n_regionkey, lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::BIGINT AS next FROM nation), s AS (SELECT s_suppkey FROM supplier JOIN n ON s_nationkey = seg WHERE next IS NOT NULL)
+    SELECT (SELECT count(*) FROM nation) * 2 + (SELECT count(*) FROM s) + (SELECT count(*) FROM nation) AS n_segments, 2 * ((SELECT count(*) FROM n WHERE next IS NOT NULL) + 2 * (SELECT count(*) FROM s) + 3 * (SELECT count(*) FROM nation)) AS n_arcs,
+    (SELECT count(*) * 4 FROM nation) + (SELECT coalesce(sum((s_suppkey + 1000) % 7 + 1), 0) FROM s)::BIGINT + (SELECT count(*) * 3 FROM nation) AS bases"""
+)
+def graph_augment(spark, sf):
+    """Three bases put into the middle of each nation's segment: what the graph grows to (KN-23, ST-1)."""
+    g = nation_graph(spark, sf)
+    mid = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("ins"), (F.col("n_nationkey") * 2).cast("long").alias("v0"), F.lit(2).cast("long").alias("off0"))
+    grown = augment.augment(g, mid.select("ins", "v0", "off0", F.col("v0").alias("v1"), F.col("off0").alias("off1"), F.lit("TTT").alias("seq")))
+    s = grown.segments.agg(F.count(F.lit(1)).alias("n_segments"), F.sum("len").alias("bases"))
+    return s.crossJoin(grown.arcs.agg(F.count(F.lit(1)).alias("n_arcs"))).select("n_segments", "n_arcs", "bases")
+
+
 # --- ranks ---------------------------------------------------------------------------------------------------
 CHAINS = "(SELECT l_orderkey AS qid, CAST(l_quantity AS BIGINT) AS score, CAST(round(l_extendedprice * 100) AS BIGINT) AS hash, l_partkey % 100 AS qs, l_partkey % 100 + l_linenumber * 10 AS qe, l_suppkey AS ts, l_suppkey + l_linenumber AS te, l_linenumber::BIGINT AS cnt FROM lineitem)"
 RANKED = f"(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, hash DESC, qs, qe, ts, te) - 1 AS rank FROM {CHAINS})"

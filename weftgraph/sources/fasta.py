@@ -23,7 +23,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(file, name, comment, seq, qual) of records of four lines; files are read whole lines at a time."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split(F.rtrim("value"), "\n")).alias("_i", "_l"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\n")).alias("_i", "_l"))
     four = rows.groupBy("file", F.floor(F.col("_i") / 4).alias("ord")).agg(*[F.max(F.when(F.col("_i") % 4 == k, F.col("_l"))).alias(c) for k, c in ((0, "_h"), (1, "seq"), (3, "qual"))])
     return _named(four.withColumn("_h", F.regexp_replace("_h", "^@", "")), "_h").select("file", "ord", "name", "comment", "seq", "qual")
 
