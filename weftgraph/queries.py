@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import cigar, nt, tags
 from .operators import alleles, augment, bubbles, chaining, coverage, graph, intervals, ordering, ranking, seeding
 from .plans import mapping
-from .sources import fasta
+from .sources import alignments, fasta
 from .streaming import sessions as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -592,6 +592,26 @@ def allele_merge(spark, sf):
     return alleles.merge_alleles(day_calls(spark, sf), ["bid"])
 
 
+@query(
+    f"""WITH a AS {ALLELES}, s AS (SELECT bid, sum(n)::BIGINT AS ns, count(*) AS na, string_agg(n::VARCHAR, ',' ORDER BY allele) AS ac, string_agg(walk, ',' ORDER BY allele) AS awalk FROM a GROUP BY bid),
+    g AS (SELECT c.bid, string_agg(a.allele::VARCHAR, chr(9) ORDER BY c.sample) AS gt FROM {CALLS} c JOIN a ON c.bid = a.bid AND c.walk = a.walk GROUP BY c.bid)
+    SELECT concat_ws(chr(9), 'day', bid, '.', 'N', CASE WHEN na > 1 THEN array_to_string(list_transform(range(1, na), lambda i: '<X:' || i || '>'), ',') ELSE '.' END, '.', '.', 'END=' || (bid + 1) || ';NS=' || ns || ';AC=' || ac || ';AWALK=' || awalk, 'GT', gt) AS line FROM s JOIN g USING (bid)"""
+)
+def vcf_text(spark, sf):
+    """The merged bubbles as VCF lines, without the header (SC-17)."""
+    merged = alleles.merge_alleles(day_calls(spark, sf), ["bid"])
+    rows = merged.select(F.lit("day").alias("ctg"), F.col("bid").alias("st"), (F.col("bid") + 1).alias("en"), "ns", "na", "ac", "awalk", "gt")
+    return alignments.vcf_lines(rows, []).where("value NOT LIKE '#%'").select(F.col("value").alias("line"))
+
+
+@query("SELECT c_name AS qname, c_custkey AS qlen, o_orderkey AS qs FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
+def unmapped_rows(spark, sf):
+    """Alignments and a row for each query without one (SC-16)."""
+    c = table(spark, sf, "customer").select(F.col("c_name").alias("qname"), F.col("c_custkey").alias("qlen"))
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("qlen"), F.col("o_orderkey").alias("qs")).join(c, "qlen")
+    return alignments.with_unmapped(rows.select("qname", "qlen", "qs"), c)
+
+
 @query(f"SELECT bid, seg, sum(n)::BIGINT AS n FROM (SELECT bid, allele, n, unnest(list_distinct(string_split(walk, '>'))) AS seg FROM {ALLELES}) GROUP BY bid, seg")
 def segment_frequency(spark, sf):
     """Samples that pass each segment of a bubble (AG-14)."""
