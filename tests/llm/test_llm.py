@@ -116,6 +116,20 @@ def test_substring_dedup_small_windows(spark):
     assert Counter(tuple(x) for x in found.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == removed(rows, 6)
 
 
+def test_substring_dedup_repeats_within_documents(spark):
+    """A later document that holds a shared passage twice loses it at both places."""
+    r = random.Random(6)
+    word = lambda n: [f"{r.choice('xyz')}{r.randrange(30)}" for _ in range(n)]
+    rows = []
+    for _ in range(12):
+        base = word(16)
+        rows.append((len(rows), " ".join(word(5) + base[: r.randrange(8, 16)] + word(5))))
+        rows.append((len(rows), " ".join(sum((word(r.randrange(3)) + base for _ in range(4)), []))))
+        rows.append((len(rows), " ".join(base * 5)))
+    found = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=6, anchor=2)
+    assert Counter(tuple(x) for x in found.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == removed(rows, 6)
+
+
 def components_of(rows, width, percent=80):
     sets = {}
     for i, t in rows:

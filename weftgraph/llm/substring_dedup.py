@@ -7,8 +7,8 @@ with one hash. Spark joins then work on pieces, about a twentieth of the words:
 
 1. pieces whose anchor occurs in one document only can't repeat; a join drops them;
 2. equal pieces (same anchor, same words) are one class; its first document is the source;
-3. an anchor with several classes is a branch: there, and only there, the first piece of each class is
-   expanded to its windows, read again from its source coordinates, and the windows are matched.
+3. an anchor with several classes is a branch: there, and only there, the pieces of each class in its first
+   document are expanded to their windows, read again from their source coordinates, and the windows are matched.
 
 A window is a repeat if a document with a smaller id has it too; words that repeats cover are removed. This
 is exact up to collisions of 128 hash bits, at any number of copies.
@@ -165,7 +165,8 @@ def repeats(docs: DataFrame, window: int = 50, anchor: int = 12, chunk_bytes: in
     shared = stored(pieces.join(shared, "anchor", "left_semi"), "shared-pieces")
     classes = stored(shared.groupBy("anchor", "code").agg(F.min(F.struct("doc", "row", "start", "size")).alias("source")), "classes")
     branches = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor")
-    heads = classes.join(branches, "anchor", "left_semi").select("anchor", "source.*")
+    first = classes.join(branches, "anchor", "left_semi").select("anchor", "code", F.col("source.doc").alias("doc"))
+    heads = shared.join(first, ["anchor", "code", "doc"]).select("anchor", "doc", "row", "start", "size")  # a document may hold its class more than once
     windows = stored(_windows(heads, keyed, window), "windows")
     earliest = stored(windows.groupBy("anchor", "code").agg(F.min("doc").alias("_first")), "earliest")  # then a hot key's rows can be split
     whole = shared.join(classes.select("anchor", "code", F.col("source.doc").alias("_first")), ["anchor", "code"]).where("_first < doc")
