@@ -327,6 +327,19 @@ def test_decontamination(spark, docs):
     assert decontamination.hits(both, bench.limit(0)).count() == 0 and decontamination.drop_contaminated(both, bench.limit(0)).count() == len(ROWS) + 5
 
 
+def test_decontamination_without_answers(spark):
+    """An item without an answer is judged on its whole text, wherever the words that lack stand; an answer that is given is a gate."""
+    item = prose(38)
+    words = item.split()
+    texts = [(1, f"{prose(60)} {' '.join(words[:34])} {prose(60)}"), (2, " ".join(words[:33] + ["other"] * 5)), (3, " ".join(words[:15])), (4, item)]
+    both = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontamination.hits(both, bench).collect()} == {1, 2, 4}
+    assert [r.doc_id for r in decontamination.drop_contaminated(both, bench).collect()] == [3]
+    answered = spark.createDataFrame([(1, " ".join(words[:33]), " ".join(words[33:])), (2, item, None)], "item_id long, text string, answer string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.hits(both, answered).collect()} == {(4, 1), (1, 2), (2, 2), (4, 2)}
+
+
 def test_piece_lattice(spark, docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = piece_lattice.lattice(path)

@@ -8,7 +8,8 @@ passage retrieves all items of `threshold` or more. WAND runs in two steps: sums
 weights bound each passage's score, all passages at once, and those that can't reach the threshold are
 passed over; the others walk the posting lists with the largest weights of blocks of items. A
 retrieved item is verified: the longest common subsequence of passage and question, and of passage and
-answer, must hold `question_share` and `answer_share` of their words.
+answer, must hold `question_share` and `answer_share` of their words. An item without an answer is all
+question: its whole text is judged at `question_share`, and its answer overlap is 1.
 
 The index is broadcast only while its size is within `index_bytes`; items beyond are searched in further
 blocks of items, each a pass over the documents, and their hits are united.
@@ -39,8 +40,7 @@ HITS = "item_id long, passage_start int, score double, question_overlap double,
 
 @dataclass(frozen=True)
 class Settings:
-    """k1, b: of BM25. stride: words between passage starts. block: items in a block of a posting list.
-    answer_words: an item without an answer column has its last words, these many, as its answer."""
+    """k1, b: of BM25. stride: words between passage starts. block: items in a block of a posting list."""
 
     threshold: float = 0.65
     question_share: float = 0.75
@@ -49,7 +49,6 @@ class Settings:
     b: float = 0.75
     stride: int = 32
     block: int = 8
-    answer_words: int = 5
     index_bytes: int = 64 << 20
 
 
@@ -203,11 +202,9 @@ def document_hits(text: bytes | None, index: Index) -> list[tuple[int, int, floa
     return sorted(best.values())
 
 
-def _split(row, s: Settings) -> tuple[int, list[bytes], list[bytes]]:
-    question = terms(row["question"].encode()) if row["question"] else []
-    if row["answer"] is None:
-        return row["item_id"], question[: -s.answer_words], question[-s.answer_words :]
-    return row["item_id"], question, terms(row["answer"].encode())
+def _split(row) -> tuple[int, list[bytes], list[bytes]]:
+    """Item id, question and answer terms; without an answer the whole text is the question."""
+    return row["item_id"], *(terms(row[c].encode()) if row[c] else [] for c in ("question", "answer"))
 
 
 def indexes(benchmark: DataFrame, s: Settings = Settings()) -> list[Index]:
@@ -220,7 +217,7 @@ def indexes(benchmark: DataFrame, s: Settings = Settings()) -> list[Index]:
     cut = F.pmod(F.xxhash64("item_id"), F.lit(max(1, parts)))
     found = []
     for k in range(parts):
-        items = [_split(r, s) for r in rows.where(cut == k).sort("item_id", "question").collect()]
+        items = [_split(r) for r in rows.where(cut == k).sort("item_id", "question").collect()]
         items = [x for x in items if x[1] or x[2]]
         if items:
             found.append(Index(items, s))
