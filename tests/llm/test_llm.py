@@ -340,6 +340,21 @@ def test_decontamination_without_answers(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.hits(both, answered).collect()} == {(4, 1), (1, 2), (2, 2), (4, 2)}
 
 
+def test_decontamination_by_own_length(spark):
+    """A short item's words far apart are no hit because some other item is long; both lengths are found where they stand."""
+    few, many = [f"w{k}" for k in range(15)], [f"long{k}" for k in range(2000)]
+    fill = [f"x{k}" for k in range(900)]
+    apart = " ".join(w for k, x in enumerate(few) for w in [x, *fill[k * 60 : k * 60 + 60]])
+    room = " ".join([*fill[:31], *few[:6], *fill[100:104], *few[6:], *fill[200:300]])  # inserted words, cut by a passage's start
+    texts = [(1, apart), (2, " ".join(fill[:70] + few + fill[70:])), (3, " ".join(fill[:45] + many + fill[45:])), (4, room)]
+    both = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(few)), (2, " ".join(many))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.passage_start) for r in decontamination.hits(both, bench).collect()}
+    assert got == {(2, 1, 64), (3, 2, 0), (4, 1, 0)}
+    alone = {tuple(r)[:2] for r in decontamination.hits(both, bench.where("item_id = 1")).collect()}
+    assert alone == {(2, 1), (4, 1)}
+
+
 def test_piece_lattice(spark, docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = piece_lattice.lattice(path)

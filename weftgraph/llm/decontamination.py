@@ -1,8 +1,11 @@
 """Benchmark decontamination: a BM25 index of the test items, searched by every training passage with
 block-max WAND.
 
-Each document's words (A-Z as a-z, outer punctuation off) are cut into overlapping passages, long enough that
-every stretch as long as the longest item lies whole in one. A term's weight in an item is its BM25 weight
+Each document's words (A-Z as a-z, outer punctuation off) are cut into overlapping passages. An item has
+passages of its own length: long enough that every stretch of its words over `question_share` lies whole in one,
+so room for some inserted words, and no longer, so its verdict doesn't hang on other items' lengths. Items of
+similar length share an index and the passages of the longest of them; what these retrieve is scored and
+verified again on the item's own. A term's weight in an item is its BM25 weight
 over the item's own total, so a passage's score is the share of the item that it holds, from 0 to 1. A
 passage retrieves all items of `threshold` or more. WAND runs in two steps: sums of the terms' largest
 weights bound each passage's score, all passages at once, and those that can't reach the threshold are
@@ -24,7 +27,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -69,30 +72,65 @@ def terms(text: bytes | None) -> list[bytes]:
     return [t for t in map(_terms.__getitem__, text.split()) if t] if text else []
 
 
+Item = tuple[int, list[bytes], list[bytes]]
+
+
+@dataclass
+class Stats:
+    """What BM25 knows of all items: how many, their mean length, items with each term."""
+
+    n: int
+    mean: float
+    df: dict[bytes, int]
+
+
+def stats_of(items: list[Item]) -> Stats:
+    return Stats(len(items), sum(len(q) + len(a) for _, q, a in items) / max(1, len(items)), Counter(t for _, q, a in items for t in {*q, *a}))
+
+
+def passage_words(item_words: int, s: Settings) -> int:
+    """Words in the passages on which an item of so many words is judged."""
+    return math.ceil(item_words / s.question_share) + s.stride
+
+
+def length_classes(items: Iterable[Item], s: Settings) -> list[list[Item]]:
+    """Items by length, cut so that passages within a class differ by a factor of three at most."""
+    out: list[list[Item]] = []
+    least = 0
+    for x in sorted(items, key=lambda x: len(x[1]) + len(x[2])):
+        size = passage_words(len(x[1]) + len(x[2]), s)
+        if not out or size > 3 * least:
+            out.append([])
+            least = size
+        out[-1].append(x)
+    return out
+
+
 @dataclass
 class Index:
-    """Postings of normalized weights. rows: item id, question and answer terms, by place."""
+    """Postings of normalized weights. items: item id, question and answer terms, by place."""
 
-    items: list[tuple[int, list[bytes], list[bytes]]]
+    items: list[Item]
     s: Settings
+    stats: Stats | None = None
     postings: dict[bytes, tuple[list[int], list[float]]] = field(default_factory=dict)
     blocks: dict[bytes, list[float]] = field(default_factory=dict)
     most: dict[bytes, float] = field(default_factory=dict)
-    longest: int = 1
 
     def __post_init__(self):
         s, n = self.s, len(self.items)
-        df = Counter(t for _, q, a in self.items for t in {*q, *a})
+        known = self.stats or stats_of(self.items)
+        self.stats = None  # the weights hold what is needed of it
+        df = known.df
         # items that share frequent terms stand together: blocks' largest weights are then closer to their items'
         self.items = sorted(self.items, key=lambda x: sorted(((-df[t], t) for t in {*x[1], *x[2]}))[:4])
         bags = [Counter(q + a) for _, q, a in self.items]
-        mean = sum(sum(b.values()) for b in bags) / max(1, n)
+        sizes = [len(q) + len(a) for _, q, a in self.items]
+        self.shortest, self.longest = min(sizes, default=0), max(sizes, default=0)
         lists: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         for i, bag in enumerate(bags):
-            size = sum(bag.values())
-            self.longest = max(self.longest, size)
-            weight = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (s.k1 + 1) / (f + s.k1 * (1 - s.b + s.b * size / mean)) for t, f in bag.items()}
-            total = sum(weight.values())
+            weight = {t: math.log(1 + (known.n - df[t] + 0.5) / (df[t] + 0.5)) * f * (s.k1 + 1) / (f + s.k1 * (1 - s.b + s.b * sizes[i] / known.mean)) for t, f in bag.items()}
+            total = math.fsum(weight.values())
             for t, w in weight.items():
                 lists[t].append((i, w / total))
         for t, found in lists.items():
@@ -104,6 +142,12 @@ class Index:
         self.bound = np.array([*self.most.values(), 0.0], np.float32)
         self.block_bound = np.array([*self.blocks.values(), [0.0] * ((n - 1) // s.block + 1)], np.float32)
 
+    def score(self, place: int, query: set[bytes]) -> float:
+        """The share of one item that the query holds, as search() gives it."""
+        _, question, answer = self.items[place]
+        held = [self.postings[t] for t in {*question, *answer} & query]
+        return math.fsum(w[bisect_left(at, place)] for at, w in held)
+
     def search(self, query: set[bytes]) -> list[tuple[int, float]]:
         """All items of the threshold or more, by block-max WAND: (place, score)."""
         limit, block = self.s.threshold - 1e-12, self.s.block
@@ -181,25 +225,31 @@ def _open_passages(ids: np.ndarray, starts: np.ndarray, size: int, index: Index)
     return out
 
 
-def document_hits(text: bytes | None, index: Index) -> list[tuple[int, int, float, float, float]]:
+def document_hits(text: bytes | None, part: list[Index]) -> list[tuple[int, int, float, float, float]]:
     """For each verified item of a document its best passage: item id, start word, score, overlaps."""
-    s, words = index.s, terms(text)
-    if not words:
-        return []
-    size = index.longest + s.stride
+    words = terms(text)
+    return sorted(x for index in part for x in _class_hits(words, index)) if words else []
+
+
+def _class_hits(words: list[bytes], index: Index) -> list[tuple[int, int, float, float, float]]:
+    s = index.s
+    size = passage_words(index.longest, s)
     place, none = index.place, len(index.bound) - 1
     ids = np.array([place.get(w, none) for w in words], np.int32)
-    starts = np.arange(0, max(1, len(words) - size + s.stride), s.stride)
-    ends = np.minimum(starts + size, len(words))
+    starts = np.arange(0, max(1, len(words) - index.shortest), s.stride)
     best: dict[int, tuple] = {}
     for k in _open_passages(ids, starts, size, index):
-        passage = words[starts[k] : ends[k]]
-        for item, score in index.search(set(passage)):
+        start = int(starts[k])
+        for item, score in index.search(set(words[start : start + size])):
             item_id, question, answer = index.items[item]
-            found = (item_id, int(starts[k]), score, common_share(question, passage), common_share(answer, passage))
-            if found[3] >= s.question_share and found[4] >= s.answer_share and (item not in best or score > best[item][2]):
+            own = words[start : start + passage_words(len(question) + len(answer), s)]
+            score = index.score(item, set(own))
+            if score < s.threshold - 1e-12 or (item in best and score <= best[item][2]):
+                continue
+            found = (item_id, start, score, common_share(question, own), common_share(answer, own))
+            if found[3] >= s.question_share and found[4] >= s.answer_share:
                 best[item] = found
-    return sorted(best.values())
+    return list(best.values())
 
 
 def _split(row) -> tuple[int, list[bytes], list[bytes]]:
@@ -207,8 +257,8 @@ def _split(row) -> tuple[int, list[bytes], list[bytes]]:
     return row["item_id"], *(terms(row[c].encode()) if row[c] else [] for c in ("question", "answer"))
 
 
-def indexes(benchmark: DataFrame, s: Settings = Settings()) -> list[Index]:
-    """The benchmark's items as indexes of bounded size; a column `answer` is used if there is one."""
+def indexes(benchmark: DataFrame, s: Settings = Settings()) -> list[list[Index]]:
+    """The benchmark's items as parts of bounded size, each an index for every class of lengths; a column `answer` is used if there is one."""
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").alias("question"), answer.alias("answer")).where("item_id IS NOT NULL AND question IS NOT NULL")
     size = F.octet_length("question") + F.coalesce(F.octet_length("answer"), F.lit(0))
@@ -220,15 +270,16 @@ def indexes(benchmark: DataFrame, s: Settings = Settings()) -> list[Index]:
         items = [_split(r) for r in rows.where(cut == k).sort("item_id", "question").collect()]
         items = [x for x in items if x[1] or x[2]]
         if items:
-            found.append(Index(items, s))
+            stats = stats_of(items)
+            found.append([Index(x, s, stats) for x in length_classes(items, s)])
     return found
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, item_id, passage_start, score, question_overlap, answer_overlap) of all verified hits."""
     spark, out = docs.sparkSession, None
-    for index in indexes(benchmark, s):
-        shared = spark.sparkContext.broadcast(index)
+    for part in indexes(benchmark, s):
+        shared = spark.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -245,8 +296,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Dat
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The documents without a verified hit, with all their columns; judged row by row, without a join."""
     names, at = docs.columns, docs.columns.index("text")
-    for index in indexes(benchmark, s):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for part in indexes(benchmark, s):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
