@@ -355,6 +355,23 @@ def test_decontamination_by_own_length(spark):
     assert alone == {(2, 1), (4, 1)}
 
 
+def test_decontamination_in_parts(spark):
+    """Scores and hits don't depend on the number of parts; each is within its measured bytes; blocks are a term's own."""
+    r = random.Random(8)
+    items = [(k, " ".join([*r.choices([f"t{j}" for j in range(40)], k=12), f"own{k}", *r.choices([f"u{j}" for j in range(90)], k=r.randrange(3, 30))])) for k in range(60)]
+    texts = [(k, f"{prose(40)} {' '.join(w for w in t.split() if r.random() < 0.85)} {prose(30)}") for k, t in items]
+    both, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    s = decontamination.Settings(index_bytes=48_000)
+    parts = list(decontamination.indexes(bench, s))
+    assert len(parts) > 1 and all(sum(x.nbytes() for x in p) <= s.index_bytes for p in parts)
+    assert sum(len(x.items) for p in parts for x in p) == 60
+    assert all(len(x.block_at) <= sum(len(at) for at, _ in x.postings.values()) for p in parts for x in p)
+    whole = sorted(map(tuple, decontamination.hits(both, bench).collect()))
+    assert len(whole) > 20 and sorted(map(tuple, decontamination.hits(both, bench, s).collect())) == whole
+    kept = sorted(x.doc_id for x in decontamination.drop_contaminated(both, bench, s).collect())
+    assert kept == sorted({k for k, _ in texts} - {x[0] for x in whole}) and kept
+
+
 def test_piece_lattice(spark, docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = piece_lattice.lattice(path)

@@ -14,8 +14,9 @@ retrieved item is verified: the longest common subsequence of passage and questi
 answer, must hold `question_share` and `answer_share` of their words. An item without an answer is all
 question: its whole text is judged at `question_share`, and its answer overlap is 1.
 
-The index is broadcast only while its size is within `index_bytes`; items beyond are searched in further
-blocks of items, each a pass over the documents, and their hits are united.
+Tasks build the index in parts of at most `index_bytes`, as measured, or one item; how many items there are,
+their mean length and the terms' frequencies come from all items, so scores don't depend on the parts. The driver
+fetches, broadcasts and frees one part at a time, each a pass over the documents, and their hits are united.
 
 Defined cases: null or empty documents and items retrieve nothing; an item's words that no text holds simply
 lower the reachable score; repeated items are found each under their ids; ties go to the smaller item id and
@@ -24,18 +25,22 @@ the first passage; an empty benchmark or document table gives no rows; other col
 
 from __future__ import annotations
 
+import hashlib
 import math
+import pickle
+import sys
+from array import array
 from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, claim, in_arrow
+from .common import as_bytes, claim, col, in_arrow, shared_path, stored
 
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 HITS = "item_id long, passage_start int, score double, question_overlap double, answer_overlap double"
@@ -94,12 +99,12 @@ def passage_words(item_words: int, s: Settings) -> int:
 
 
 def length_classes(items: Iterable[Item], s: Settings) -> list[list[Item]]:
-    """Items by length, cut so that passages within a class differ by a factor of three at most."""
+    """Items by length, cut so that passages within a class differ by half at most."""
     out: list[list[Item]] = []
     least = 0
     for x in sorted(items, key=lambda x: len(x[1]) + len(x[2])):
         size = passage_words(len(x[1]) + len(x[2]), s)
-        if not out or size > 3 * least:
+        if not out or 2 * size > 3 * least:
             out.append([])
             least = size
         out[-1].append(x)
@@ -113,8 +118,7 @@ class Index:
     items: list[Item]
     s: Settings
     stats: Stats | None = None
-    postings: dict[bytes, tuple[list[int], list[float]]] = field(default_factory=dict)
-    blocks: dict[bytes, list[float]] = field(default_factory=dict)
+    postings: dict[bytes, tuple[array, array]] = field(default_factory=dict)
     most: dict[bytes, float] = field(default_factory=dict)
 
     def __post_init__(self):
@@ -127,20 +131,43 @@ class Index:
         bags = [Counter(q + a) for _, q, a in self.items]
         sizes = [len(q) + len(a) for _, q, a in self.items]
         self.shortest, self.longest = min(sizes, default=0), max(sizes, default=0)
-        lists: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         for i, bag in enumerate(bags):
             weight = {t: math.log(1 + (known.n - df[t] + 0.5) / (df[t] + 0.5)) * f * (s.k1 + 1) / (f + s.k1 * (1 - s.b + s.b * sizes[i] / known.mean)) for t, f in bag.items()}
             total = math.fsum(weight.values())
             for t, w in weight.items():
-                lists[t].append((i, w / total))
-        for t, found in lists.items():
-            at, w = [i for i, _ in found], [x for _, x in found]
-            self.postings[t] = at, w
-            self.blocks[t] = [max((x for i, x in found if i // s.block == k), default=0.0) for k in range((n - 1) // s.block + 1)]
+                if t not in self.postings:
+                    self.postings[t] = array("i"), array("d")
+                self.postings[t][0].append(i)
+                self.postings[t][1].append(w / total)
+        # largest weights of a term's own blocks: those of term k are block_ptr[k] to block_ptr[k + 1]
+        self.n_blocks = max(1, -(-n // s.block))
+        self.block_ptr, self.block_at, self.block_max = array("q", [0]), array("i"), array("d")
+        for t, (at, w) in self.postings.items():
+            first = len(self.block_at)
+            for i, x in zip(at, w):
+                if len(self.block_at) == first or self.block_at[-1] != i // s.block:
+                    self.block_at.append(i // s.block)
+                    self.block_max.append(x)
+                elif x > self.block_max[-1]:
+                    self.block_max[-1] = x
+            self.block_ptr.append(len(self.block_at))
             self.most[t] = max(w)
         self.place = {t: k for k, t in enumerate(self.postings)}
         self.bound = np.array([*self.most.values(), 0.0], np.float32)
-        self.block_bound = np.array([*self.blocks.values(), [0.0] * ((n - 1) // s.block + 1)], np.float32)
+
+    def nbytes(self) -> int:
+        """What the index holds in memory."""
+        size = sys.getsizeof
+        found = sum(map(size, (self.items, self.postings, self.most, self.place, self.block_ptr, self.block_at, self.block_max))) + self.bound.nbytes
+        found += sum(size(x) + size(x[1]) + size(x[2]) + 32 for x in self.items)
+        # a float and an int object for each term
+        return found + sum(size(t) + size(p) + size(p[0]) + size(p[1]) + 56 for t, p in self.postings.items())
+
+    def block_most(self, term: bytes, block: int) -> float:
+        k = self.place[term]
+        end = self.block_ptr[k + 1]
+        i = bisect_left(self.block_at, block, self.block_ptr[k], end)
+        return self.block_max[i] if i < end and self.block_at[i] == block else 0.0
 
     def score(self, place: int, query: set[bytes]) -> float:
         """The share of one item that the query holds, as search() gives it."""
@@ -167,7 +194,7 @@ class Index:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             head = cursors[: pivot + 1]
-            if sum(self.blocks[c[2]][item // block] for c in head) < limit:
+            if sum(self.block_most(c[2], item // block) for c in head) < limit:
                 # no item of this block before the next list's own can reach it
                 target = (item // block + 1) * block
                 if pivot + 1 < len(cursors):
@@ -219,9 +246,16 @@ def _open_passages(ids: np.ndarray, starts: np.ndarray, size: int, index: Index)
     near = index.bound[rows].sum(axis=1) >= limit
     some, rows = some[near], rows[near]
     out = []
-    for a in range(0, len(some), 64):
-        reach = index.block_bound[rows[a : a + 64]].sum(axis=1).max(axis=1) >= limit
-        out += some[a : a + 64][reach].tolist()
+    ptr, at, most = np.frombuffer(index.block_ptr, np.int64), np.frombuffer(index.block_at, np.int32), np.frombuffer(index.block_max)
+    step = max(1, min(64, (4 << 20) // (size * index.n_blocks)))  # bounds what is unrolled at once
+    for a in range(0, len(some), step):
+        part = rows[a : a + step]
+        known = part != none
+        t, counts = part[known], ptr[part[known] + 1] - ptr[part[known]]
+        flat = np.repeat(ptr[t] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        keys = np.repeat(np.nonzero(known)[0], counts) * index.n_blocks + at[flat]
+        reach = np.bincount(keys, most[flat], len(part) * index.n_blocks).reshape(len(part), -1).max(axis=1) >= limit
+        out += some[a : a + step][reach].tolist()
     return out
 
 
@@ -236,7 +270,8 @@ def _class_hits(words: list[bytes], index: Index) -> list[tuple[int, int, float,
     size = passage_words(index.longest, s)
     place, none = index.place, len(index.bound) - 1
     ids = np.array([place.get(w, none) for w in words], np.int32)
-    starts = np.arange(0, max(1, len(words) - index.shortest), s.stride)
+    # a passage that ends where the one before did holds nothing new
+    starts = np.arange(0, max(1, len(words) - passage_words(index.shortest, s) + s.stride), s.stride)
     best: dict[int, tuple] = {}
     for k in _open_passages(ids, starts, size, index):
         start = int(starts[k])
@@ -257,28 +292,81 @@ def _split(row) -> tuple[int, list[bytes], list[bytes]]:
     return row["item_id"], *(terms(row[c].encode()) if row[c] else [] for c in ("question", "answer"))
 
 
-def indexes(benchmark: DataFrame, s: Settings = Settings()) -> list[list[Index]]:
-    """The benchmark's items as parts of bounded size, each an index for every class of lengths; a column `answer` is used if there is one."""
+def built(items: list[Item], stats: Stats, s: Settings) -> list[bytes]:
+    """Pickled parts of some items, each an index for every class of lengths; one over index_bytes is halved."""
+    part = [Index(x, s, stats) for x in length_classes(items, s)]
+    if len(items) == 1 or sum(x.nbytes() for x in part) <= s.index_bytes:
+        return [pickle.dumps(part)]
+    del part
+    items = sorted(items, key=lambda x: len(x[1]) + len(x[2]))
+    return [p for half in (items[: len(items) // 2], items[len(items) // 2 :]) for p in built(half, stats, s)]
+
+
+class Parts:
+    """The parts of an index in the shared folder; each is fetched when its turn comes."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.table = spark.read.schema("k int, part binary, cut int").parquet(path)
+        self.keys = sorted(tuple(r) for r in self.table.select("cut", "k").collect())
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def __iter__(self) -> Iterator[list[Index]]:
+        for cut, k in self.keys:
+            yield pickle.loads(self.table.where((F.col("cut") == cut) & (F.col("k") == k)).select("part").first()[0])
+
+
+def indexes(benchmark: DataFrame, s: Settings = Settings()) -> Parts | list:
+    """The benchmark's items as parts of bounded size; a column `answer` is used if there is one."""
+    spark = benchmark.sparkSession
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").alias("question"), answer.alias("answer")).where("item_id IS NOT NULL AND question IS NOT NULL")
     size = F.octet_length("question") + F.coalesce(F.octet_length("answer"), F.lit(0))
     total = rows.agg(F.sum(size)).first()[0] or 0
-    parts = -(-total * 8 // s.index_bytes)  # an index takes some times the bytes of its texts
-    cut = F.pmod(F.xxhash64("item_id"), F.lit(max(1, parts)))
-    found = []
-    for k in range(parts):
-        items = [_split(r) for r in rows.where(cut == k).sort("item_id", "question").collect()]
-        items = [x for x in items if x[1] or x[2]]
-        if items:
-            stats = stats_of(items)
-            found.append([Index(x, s, stats) for x in length_classes(items, s)])
-    return found
+    if not total:
+        return []
+    # a first guess of the parts, each built in one task: an index takes some times the bytes of its texts
+    cuts = -(-total * 8 // s.index_bytes)
+    rows = stored(rows.withColumn("cut", F.pmod(F.monotonically_increasing_id(), F.lit(cuts)).cast("int")), "benchmark-items")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for r in batch.to_pylist():
+                _, q, a = _split(r)
+                if q or a:
+                    found.update({(r["cut"], t, 0) for t in {*q, *a}})
+                    found[r["cut"], None, 0] += 1
+                    found[r["cut"], None, 1] += len(q) + len(a)
+            # the rows without a term: 0 counts items, 1 their words
+            columns = list(zip(*((c, t, k, n) for (c, t, k), n in found.items()))) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, (pa.int32(), pa.binary(), pa.int32(), pa.int64()))], names=["cut", "term", "kind", "n"])
+
+    counts = stored(rows.mapInArrow(count, "cut int, term binary, kind int, n long").groupBy("cut", "term", "kind").agg(F.sum("n").alias("n")), "benchmark-terms")
+    whole = {r["kind"]: r["n"] for r in counts.where("term IS NULL").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    if not whole:
+        return []
+    known = counts.where("term IS NOT NULL")
+    df = known.select("cut", "term").join(known.groupBy("term").agg(F.sum("n").alias("df")), "term")
+    n, mean = whole[0], whole[1] / whole[0]
+
+    def build(key, items: pa.Table, terms_: pa.Table) -> pa.Table:
+        stats = Stats(n, mean, dict(zip(terms_["term"].to_pylist(), terms_["df"].to_pylist())))
+        found = [x for x in map(_split, items.to_pylist()) if x[1] or x[2]]
+        parts = built(sorted(found), stats, s) if found else []
+        kinds = (pa.int32(), pa.binary(), pa.int32())
+        return pa.Table.from_arrays([pa.array(c, x) for c, x in zip((range(len(parts)), parts, [key[0].as_py()] * len(parts)), kinds)], names=["k", "part", "cut"])
+
+    path = shared_path(spark, "benchmark-index")
+    rows.groupBy("cut").cogroup(df.groupBy("cut")).applyInArrow(build, "k int, part binary, cut int").write.partitionBy("cut").parquet(path)
+    return Parts(spark, path)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, item_id, passage_start, score, question_overlap, answer_overlap) of all verified hits."""
-    spark, out = docs.sparkSession, None
-    for part in indexes(benchmark, s):
+    spark, paths, parts = docs.sparkSession, [], indexes(benchmark, s)
+    for part in parts:
         shared = spark.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -289,19 +377,36 @@ def hits(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", *(x.split()[0] for x in HITS.split(", "))])
 
         one = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {HITS}")
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], f"doc_id long, {HITS}")
+        if len(parts) == 1:
+            return one
+        paths.append(shared_path(spark, "contaminated"))
+        one.write.parquet(paths[-1])
+        shared.destroy()
+    return spark.read.schema(f"doc_id long, {HITS}").parquet(*paths) if paths else spark.createDataFrame([], f"doc_id long, {HITS}")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The documents without a verified hit, with all their columns; judged row by row, without a join."""
-    names, at = docs.columns, docs.columns.index("text")
-    for part in indexes(benchmark, s):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
+    """The documents without a verified hit, with all their columns. With one part of the index rows are judged one
+    by one, without a join; with more, the texts with hits are known by their SHA-256 and joined away."""
+    names, at, parts = docs.columns, docs.columns.index("text"), indexes(benchmark, s)
+    spark, paths = docs.sparkSession, []
+    for part in parts:
+        shared = spark.sparkContext.broadcast(part)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([not document_hits(t, shared.value) for t in as_bytes(batch.column(at))], pa.bool_())).rename_columns(names)
 
-        docs = in_arrow(docs, run, docs.schema)
-    return docs
+        def digests(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(t).digest() for t in as_bytes(batch.column(0)) if document_hits(t, shared.value)], pa.binary())], names=["digest"])
+
+        if len(parts) == 1:
+            return in_arrow(docs, keep, docs.schema)
+        paths.append(shared_path(spark, "contaminated"))
+        docs.select("text").mapInArrow(digests, "digest binary").write.parquet(paths[-1])
+        shared.destroy()
+    if not paths:
+        return docs
+    found = spark.read.schema("digest binary").parquet(*paths).distinct()
+    return docs.join(found, F.unhex(F.sha2(col("text").cast("binary"), 256)) == found["digest"], "left_anti")
