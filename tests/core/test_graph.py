@@ -68,6 +68,17 @@ def test_bubbles(found):
     assert (two.source, two.sink, two.n_seg, two.n_paths, two.len_min, two.len_max) == (4, 6, 3, 2, 0, 2)
 
 
+def test_long_bubbles(spark):
+    """A detour of twelve segments over ten of the line, and one with a cycle: its paths have no number."""
+    line = [(k, 2, "r", 2 * k, 0) for k in range(15)]
+    off = [(k, 1, None, None, 1) for k in range(20, 34)]
+    ways = [*range(15)], [0, *range(20, 32), 11], [12, 32, 33, 14], [33, 32]
+    segments = spark.createDataFrame(line + off, "seg long, len long, sn string, so long, sr long")
+    arcs = spark.createDataFrame([(2 * a, 2 * b) for w in ways for a, b in zip(w, w[1:])], "v long, w long")
+    got = {(r.source, r.sink, r.n_seg, r.n_paths, r.len_min, r.len_max) for r in bubbles.bubbles(segments, arcs).collect()}
+    assert got == {(0, 22, 24, 2, 12, 20), (24, 28, 5, None, None, None)}
+
+
 def test_walks_through_bubbles(spark, small, found):
     steps = spark.createDataFrame([("p", i, v) for i, v in enumerate([0, 9, 4, 10, 6])] + [("q", i, v) for i, v in enumerate([0, 2, 4, 6])], "walk string, ord int, v long")
     got = {(r.walk, r.source): r.path for r in bubbles.attach_walks(steps, found).collect()}

@@ -22,16 +22,18 @@ def reference_line(segments: DataFrame) -> DataFrame:
     return segments.where("sr = 0 AND sn IS NOT NULL").select((F.col("seg") * 2).alias("v"), "sn", (F.row_number().over(by) - 1).cast("long").alias("place"), "so", "len")
 
 
-def detours(arcs: DataFrame, line: DataFrame, most_steps: int) -> DataFrame:
+def detours(arcs: DataFrame, line: DataFrame, most_steps: int | None = None) -> DataFrame:
     """(sn, a, b, inner): arcs and walks off the line from place a to a later place b, and the vertices between.
 
-    Walks go over vertices off the line only, `most_steps` at most, and grow by one join a step."""
+    Walks go over vertices off the line only and grow by one join a step, until none is left: each step adds a
+    vertex to what a walk has passed. Only a caller that names `most_steps` bounds them."""
     on = line.select(F.col("v").alias("_v"), F.col("sn").alias("_sn"), F.col("place").alias("_p"))
     steps = arcs.select("v", "w").distinct()
     start = steps.join(on, steps["v"] == on["_v"]).select(F.col("_sn").alias("sn"), F.col("_p").alias("a"), F.col("w").alias("at"), F.array().cast("array<long>").alias("inner"))
-    found, front = None, cut(start)
+    found, front, steps_done = None, cut(start), 0
     reverse_on = on.select((F.col("_v") + 1).alias("_r"))
-    for _ in range(most_steps):
+    while found is None or not front.isEmpty() and (most_steps is None or steps_done < most_steps):
+        steps_done += 1
         back = front.join(on, (front["at"] == on["_v"]) & (front["sn"] == on["_sn"]) & (on["_p"] > front["a"])).select("sn", "a", F.col("_p").alias("b"), "inner")
         found = back if found is None else found.unionByName(back)
         off = front.join(on, front["at"] == on["_v"], "left_anti").join(reverse_on, F.col("at") == F.col("_r"), "left_anti")
@@ -41,9 +43,10 @@ def detours(arcs: DataFrame, line: DataFrame, most_steps: int) -> DataFrame:
     return found
 
 
-def bubbles(segments: DataFrame, arcs: DataFrame, most_steps: int = 8) -> DataFrame:
+def bubbles(segments: DataFrame, arcs: DataFrame, most_steps: int | None = None) -> DataFrame:
     """(sn, ss, se, source, sink, n_seg, n_paths, len_min, len_max): one row for each bubble. ss is the end of the
-    source segment, se the start of the sink segment, lengths are of what stands between."""
+    source segment, se the start of the sink segment, lengths are of what stands between. A bubble with a cycle
+    inside has no end of paths: n_paths and lengths are null. most_steps bounds detours, where it is given."""
     line = cut(reference_line(segments))
     ways = cut(detours(arcs, line, most_steps).where("b > a + 1 OR size(inner) > 0"))
     spans = intervals.union(ways.select("sn", F.col("a").alias("st"), F.col("b").alias("en")), ["sn"])
@@ -59,7 +62,7 @@ def bubbles(segments: DataFrame, arcs: DataFrame, most_steps: int = 8) -> DataFr
     size = inside.groupBy("sn", "st").agg(F.count(F.lit(1)).alias("n_seg"))
     local = inside.select("source", "sink", "v").join(arcs.select("v", "w").distinct(), "v").join(inside.select("source", F.col("v").alias("w")), ["source", "w"]).where("v <> sink")
     weight = segments.select((F.col("seg") * 2).alias("w"), "len").unionByName(segments.select((F.col("seg") * 2 + 1).alias("w"), "len"))
-    paths = _path_lengths(local.join(weight, "w").select("source", "sink", "v", "w", F.when(F.col("w") == F.col("sink"), 0).otherwise(F.col("len")).cast("long").alias("len")), ends, most_steps + 2)
+    paths = _path_lengths(local.join(weight, "w").select("source", "sink", "v", "w", F.when(F.col("w") == F.col("sink"), 0).otherwise(F.col("len")).cast("long").alias("len")), ends.join(size, ["sn", "st"]))
     return ends.join(size, ["sn", "st"]).join(paths, "source", "left").select("sn", "ss", "se", "source", "sink", "n_seg", "n_paths", "len_min", "len_max")
 
 
@@ -74,16 +77,23 @@ def _split_touching(spans: DataFrame, ways: DataFrame) -> DataFrame:
     return pieces.join(busy, (pieces["sn"] == busy["sn"]) & (busy["_a"] >= pieces["a"]) & (busy["_b"] <= pieces["b"]), "left_semi").select("sn", F.col("a").alias("st"), F.col("b").alias("en"))
 
 
-def _path_lengths(local: DataFrame, ends: DataFrame, most_steps: int) -> DataFrame:
-    """(source, n_paths, len_min, len_max) of the paths from source to sink inside each bubble."""
-    front = ends.select("source", "sink", F.col("source").alias("v"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
-    out = None
+def _path_lengths(local: DataFrame, ends: DataFrame) -> DataFrame:
+    """(source, n_paths, len_min, len_max) of the paths from source to sink inside each bubble without a cycle; paths
+    grow by an arc a round until none is left. ends: with n_seg; a path of as many arcs has a vertex twice."""
+    local = cut(local)
+    front = ends.select("source", "sink", "n_seg", F.col("source").alias("v"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
+    out, cyclic, arcs_done = None, None, 0
     most = 2**31 - 1
-    for _ in range(most_steps):
-        front = cut(front.join(local, ["source", "sink", "v"]).groupBy("source", "sink", F.col("w").alias("v")).agg(F.least(F.sum("n"), F.lit(most)).alias("n"), F.min(F.col("lo") + F.col("len")).alias("lo"), F.max(F.col("hi") + F.col("len")).alias("hi")))
-        done = front.where("v = sink")
-        out = done if out is None else out.unionByName(done)
-    return out.groupBy("source").agg(F.least(F.sum("n"), F.lit(most)).alias("n_paths"), F.min("lo").alias("len_min"), F.max("hi").alias("len_max"))
+    while out is None or not front.isEmpty():
+        arcs_done += 1
+        grown = cut(front.join(local, ["source", "sink", "v"]).groupBy("source", "sink", "n_seg", F.col("w").alias("v")).agg(F.least(F.sum("n"), F.lit(most)).alias("n"), F.min(F.col("lo") + F.col("len")).alias("lo"), F.max(F.col("hi") + F.col("len")).alias("hi")))
+        over, done = grown.where(F.col("n_seg") <= arcs_done).select("source"), grown.where("v = sink").select("source", "n", "lo", "hi")
+        cyclic = over if cyclic is None else cut(cyclic.unionByName(over).distinct())
+        # one row for each bubble, so that long paths leave no long plan
+        every = done if out is None else out.unionByName(done)
+        out = cut(every.groupBy("source").agg(F.least(F.sum("n"), F.lit(most)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+        front = grown.where((F.col("n_seg") > arcs_done) & (F.col("v") != F.col("sink")))
+    return out.join(cyclic, "source", "left_anti").select("source", F.col("n").alias("n_paths"), F.col("lo").alias("len_min"), F.col("hi").alias("len_max"))
 
 
 def attach_walks(steps: DataFrame, found: DataFrame) -> DataFrame:

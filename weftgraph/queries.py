@@ -482,7 +482,7 @@ def nation_graph(spark, sf) -> graph.SequenceGraph:
 def bubble_detect(spark, sf):
     """Bubbles of the graph of nations (KN-24, KN-25, AG-12)."""
     g = nation_graph(spark, sf)
-    return bubbles.bubbles(g.segments, g.arcs, 3)
+    return bubbles.bubbles(g.segments, g.arcs)
 
 
 @query(
