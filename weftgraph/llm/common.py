@@ -26,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what spark.checkpoint.dir names; only where that is unset (tests, one machine) a
-    temporary folder is made and set.
+    It is what spark.checkpoint.dir names; only where that is unset and Spark runs in this one process a
+    temporary folder is made and set. On a cluster a folder of one machine would lose rows, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='weft-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

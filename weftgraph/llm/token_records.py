@@ -17,8 +17,11 @@ read. A wrong checksum raises an error.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,6 +34,13 @@ from pyspark.sql import functions as F
 from .common import as_bytes, chunks, claim, shared_path
 
 MASK_DELTA = 0xA282EAD8
+#: The pre-tokens of lower-case printable ASCII words: fixed by the tokenizer's file.
+PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Letters with ASCII marks around them; an apostrophe before them could begin a contraction, and letters that
+#: become a letter and a mark when they are normalized could draw marks behind them to their own.
+MARKED = re.compile(r"([!-&(-/:-@\[-`{-~]*)([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+#: What the tokenizer's added tokens begin with; they are matched before all else.
+ADDED = "<|"
 HEAD = struct.Struct("<QI")
 BODY = struct.Struct("<BqB")
 INDEX = "file string, offset long, length long, doc_id long, before long, n_tokens long, ids_crc32 long"
@@ -65,52 +75,136 @@ def frames(content: bytes, offset: int = 0, most: int | None = None) -> Iterator
         offset, most = offset + length, most and most - 1
 
 
+class _Numbers(dict):
+    """Numbers in order of first appearance; `new` lists the keys that came since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
+class _Ragged:
+    """Rows of ids that only grow."""
+
+    def __init__(self):
+        self.flat, self.ends = array("I"), array("q", [0])
+
+    def extend(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        last = self.ends[-1]
+        self.flat.frombytes(ids.astype(np.uint32, copy=False).tobytes())
+        self.ends.frombytes((last + np.cumsum(sizes, dtype=np.int64)).tobytes())
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some rows one after the other, and where each row ends in them."""
+        ends = np.frombuffer(self.ends, np.int64)
+        size = np.diff(ends)[rows]
+        after = np.cumsum(size)
+        if not len(after) or not after[-1]:
+            return np.zeros(0, np.uint32), after
+        place = np.repeat(ends[:-1][rows] - after + size, size)
+        place += np.arange(len(place))
+        return np.frombuffer(self.flat, np.uint32)[place], after
+
+
 class WordEncoder:
-    """Token ids of whole texts with each different word encoded once.
+    """Token ids of whole texts with each different pre-token encoded once.
 
     A word here ends at ASCII white space. Pre-tokens of this tokenizer never hold white space, and its
-    normalizer doesn't look across it, so a text's ids are those of its words in a row. What is
-    remembered is dropped at `most` words.
+    normalizer doesn't look across it, so a text's ids are those of its words in a row. Printable ASCII words
+    are cut into lower-case pre-tokens here (so is a letter word with ASCII marks around it); many of them go
+    through the model in one string, in which the ends of pre-tokens show as tokens with the word end. Where
+    that isn't sure, the library gets the word alone. What is remembered is dropped at `most` words.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.plain, self.most = Tokenizer.from_file(path), Tokenizer.from_file(path), most
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(True), bool)
+        self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.flat, self.ends = array("I"), array("q", [0])
-
-    def _learn(self, words: list[bytes]) -> None:
-        for found in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False):
-            self.flat.extend(found.ids)
-            self.ends.append(len(self.flat))
+        self.words, self.units = _Numbers(), _Numbers()
+        self.word_ids, self.unit_ids = _Ragged(), _Ragged()
+
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _joined(self, tokenizer, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units of one pre-token each, from one string; if the ends don't tally, from the units alone."""
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(units)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.closing[ids]) + 1
+        if len(ends) != len(units) or ends[-1] != len(ids):
+            return self._alone(units)
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn_units(self) -> None:
+        new, self.units.new = self.units.new, []
+        for i in range(0, len(new), 2048):
+            part = new[i : i + 2048]
+            kind = np.array([0 if x.isascii() and x.isprintable() and ADDED not in x else 1 if x.isalpha() else 2 for x in part])
+            ids, sizes = [np.zeros(0, np.uint32)], np.zeros(len(part), np.int64)
+            for k, encode in enumerate((lambda x: self._joined(self.plain, x), lambda x: self._joined(self.tokenizer, x), self._alone)):
+                at = np.flatnonzero(kind == k)
+                if len(at):
+                    found, sizes[at] = encode([part[j] for j in at])
+                    ids.append(found)
+            order = np.argsort(kind, kind="stable")  # the ids stand in this order
+            held = _Ragged()
+            held.extend(np.concatenate(ids), sizes[order])
+            back = np.empty(len(part), np.int64)
+            back[order] = np.arange(len(part))
+            self.unit_ids.extend(held.gather(back)[0], sizes)
+
+    def _learn(self) -> None:
+        new, self.words.new = self.words.new, []
+        units, counts = [], []
+        for w in b"\n".join(new).decode("utf-8", "replace").split("\n"):
+            if w.isascii() and w.isprintable() and ADDED not in w:
+                w = w.lower()
+                if not w.isalpha():
+                    parts = PRE_TOKENS.findall(w)
+                    units += parts
+                    counts.append(len(parts))
+                    continue
+            else:
+                m = MARKED.fullmatch(w)
+                if m and ADDED not in w and unicodedata.normalize("NFC", m[2]).lower().isalpha():
+                    parts = [x for x in m.groups() if x]
+                    units += parts
+                    counts.append(len(parts))
+                    continue
+            units.append(w)
+            counts.append(1)
+        place = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
+        self._learn_units()
+        ids, after = self.unit_ids.gather(place)
+        self.word_ids.extend(ids, np.diff(after[np.cumsum(counts) - 1], prepend=0))
 
     def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the count of each text."""
-        if len(self.place) > self.most:
+        if len(self.words) > self.most:
             self.clear()
-        place, new, parts = self.place, [], []
+        number, parts = self.words.__getitem__, []
         for t in texts:
             words = t.split() if t else []
-            for w in set(words).difference(place):
-                place[w] = len(place)
-                new.append(w)
-            parts.append(np.fromiter(map(place.__getitem__, words), np.int64, len(words)))
-        for i in range(0, len(new), 4096):
-            self._learn(new[i : i + 4096])
-        word = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        ends = np.frombuffer(self.ends, np.int64)
-        first, size = ends[:-1][word], np.diff(ends)[word]
-        after = np.cumsum(size)
-        ids = np.frombuffer(self.flat, np.uint32)[np.repeat(first - (after - size), size) + np.arange(after[-1] if len(after) else 0)] if len(word) else np.zeros(0, np.uint32)
-        last = np.cumsum([len(p) for p in parts])
-        total = np.concatenate([[0], after])
-        counts = np.diff(np.concatenate([[0], total[last]])) if len(parts) else np.zeros(0, np.int64)
-        return ids, counts
+            parts.append(np.fromiter(map(number, words), np.int64, len(words)))
+        if self.words.new:
+            self._learn()
+        ids, after = self.word_ids.gather(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+        upto = np.concatenate([[0], after])[np.cumsum([len(p) for p in parts], dtype=np.int64)]
+        return ids, np.diff(upto, prepend=0)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -124,9 +218,13 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, chunk_bytes: int = 4 << 20) -> str:
-    """Encodes every text and writes the frames in ascending doc_id order; returns the folder."""
+def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, chunk_bytes: int = 4 << 20, file_bytes: int = 128 << 20) -> str:
+    """Encodes every text and writes the frames in ascending doc_id order; returns the folder.
+
+    There are as many ranges of ids as make about `file_bytes` of text each, so that a file is read in one piece."""
     path = path or shared_path(docs.sparkSession, "records")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(-(-total // file_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
@@ -139,7 +237,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
                     out.append(frame(doc_id, np.append(ids[end - n : end], np.uint32(end_id))))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("maxRecordsPerFile", 65_536).text(path)
     return path
 
@@ -167,21 +265,34 @@ def write_index(spark: SparkSession, path: str, index_path: str | None = None) -
 def read_index(spark: SparkSession, index_path: str) -> DataFrame:
     """The index with `start`, the count of ids of all records before in the whole data set."""
     index = spark.read.schema(INDEX).parquet(index_path)
-    by_name = Window.orderBy(F.length("file"), "file")
+    # part-<partition>-<job>-c<file of the partition>: numbers of more digits are no longer in order as text
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
+    by_name = Window.orderBy(number(r"^part-([0-9]+)"), number(r"-c([0-9]+)"), "file")
     files = index.groupBy("file").agg(F.sum("n_tokens").alias("_n")).select("file", (F.sum("_n").over(by_name) - F.col("_n")).alias("_start"))
     return index.join(files, "file").withColumn("start", F.col("_start") + F.col("before")).drop("_start")
 
 
 def read_shuffled(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
-    """The records that the index rows name, read by offset: doc_id and ids."""
+    """The records that the index rows name: doc_id and ids, once each.
+
+    Each file is scanned where it is read and gives its records by offset; the wanted offsets, not the files'
+    contents, go to that scan where they are few, and records meet offsets in a semi-join where they are many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
-                content = content.as_py()
-                found = [next(frames(content, at, 1)) for at in wanted]
-                yield pa.RecordBatch.from_arrays([pa.array([x[2] for x in found], pa.int64()), pa.array([x[3] for x in found], pa.list_(pa.uint32())).cast(pa.list_(pa.int64()))], names=["doc_id", "ids"])
-
-    content = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "content")
-    wanted = index.groupBy("file").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
-    return content.join(wanted, "file").select("content", "offsets").mapInArrow(run, "doc_id long, ids array<long>")
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = []
+                for record in frames(content.as_py()):
+                    found.append(record)
+                    if len(found) == 4096:
+                        yield rows(file, found)
+                        found = []
+                yield rows(file, found)
+
+    def rows(file: str, found: list) -> pa.RecordBatch:
+        ids = pa.array([x[3] for x in found], pa.list_(pa.uint32())).cast(pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([file] * len(found), pa.string()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()), ids], names=["file", "offset", "doc_id", "ids"])
+
+    content = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    records = content.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "content").mapInArrow(run, "file string, offset long, doc_id long, ids array<long>")
+    return records.join(index.select("file", "offset"), ["file", "offset"], "left_semi").select("doc_id", "ids")
