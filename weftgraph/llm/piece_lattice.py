@@ -5,13 +5,14 @@ Forward Viterbi scores give, for every place, the exact best score of the text b
 search from the end with them as heuristic pops complete segmentations in order of score.
 
 No piece of the model holds a letter beside another character, a line end, or a space mark behind another
-character (this is checked when it is loaded), so the lattice falls into segments there. A segment's second best score
-comes from the best path through each edge off its best path; only the N-1 segments whose second best is nearest
-can differ from their best in the N best of the whole text, so the A-star search runs on those and their results are
-combined. A character without a piece is spelled with byte pieces.
-
-Defined cases: null counts as empty and has one segmentation without pieces; equal scores go to smaller ids of the last piece (best) or of all pieces (the others);
-repeated rows get equal results; an empty table gives no rows; other columns pass
+character (this is checked when it is loaded), so the lattice falls into segments there. Segmentations are in
+order of score, equal scores in order of their ids (compared one by one, from the last). Of all changes of one
+segment, those of the first N-1 in that order are the only ones that the N best of the whole text can hold:
+whatever holds another comes after these N-1 and the best. So each segment keeps its best and the score that
+its second best loses, the A-star search runs on segments that lose no more than the (N-1)th least, and the
+segments of the first N-1 changes are combined. A character without a piece is spelled with byte pieces.
+
+Defined cases: null counts as empty and has one segmentation without pieces; repeated rows get equal results; an empty table gives no rows; other columns pass
 through, but for those named like a result column.
 """
 
@@ -37,6 +38,20 @@ OTHERS = rf"(?:(?![^\W\d_¹²³])[^{MARK}\n])+"
 SEGMENT = re.compile(rf"\n|{MARK}*{LETTERS}|{MARK}*{OTHERS}|{MARK}+")
 
 
+class _Best(dict):
+    """What Lattice.best() gave for segments; long ones are hardly met again and not kept."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, segment: str) -> tuple[bytes, float, float]:
+        found = self.model.best(segment)
+        if len(segment) <= 64:
+            self[segment] = found
+        return found
+
+
 class Lattice:
     def __init__(self, path: str, most: int = 400_000):
         import sentencepiece
@@ -56,12 +71,17 @@ class Lattice:
                 self.pieces[piece] = i
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
         self.longest = max(map(len, self.pieces))
-        self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         self.scored = {p: (self.scores[i], (i,)) for p, i in self.pieces.items()}
+        self.root: dict = {}  # a tree of characters: what may follow, score and ids of the piece that ends there
+        for p, found in sorted(self.scored.items()):  # a piece comes after its prefixes
+            after = self.root
+            for c in p[:-1]:
+                after = after.setdefault(c, ({}, None))[0]
+            after[p[-1]] = ({}, found)
         self.unknown = min(s for s, _ in self.scored.values() if s > -1e8) - 10.0  # for each byte of a character without a piece
         if not all(SEGMENT.fullmatch(p) and p != "\n" for p in self.pieces):
             raise ValueError("a piece of this model spans segments")
-        self.most, self.known = most, {}
+        self.most, self.known, self.choices = most, _Best(self), {}
 
     def edges(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each place, the edges that end there: start, score, piece ids."""
@@ -89,16 +109,20 @@ class Lattice:
 
     def best(self, text: str) -> tuple[bytes, float, float]:
         """Piece ids (as little-endian 32 bits) and score of the best segmentation of a segment, and how far
-        the second best is behind (inf: none). One forward pass keeps the two best scores for each place."""
-        scored, prefixes, n = self.scored, self.prefixes, len(text)
-        none = float("-inf")
+        the second best is behind (inf: none, 0: equal). One forward pass keeps the two best scores for each place."""
+        root, n, none = self.root, len(text), float("-inf")
         first, second, back = [none] * (n + 1), [none] * (n + 1), [(0, ())] * (n + 1)
         first[0] = 0.0
         for i in range(n):
-            f, g = first[i], second[i]
-            j, part = i + 1, text[i]
-            found = scored.get(part) or self._spelled(part)
-            while True:
+            f, g, after, j = first[i], second[i], root, i
+            if text[i] not in root or root[text[i]][1] is None:
+                after = {text[i]: (root.get(text[i], ({},))[0], self._spelled(text[i]))}
+            while after and j < n:
+                node = after.get(text[j])
+                if node is None:
+                    break
+                after, found = node
+                j += 1
                 if found is not None:
                     s, ids = found
                     x = f + s
@@ -106,18 +130,12 @@ class Lattice:
                         y = g + s
                         second[j] = first[j] if first[j] > y else y
                         first[j], back[j] = x, (i, ids)
-                    else:
-                        if x == first[j] and ids < back[j][1]:
+                    elif x == first[j]:
+                        second[j] = x
+                        if ids[-1] < back[j][1][-1]:
                             back[j] = (i, ids)
-                        if x > second[j]:
-                            second[j] = x
-                j += 1
-                if j > n:
-                    break
-                part = text[i:j]
-                if part not in prefixes:
-                    break
-                found = scored.get(part)
+                    elif x > second[j]:
+                        second[j] = x
         path, j = [], n
         while j:
             j, ids = back[j]
@@ -126,67 +144,73 @@ class Lattice:
         return array("I", ids).tobytes(), first[n], first[n] - second[n]
 
     def look_up(self, segments: list[str]) -> list[tuple[bytes, float, float]]:
-        known = self.known
-        if len(known) >= self.most:
-            known.clear()
-        new = set(segments).difference(known)
-        for x in new:
-            known[x] = self.best(x)
-        found = list(map(known.__getitem__, segments))
-        for x in new:
-            if len(x) > 64:  # long ones are hardly met again
-                del known[x]
-        return found
+        if len(self.known) >= self.most:
+            self.known.clear()
+        return list(map(self.known.__getitem__, segments))
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.choices.clear()
 
     def _spelled(self, char: str) -> tuple[float, tuple[int, ...]]:
         raw = (" " if char == MARK else char).encode("utf-8", "surrogatepass")
         return self.unknown * len(raw), tuple(self.byte_ids[b] for b in raw)
 
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of a segment in order of (score, ids), by backward A-star search."""
+        """The n best segmentations of a segment in order of score, then of ids from the last on: score and these
+        ids, last first. Backward A-star search; of equal partial paths the one with the smallest ids goes on, so
+        that ties, however many, are not all followed."""
         edges = self.edges(text)
         before = self.forward(edges)
         heap = [(-before[-1], (), len(text), 0.0)]
         out: list[tuple[float, tuple[int, ...]]] = []
-        while heap and (len(out) < n or -heap[0][0] >= out[n - 1][0]):
+        while heap and len(out) < n:
             _, ids, at, score = heapq.heappop(heap)
             if at == 0:
                 out.append((score, ids))
                 continue
             for i, s, found in edges[at]:
-                heapq.heappush(heap, (-(before[i] + s + score), found + ids, i, s + score))
-        return sorted(out, key=lambda x: (-x[0], x[1]))[:n]
+                heapq.heappush(heap, (-(before[i] + s + score), ids + found[::-1], i, s + score))
+        return out
 
     @staticmethod
     def segments(text: str) -> list[str]:
         return SEGMENT.findall((" " + text).replace(" ", MARK)) if text else []
 
+    def _choices(self, segment: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The n best of a segment, with what each loses to the best in place of its score."""
+        found = self.choices.get((segment, n))
+        if found is None:
+            found = self.n_best(segment, n)
+            found = [(found[0][0] - score, ids) for score, ids in found]
+            if len(segment) <= 64:
+                if len(self.choices) >= self.most // 8:
+                    self.choices.clear()
+                self.choices[segment, n] = found
+        return found
+
     def encode(self, text: str, n: int = 1) -> list[tuple[float, bytes]]:
         """The n best segmentations of a whole text, best first: score and piece ids as little-endian 32 bits."""
         segments = self.segments(text)
-        found = self.look_up(segments)
-        plain = [x[0] for x in found]
-        top = sum(x[1] for x in found)
-        out = [(top, b"".join(plain))]
-        if n == 1 or not found:
-            return out
-        # only the segments whose second best is nearest can differ from their best
-        behind = np.fromiter((x[2] for x in found), np.float64, len(found))
-        open_ = sorted(k for k in np.argsort(behind, kind="stable")[: n - 1].tolist() if behind[k] < np.inf)
-        choices = [self.n_best(segments[k], n) for k in open_]
-        start = (0,) * len(open_)
-        heap, seen, out = [(0.0, start)], {start}, []
-        while heap and len(out) < n:
-            loss, at = heapq.heappop(heap)
-            mixed = list(plain)
-            for k, c, a in zip(open_, choices, at):
-                mixed[k] = array("I", c[a][1]).tobytes()
-            out.append((top - loss, b"".join(mixed)))
-            for k in range(len(at)):
-                more = (*at[:k], at[k] + 1, *at[k + 1 :])
-                if more[k] < len(choices[k]) and more not in seen:
-                    seen.add(more)
-                    heapq.heappush(heap, (sum(c[0][0] - c[a][0] for c, a in zip(choices, more)), more))
+        plain, scores, behind = map(list, zip(*self.look_up(segments))) if segments else ([], [], [])
+        top = sum(scores)
+        if n == 1 or not segments:
+            return [(top, b"".join(plain))]
+        behind = np.array(behind)
+        least = np.partition(behind, n - 2)[n - 2] if len(behind) >= n else np.inf
+        changes = []  # of one segment: smaller ids come first where they stand late, larger ids where they stand early
+        for k in np.flatnonzero((behind <= least) & (behind < np.inf)).tolist():
+            best, *others = self._choices(segments[k], n)
+            changes += ((loss, ids > best[1], k if ids > best[1] else -k, ids, k) for loss, ids in others)
+        open_ = sorted({x[-1] for x in heapq.nsmallest(n - 1, changes)}, reverse=True)
+        mixes = [(0.0, ())]
+        for k in open_:
+            mixes = heapq.nsmallest(n, ((loss + more, (*held, ids)) for loss, held in mixes for more, ids in self._choices(segments[k], n)))
+        out = []
+        for loss, held in mixes:
+            for k, ids in zip(open_, held):
+                plain[k] = array("I", ids[::-1]).tobytes()
+            out.append((top - loss, b"".join(plain)))
         return out
 
     def decode(self, ids) -> str:
@@ -202,7 +226,7 @@ def lattice(path: str) -> Lattice:
     """One lattice for each worker process."""
     if path not in _lattices:
         _lattices[path] = Lattice(path)
-    claim(f"pieces {path}", _lattices[path].known.clear)
+    claim(f"pieces {path}", _lattices[path].forget)
     return _lattices[path]
 
 
@@ -210,7 +234,8 @@ SCHEMA = "n_pieces long, best_score double, n_found int, scores array<double>, n
 
 
 def segmentations(docs: DataFrame, model_path: str, n: int = 4, with_ids: bool = False) -> DataFrame:
-    """docs without their text, with what the n best segmentations are; with_ids adds `ids`, those of the best.
+    """docs without their text, with what the n best segmentations are; with_ids adds `ids`, those of the best,
+    and as `text` what they decode to.
 
     scores and nbest_crc32 (of the ids as little-endian unsigned 32-bit integers) go from the best on;
     decoded_equal tells that the best decodes to the text.
@@ -220,19 +245,20 @@ def segmentations(docs: DataFrame, model_path: str, n: int = 4, with_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(model_path)
         for batch in batches:
-            rows, best_ids = [], []
+            rows, best_ids, decoded = [], [], []
             for text in batch.column(len(names)).to_pylist():
                 found = model.encode(text or "", n)
-                equal = model.decode(found[0][1]) == (text or "")
-                rows.append((len(found[0][1]) // 4, found[0][0], len(found), [s for s, _ in found], [zlib.crc32(x) for _, x in found], equal))
+                again = model.decode(found[0][1])
+                rows.append((len(found[0][1]) // 4, found[0][0], len(found), [s for s, _ in found], [zlib.crc32(x) for _, x in found], again == (text or "")))
                 if with_ids:
                     best_ids.append(np.frombuffer(found[0][1], "<i4"))
+                    decoded.append(again)
             columns = list(zip(*rows)) or [()] * 6
             kinds = (pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_())
             out = [*(batch.column(k) for k in range(len(names))), *(pa.array(c, k) for c, k in zip(columns, kinds))]
-            yield pa.RecordBatch.from_arrays(out + ([pa.array(best_ids, pa.list_(pa.int32()))] if with_ids else []), names=[*names, *(x.split()[0] for x in SCHEMA.split(", ")), *(["ids"] if with_ids else [])])
+            yield pa.RecordBatch.from_arrays(out + ([pa.array(best_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if with_ids else []), names=[*names, *(x.split()[0] for x in SCHEMA.split(", ")), *(["ids", "text"] if with_ids else [])])
 
-    schema = ", ".join([*filter(None, [fields(docs, names)]), SCHEMA, *(["ids array<int>"] if with_ids else [])])
+    schema = ", ".join([*filter(None, [fields(docs, names)]), SCHEMA, *(["ids array<int>, text string"] if with_ids else [])])
     return in_arrow(docs.select(*map(col, names), "text"), run, schema)
 
 
