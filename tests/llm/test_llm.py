@@ -28,6 +28,7 @@ from weftgraph.llm import (
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 rng = random.Random(3)
+WORD = public_tokenizers.path("word_bpe_49k.json")
 PASSAGE = " ".join(f"p{i}" for i in range(70))
 
 
@@ -386,15 +387,22 @@ def test_piece_lattice(spark, docs):
                 for a, b in paths(i):
                     yield a + s, b + ids
 
-        return sorted(paths(len(text)), key=lambda x: (-x[0], x[1]))
-
-    for w in ["▁the", "▁erblein", "▁é漢x", "\n", "▁", "▁▁▁▁a", "▁disgust"]:
-        assert model.n_best(w, 5) == every(w)[:5]
-        assert abs(model.best(w)[1] - every(w)[0][0]) < 1e-6
-    for t in ["the of", "a b\n c", "Ñ x  y", " ", "\n\n", "in on a", " a  "]:
-        want, got = every((" " + t).replace(" ", "▁"))[:4], model.encode(t, 4)
-        assert [s for s, _ in got] == [s for s, _ in want]
-        assert all(model.decode(ids) == t for _, ids in got)
+        return sorted(((s, ids[::-1]) for s, ids in paths(len(text))), key=lambda x: (-x[0], x[1]))
+
+    def ids_of(last_first):
+        return np.array(last_first[::-1], "<u4").tobytes()
+
+    for w in ["▁the", "▁erblein", "▁é漢x", "\n", "▁", "▁▁▁▁a", "▁disgust", "=========="]:
+        want, (ids, score, behind) = every(w), model.best(w)
+        assert model.n_best(w, 5) == want[:5]
+        assert (ids, score) == (ids_of(want[0][1]), want[0][0])
+        assert behind == (want[0][0] - want[1][0] if len(want) > 1 else np.inf)
+    for t in ["the of", "a b\n c", "Ñ x  y", " ", "\n\n", "in on a", " a  ", "of of", "on on on", "to to of of", "ab ab", "ab ab ab ab", "on to on to", "====== ===", "a.a.a"]:
+        for n in (2, 4, 7):
+            want, got = every((" " + t).replace(" ", "▁"))[:n], model.encode(t, n)
+            assert got == [(s, ids_of(ids)) for s, ids in want], (t, n)
+            assert all(model.decode(ids) == t for _, ids in got)
+    assert len(model.encode("=" * 5003 + " " + "ab " * 3000, 4)) == 4  # ties without number
     rows = piece_lattice.segmentations(docs, path, 4, with_ids=True)
     assert all(r.decoded_equal for r in rows.collect())
     back = piece_lattice.decode_ids(rows.select("doc_id", "ids"), path)
@@ -422,3 +430,30 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(found) == {1, 4, 5} and all(r.decoded_equal for r in found.values())
     model = piece_lattice.lattice(public_tokenizers.path("piece_bpe_32k.model"))
     assert model.decode(found[5].ids) == " ".join(rows[4][1].split()[70:])
+
+
+def test_words_are_encoded_as_in_whole_texts():
+    """The remembered pre-tokens against the library on whole texts, with words that are easily cut wrongly."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(WORD)
+    encode, draw = token_records.WordEncoder(WORD, most=200), random.Random(5)
+    odd = ["İstanbul", "ΣΟΦΟΣ", "don't", "'sun", "'s", "été's", "'été", "(é)", "éa", "a̸b", "≠", "ﬁn", "²x", "½", "x\x01y", "a b", " ", "<|endoftext|>", "a<|startoftext|>b", "é<|endoftext|>", "<|", "日本語", "ア゙", "1234", "A1b2", "---", "...", "it'll", "we'VE", "\x7f", "ñ1", "K", "\U0001f600ok"]
+    letters = "aAbézЖ'ß.,-<|>1²́İΣ"
+    texts = [" ".join(draw.choice([draw.choice(odd), "".join(draw.choices(letters, k=draw.randint(1, 9)))]) for _ in range(draw.randint(0, 60))) for _ in range(300)]
+    for k in range(0, 300, 30):
+        part = texts[k : k + 30]
+        ids, counts = encode([t.encode() for t in part])
+        want = [x.ids for x in plain.encode_batch(part, add_special_tokens=False)]
+        assert counts.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [i for x in want for i in x]
+
+
+def test_file_order_of_records(spark, tmp_path):
+    """More than a thousand files of one part have names whose order as text isn't their order."""
+    index = spark.createDataFrame([(f"part-{p:05d}-x-c{c:03d}.txt", 0, 10, 1, 0, 5, 0) for p in (0, 1, 100000) for c in (0, 2, 999, 1000)], token_records.INDEX)
+    index.write.parquet(str(tmp_path / "index"))
+    rows = {(int(r.file[5:].split("-")[0]), int(r.file[:-4].split("-c")[1])): r.start for r in token_records.read_index(spark, str(tmp_path / "index")).collect()}
+    assert [rows[k] for k in sorted(rows)] == list(range(0, 60, 5))

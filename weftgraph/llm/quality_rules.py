@@ -2,7 +2,7 @@
 
 For each document the suffix array of its words gives all maximal repeated substrings; the union of
 their spans must not cover too much of the text and none may be too long. Plain counts (words,
-symbols, repeated lines, repeated 8-word windows) come along.
+symbols, repeated lines, repeated 8-word windows) come along and don't count in the method's verdict.
 
 Defined cases: a null or empty text has no words, all counts 0, base_failed and not kept. Rows are
 judged one by one, so repeated rows and ties get equal verdicts. An empty table gives no rows. Of the
@@ -32,14 +32,11 @@ SCHEMA = (
 @dataclass(frozen=True)
 class Limits:
     """min_span: words of the shortest repeat whose span counts, 8 at least. max_covered: largest share of
-    words in such spans. max_longest: largest share of words in the longest repeat. max_symbols: largest share
-    of symbols among the characters of words. max_dup_lines: largest number of repeated lines to a hundred words."""
+    words in such spans. max_longest: largest share of words in the longest repeat, which min_span words never exceed."""
 
     min_span: int = 12
     max_covered: float = 0.25
     max_longest: float = 0.20
-    max_symbols: float = 0.06
-    max_dup_lines: float = 10.0
 
 
 def _line_repeats(text: bytes) -> int:
@@ -66,12 +63,7 @@ def measure(texts: list[bytes | None], limits: Limits = Limits()) -> dict[str, n
     lines = np.array([_line_repeats(t) if t else 0 for t in texts], np.int64)
     repeat, cover = total[starts[1:]] - total[starts[:-1]], spans[starts[1:]] - spans[starts[:-1]]
     failed = (n_words < 20) | (100 * repeat > 30 * n_words)
-    bad = (
-        (cover > limits.max_covered * n_words)
-        | (top > np.maximum(limits.min_span, limits.max_longest * n_words))
-        | (symbols > limits.max_symbols * chars)
-        | (100 * lines > limits.max_dup_lines * n_words)
-    )
+    bad = (cover > limits.max_covered * n_words) | (top > np.maximum(limits.min_span, limits.max_longest * n_words))
     return {
         "n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": lines, "n_repeat_words": repeat,
         "covered_words": cover, "longest_repeat": top, "base_failed": failed, "kept": ~failed & ~bad,

@@ -91,7 +91,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
-    return quality_rules.quality_measures(table(spark, sf_dir, "documents"))
+    return quality_rules.quality_measures(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,5 +108,45 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Words of every document, and its windows of n words as text; i counts from 0.
+WORDS = r"(SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)"
+WINDOWS = "(SELECT doc_id, i, array_to_string(w[i + 1:i + {n}], ' ') AS gram FROM {words}, range(len(w) - {n} + 1) t(i) WHERE len(w) >= {n})"
+
+
+def _covered(words: str, n: int, marked: str) -> str:
+    """SQL for the places (doc_id, p) of words that marked windows (doc_id, i) of n words cover."""
+    return f"""SELECT doc_id, p FROM (SELECT q.doc_id, q.p, max((m.i IS NOT NULL)::INT) OVER (PARTITION BY q.doc_id ORDER BY q.p ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS hit
+        FROM (SELECT doc_id, p FROM {words}, range(len(w)) t(p)) q LEFT JOIN (SELECT DISTINCT doc_id, i FROM {marked}) m ON q.doc_id = m.doc_id AND q.p = m.i) WHERE hit = 1"""
+
+
+SUBSTRING_DEDUP = f"""WITH d AS MATERIALIZED {WORDS}, g AS MATERIALIZED {WINDOWS.format(n=50, words="d")}, f AS (SELECT gram, min(doc_id) AS first FROM g GROUP BY gram),
+    gone AS MATERIALIZED ({_covered("d", 50, "(SELECT doc_id, i FROM g JOIN f USING (gram) WHERE first < doc_id)")}),
+    k AS (SELECT doc_id, count(*) AS n, string_agg(w[p + 1], ' ' ORDER BY p) AS kept FROM (SELECT doc_id, w, p FROM d, range(len(w)) t(p)) q WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = q.doc_id AND gone.p = q.p) GROUP BY doc_id)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+NEAR_DEDUP = f"""WITH RECURSIVE d AS (SELECT doc_id, w FROM {WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}),
+    s AS MATERIALIZED (SELECT DISTINCT doc_id, gram FROM {WINDOWS.format(n=2, words="d")} UNION ALL SELECT doc_id, w[1] FROM d WHERE len(w) = 1),
+    n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * common >= 80 * (x.n + y.n - common)),
+    e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other),
+    c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)"""
+
+QUALITY_RULES = f"""WITH d AS MATERIALIZED {WORDS}, g AS MATERIALIZED {WINDOWS.format(n=8, words="d")}, h AS MATERIALIZED {WINDOWS.format(n=12, words="d")},
+    r AS ({_covered("d", 8, "(SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1)")}),
+    c AS ({_covered("d", 12, "(SELECT doc_id, i FROM h QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1)")}),
+    l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line FROM d WHERE text IS NOT NULL),
+    x AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+    b AS MATERIALIZED (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+        coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(c.n, 0)::BIGINT AS covered_words, len(w) < 20 OR 100 * coalesce(r.n, 0) > 30 * len(w) AS base_failed
+        FROM d LEFT JOIN x USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id) r USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id) c USING (doc_id)),
+    p AS (SELECT a.doc_id, a.i, z.i - a.i AS diagonal FROM h a JOIN h z ON a.doc_id = z.doc_id AND a.gram = z.gram AND a.i < z.i JOIN b ON a.doc_id = b.doc_id WHERE NOT base_failed),
+    t AS (SELECT doc_id, max(n) + 11 AS longest FROM (SELECT doc_id, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, diagonal ORDER BY i) AS run FROM p) GROUP BY doc_id, diagonal, run) GROUP BY doc_id)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, base_failed,
+        NOT base_failed AND NOT covered_words > 0.25::DOUBLE * n_words AND NOT coalesce(longest, 0) > greatest(12, 0.2::DOUBLE * n_words) AS kept FROM b LEFT JOIN t USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_substring_dedup": SUBSTRING_DEDUP, "op5_near_dedup": NEAR_DEDUP, "op9_quality_rules": QUALITY_RULES}
