@@ -26,7 +26,7 @@ def small(spark, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def found(small):
-    return cut(bubbles.bubbles(small.segments.where("len > 0"), small.arcs, 3))
+    return cut(bubbles.bubbles(small.segments.where("len > 0"), small.arcs))
 
 
 def test_read_and_close(small):

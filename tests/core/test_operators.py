@@ -52,7 +52,7 @@ def test_union_subtract_coverage(spark):
         hits = [(max(s, r.st), min(e, r.en)) for q, s, e, _ in b if q == r.k and s < r.en and r.st < e]
         assert (r.n_overlaps, r.covered) == (len(hits), len(covered(hits)))
     assert len(found) == 40
-    assert {r.a for r in intervals.contained(left, right, ["k"]).collect()} == {i for k, s, e, i in a if any(q == k and t <= s and e <= u for q, t, u, _ in b)}
+    assert {r.a for r in intervals.contained(left, right, ["k"], 8).collect()} == {i for k, s, e, i in a if any(q == k and t <= s and e <= u for q, t, u, _ in b)}
 
 
 def test_dense_numbers_and_runs(spark):

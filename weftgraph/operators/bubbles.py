@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from . import intervals
 from .lineage import cut
+from .ordering import dense_numbers
 
 
 def reference_line(segments: DataFrame) -> DataFrame:
     """(v, sn, place, so, len): the reference segments of each stable sequence in order, forward strand."""
-    by = Window.partitionBy("sn").orderBy("so", "seg")
-    return segments.where("sr = 0 AND sn IS NOT NULL").select((F.col("seg") * 2).alias("v"), "sn", (F.row_number().over(by) - 1).cast("long").alias("place"), "so", "len")
+    numbered = dense_numbers(segments.where("sr = 0 AND sn IS NOT NULL").select("sn", "so", "seg", "len"), ["sn", "so", "seg"], "_n")
+    first = numbered.groupBy("sn").agg(F.min("_n").alias("_first"))
+    return numbered.join(first, "sn").select((F.col("seg") * 2).alias("v"), "sn", (F.col("_n") - F.col("_first")).alias("place"), "so", "len")
 
 
 def detours(arcs: DataFrame, line: DataFrame, most_steps: int | None = None) -> DataFrame:
@@ -56,8 +58,12 @@ def bubbles(segments: DataFrame, arcs: DataFrame, most_steps: int | None = None)
     ends = spans.join(place.toDF("sn", "st", "source", "_so", "_len"), ["sn", "st"]).join(place.toDF("sn", "en", "sink", "_to", "_tl"), ["sn", "en"])
     ends = ends.select("sn", "st", "en", "source", "sink", (F.col("_so") + F.col("_len")).alias("ss"), F.col("_to").alias("se"))
     # every vertex of a bubble: its line vertices and what its ways pass
-    on = ends.join(place, ["sn"]).where("place >= st AND place <= en").select("sn", "st", "en", "source", "sink", "v")
-    off = ends.join(ways.select("sn", "a", "b", F.explode("inner").alias("v")), ["sn"]).where("a >= st AND b <= en").select("sn", "st", "en", "source", "sink", "v")
+    by_place = ends.select("sn", "st", "en", F.struct("st", "en", "source", "sink").alias("_e"))
+    at = place.select("sn", F.col("place").alias("st"), (F.col("place") + 1).alias("en"), "v")
+    on = intervals.overlap_join(by_place.withColumn("en", F.col("en") + 1), at, ["sn"], 256).select("sn", "_e.*", "v")
+    # a way is in the bubble that holds its first step along the line
+    way = ways.where("size(inner) > 0").select("sn", F.col("a").alias("st"), (F.col("a") + 1).alias("en"), "inner")
+    off = intervals.overlap_join(by_place, way, ["sn"], 256).select("sn", "_e.*", F.explode("inner").alias("v"))
     inside = cut(on.unionByName(off).distinct())
     size = inside.groupBy("sn", "st").agg(F.count(F.lit(1)).alias("n_seg"))
     local = inside.select("source", "sink", "v").join(arcs.select("v", "w").distinct(), "v").join(inside.select("source", F.col("v").alias("w")), ["source", "w"]).where("v <> sink")
@@ -73,8 +79,9 @@ def _split_touching(spans: DataFrame, ways: DataFrame) -> DataFrame:
     cuts = every.join(crossed, ["sn", "p"], "left_anti")
     by = Window.partitionBy("sn", "st").orderBy("p")
     pieces = cuts.select("sn", F.col("p").alias("a"), F.lead("p").over(by).alias("b")).where("b IS NOT NULL")
-    busy = ways.select("sn", F.col("a").alias("_a"), F.col("b").alias("_b"))
-    return pieces.join(busy, (pieces["sn"] == busy["sn"]) & (busy["_a"] >= pieces["a"]) & (busy["_b"] <= pieces["b"]), "left_semi").select("sn", F.col("a").alias("st"), F.col("b").alias("en"))
+    # no way spans a cut, so a way is in the piece that holds its first step
+    busy = ways.select("sn", F.col("a").alias("st"), (F.col("a") + 1).alias("en")).distinct()
+    return intervals.contained(busy, pieces.select("sn", F.col("a").alias("st"), F.col("b").alias("en")), ["sn"], 256, of=True)
 
 
 def _path_lengths(local: DataFrame, ends: DataFrame) -> DataFrame:

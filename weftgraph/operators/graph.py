@@ -137,42 +137,59 @@ def spell(steps: DataFrame, vertex: DataFrame) -> DataFrame:
     return parts.groupBy("path").agg(F.sort_array(F.collect_list("_p")).alias("_p")).select("path", F.array_join(F.transform("_p", lambda p: p["part"]), "").alias("seq"))
 
 
-def reach(arcs: DataFrame, sources: DataFrame, most_steps: int, most_dist: int | None = None) -> DataFrame:
-    """Smallest distance and steps from each source to what it reaches within bounds: (source, v, dist, steps).
-
-    arcs: (v, w, dist). One join and one aggregation a step; only vertices whose distance fell go on."""
-    found = sources.select("source", F.col("source").alias("v"), F.lit(0).cast("long").alias("dist"), F.lit(0).alias("steps"))
-    front = found
-    for k in range(1, most_steps + 1):
+def reach(arcs: DataFrame, sources: DataFrame, most_dist: int | None = None) -> DataFrame:
+    """Smallest distance from each source to what it reaches, and the fewest steps of that distance:
+    (source, v, dist, steps).
+
+    arcs: (v, w, dist), no distance below zero. One join and one aggregation a round; only vertices whose
+    distance fell go on, until none did."""
+    if not arcs.where("dist < 0").isEmpty():
+        raise ValueError("distances below zero")
+    found = cut(sources.select("source", F.col("source").alias("v"), F.lit(0).cast("long").alias("dist"), F.lit(0).alias("steps")).distinct())
+    front, k = found, 0
+    while not front.isEmpty():
+        k += 1
         ahead = front.join(arcs.select("v", "w", F.col("dist").alias("_d")), "v").select("source", F.col("w").alias("v"), (F.col("dist") + F.col("_d")).alias("dist"), F.lit(k).alias("steps"))
         if most_dist is not None:
             ahead = ahead.where(F.col("dist") <= most_dist)
-        ahead = ahead.groupBy("source", "v").agg(F.min(F.struct("dist", "steps")).alias("_b")).select("source", "v", "_b.*")
         found = cut(found.unionByName(ahead).groupBy("source", "v").agg(F.min(F.struct("dist", "steps")).alias("_b")).select("source", "v", "_b.*"))
         front = found.where(F.col("steps") == k)
     return found
 
 
-def k_shortest(arcs: DataFrame, pairs: DataFrame, most_steps: int, k: int) -> DataFrame:
-    """The k shortest walks of each (source, target), of at most some steps, ties by the walk's vertices.
-
-    Walks grow by one arc a round; at each vertex only the k shortest walks of a source and target go on,
-    as a longer one can't be among the k shortest through it for the same number of steps."""
-    grown = pairs.select("source", "target", F.col("source").alias("v"), F.lit(0).cast("long").alias("dist"), F.array("source").alias("walk"))
-    out = grown.where("v = target")
-    best = lambda keys: Window.partitionBy(*keys).orderBy("dist", "walk")
-    for _ in range(most_steps):
-        grown = grown.join(arcs.select("v", "w", F.col("dist").alias("_d")), "v").select("source", "target", F.col("w").alias("v"), (F.col("dist") + F.col("_d")).alias("dist"), F.concat("walk", F.array("w")).alias("walk"))
-        grown = cut(grown.withColumn("_r", F.row_number().over(best(["source", "target", "v"]))).where(F.col("_r") <= k).drop("_r"))
-        out = out.unionByName(grown.where("v = target"))
-    return out.withColumn("rank", F.row_number().over(best(["source", "target"]))).where(F.col("rank") <= k).select("source", "target", "rank", "dist", "walk")
-
-
-def count_paths(arcs: DataFrame, sources: DataFrame, most_steps: int, most: int = 2**31 - 1) -> DataFrame:
-    """The number of paths from each source to each vertex of an acyclic graph, saturating at `most`."""
-    front = sources.select("source", F.col("source").alias("v"), F.lit(1).cast("long").alias("n"))
-    out = front
-    for _ in range(most_steps):
-        front = cut(front.join(arcs.select("v", "w"), "v").groupBy("source", F.col("w").alias("v")).agg(F.least(F.sum("n"), F.lit(most)).alias("n")))
-        out = out.unionByName(front)
-    return out.groupBy("source", "v").agg(F.least(F.sum("n"), F.lit(most)).alias("n"))
+def k_shortest(arcs: DataFrame, pairs: DataFrame, k: int, most_dist: int | None = None) -> DataFrame:
+    """The k shortest walks of each (source, target), of at most some length, ties by the walk's vertices.
+
+    Walks grow from each source by one arc a round; at each vertex only its k shortest from a source stay, as
+    only they can begin the k shortest to any other. It ends when no walk is new; distances must be over zero,
+    so that walks around a cycle get longer."""
+    if not arcs.where("dist <= 0").isEmpty():
+        raise ValueError("distances of zero or less")
+    rank = F.row_number().over(Window.partitionBy("source", "v").orderBy("dist", "walk"))
+    steps = arcs.select("v", "w", F.col("dist").alias("_d"))
+    best = cut(pairs.select("source").distinct().select("source", F.col("source").alias("v"), F.lit(0).cast("long").alias("dist"), F.array("source").alias("walk"), F.lit(0).alias("round")))
+    front, done = best, 0
+    while not front.isEmpty():
+        done += 1
+        grown = front.join(steps, "v").select("source", F.col("w").alias("v"), (F.col("dist") + F.col("_d")).alias("dist"), F.concat("walk", F.array("w")).alias("walk"), F.lit(done).alias("round"))
+        if most_dist is not None:
+            grown = grown.where(F.col("dist") <= most_dist)
+        best = cut(best.unionByName(grown).withColumn("_r", rank).where(F.col("_r") <= k).drop("_r"))
+        front = best.where(F.col("round") == done)
+    return best.withColumn("rank", rank).withColumnRenamed("v", "target").join(pairs.select("source", "target").distinct(), ["source", "target"]).select("source", "target", "rank", "dist", "walk")
+
+
+def count_paths(arcs: DataFrame, sources: DataFrame, most: int = 2**31 - 1) -> DataFrame:
+    """The number of paths from each source to each vertex of an acyclic graph, saturating at `most`; a cycle that
+    a source reaches is an error, as paths then have no end."""
+    steps = arcs.select("v", "w")
+    n_vertices = steps.select("v").unionByName(steps.select(F.col("w").alias("v"))).distinct().count()
+    front = cut(sources.select("source", F.col("source").alias("v"), F.lit(1).cast("long").alias("n")).distinct())
+    out, done = front, 0
+    while not front.isEmpty():
+        done += 1
+        if done > n_vertices:
+            raise ValueError("the graph has a cycle")
+        front = cut(front.join(steps, "v").groupBy("source", F.col("w").alias("v")).agg(F.least(F.sum("n"), F.lit(most)).alias("n")))
+        out = cut(out.unionByName(front).groupBy("source", "v").agg(F.least(F.sum("n"), F.lit(most)).alias("n")))
+    return out

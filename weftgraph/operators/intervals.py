@@ -26,11 +26,19 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], width: int, how: s
     return pairs if how == "inner" else pairs.unionByName(missing, allowMissingColumns=True)
 
 
-def contained(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of a that lie whole in a row of b."""
-    inner = b.select(*keys, F.col("st").alias("_st"), F.col("en").alias("_en"))
-    on = [a[k] == inner[k] for k in keys] + [inner["_st"] <= a["st"], a["en"] <= inner["_en"]]
-    return a.join(inner, on, "left_semi")
+def contained(a: DataFrame, b: DataFrame, keys: list[str], width: int, of: bool = False) -> DataFrame:
+    """The rows of a that lie whole in a row of b; with `of`, the rows of b that hold one of a.
+
+    b is cut into bins of `width`, and a row of a looks in the bin of its start only."""
+    own = a.withColumn("_bin", F.floor(F.col("st") / width))
+    held = b.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("st") / width), F.floor(F.greatest("en", "st") / width))))
+    if of:
+        inner = own.select(*keys, "_bin", F.col("st").alias("_st"), F.col("en").alias("_en"))
+        on = [held[k] == inner[k] for k in [*keys, "_bin"]] + [held["st"] <= inner["_st"], inner["_en"] <= held["en"]]
+        return held.join(inner, on, "left_semi").drop("_bin").distinct()
+    outer = held.select(*keys, "_bin", F.col("st").alias("_st"), F.col("en").alias("_en"))
+    on = [own[k] == outer[k] for k in [*keys, "_bin"]] + [outer["_st"] <= own["st"], own["en"] <= outer["_en"]]
+    return own.join(outer, on, "left_semi").drop("_bin")
 
 
 def _merge(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,15 +94,27 @@ def sliding_windows(lengths: DataFrame, keys: list[str], size: int, step: int) -
     return at.select(*keys, F.greatest(F.col("_x") - half, F.lit(0)).alias("st"), F.least(F.col("_x") + half, F.col("length")).alias("en"), F.col("_x").alias("centre"))
 
 
-def step_lookup(points: DataFrame, steps: DataFrame, keys: list[str], value: str) -> DataFrame:
+def step_lookup(points: DataFrame, steps: DataFrame, keys: list[str], value: str, width: int) -> DataFrame:
     """points (keys, pos) with the interpolated value of a piecewise linear function given by steps
-    (keys, pos, value), flat after its last step, null before its first. One pass over both, merged in order."""
-    by = Window.partitionBy(*keys).orderBy("pos")
-    ahead = steps.select(*keys, "pos", value, F.lead("pos").over(by).alias("_next"), F.lead(value).over(by).alias("_to"))
-    packed = ahead.select(*keys, "pos", F.struct("pos", F.col(value).alias("value"), "_next", "_to").alias("_piece"), F.lit(0).alias("_side"))
-    asked = points.withColumns({"_piece": F.lit(None).cast(packed.schema["_piece"].dataType), "_side": F.lit(1)})
-    both = asked.unionByName(packed, allowMissingColumns=True)
-    last = F.last("_piece", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("pos", "_side").rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("_p", last).where("_side = 1")
-    slope = (F.col("_p._to") - F.col("_p.value")) * (F.col("pos") - F.col("_p.pos")) / (F.col("_p._next") - F.col("_p.pos"))
-    return found.withColumn(value, F.col("_p.value") + F.coalesce(slope, F.lit(0.0))).drop("_piece", "_side", "_p")
+    (keys, pos, value; one for each pos), flat after its last step, null before its first.
+
+    Both are cut into bins of `width`; each bin merges its points and steps in order and gets the last step
+    before it and the first behind it, which one row for each bin tells. So a key with very many points is
+    many groups."""
+    own = F.floor(F.col("pos") / width)
+    steps = steps.select(*keys, own.alias("_bin"), "pos", F.struct(F.col("pos").alias("p"), F.col(value).alias("v")).alias("_s"))
+    points = points.withColumn("_bin", own)
+    ends = steps.groupBy(*keys, "_bin").agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
+    bins = points.select(*keys, "_bin").distinct().join(ends, [*keys, "_bin"], "full")
+    by = Window.partitionBy(*keys).orderBy("_bin")
+    before = F.last("_hi", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    behind = F.first("_lo", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
+    bins = bins.select(*keys, "_bin", before.alias("_before"), behind.alias("_behind"))
+    # a step comes before a point of its place, and after it no step of that place comes
+    both = points.withColumns({"_s": F.lit(None).cast(steps.schema["_s"].dataType), "_side": F.lit(1)}).unionByName(steps.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    by = Window.partitionBy(*keys, "_bin").orderBy("pos", "_side")
+    near = both.withColumns({"_a": F.last("_s", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.first("_s", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))})
+    found = near.where("_side = 1").join(bins, [*keys, "_bin"])
+    a, b = F.coalesce("_a", "_before"), F.coalesce("_b", "_behind")
+    slope = (b["v"] - a["v"]) * (F.col("pos") - a["p"]) / (b["p"] - a["p"])
+    return found.withColumn(value, a["v"] + F.coalesce(slope, F.lit(0.0))).drop("_bin", "_s", "_side", "_a", "_b", "_before", "_behind")

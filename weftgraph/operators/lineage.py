@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the cluster's checkpoint folder and read back; only where none is named, as in tests, a
-    temporary one is set."""
+    """df written to the cluster's checkpoint folder and read back; only where none is named and Spark runs in this
+    one process, as in tests, a temporary one is set. On a cluster a folder of one machine would lose rows."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='weft-checkpoint-')}")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='weft-checkpoint-')}")
     return df.checkpoint()

@@ -166,7 +166,7 @@ def interval_overlap_join(spark, sf):
 def interval_containment_semi(spark, sf):
     """Events inside an island of several events (JN-7)."""
     e = event_windows(spark, sf, 3600)
-    return intervals.contained(e, intervals.union(e, ["user_id"], 86_400).where("n > 1"), ["user_id"]).select("event_id")
+    return intervals.contained(e, intervals.union(e, ["user_id"], 86_400).where("n > 1"), ["user_id"], 86_400).select("event_id")
 
 
 @query(f"SELECT user_id, sum(en - st)::BIGINT AS length, count(*) AS islands FROM ({ISLANDS.format(key='user_id', rows=WINDOWS)}) GROUP BY user_id")
@@ -223,7 +223,7 @@ def step_function_asof(spark, sf):
     """Values between the steps that every tenth event sets (JN-14)."""
     e = event_times(spark, sf).withColumnRenamed("st", "pos")
     steps = e.where("event_id % 10 = 0").groupBy("event_type", "pos").agg(F.max("value").alias("value"))
-    found = intervals.step_lookup(e.where("event_id % 10 <> 0").select("event_type", "pos", "event_id"), steps, ["event_type"], "value")
+    found = intervals.step_lookup(e.where("event_id % 10 <> 0").select("event_type", "pos", "event_id"), steps, ["event_type"], "value", 3600)
     return found.select("event_id", F.round("value", 6).alias("value"))
 
 
@@ -405,21 +405,21 @@ PATHS = f"WITH RECURSIVE a AS MATERIALIZED {DAG}, p(source, v, dist, walk) AS (S
 def reachability_min_dist(spark, sf):
     """Smallest distances from the regions (JN-10)."""
     sources = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("source"))
-    return graph.reach(layered(spark, sf), sources, 7).select("source", "v", "dist")
+    return graph.reach(layered(spark, sf), sources).select("source", "v", "dist")
 
 
 @query(f"{PATHS} SELECT source, v AS target, row_number() OVER (PARTITION BY source, v ORDER BY dist, walk) AS rank, dist, array_to_string(walk, '>') AS walk FROM p WHERE v >= 100000 QUALIFY rank <= 3")
 def k_shortest_walks(spark, sf):
     """The three shortest walks from each region to each supplier (JN-10, SO-4)."""
     pairs = table(spark, sf, "region").crossJoin(table(spark, sf, "supplier").select((F.col("s_suppkey") + 100_000).alias("target"))).select(F.col("r_regionkey").cast("long").alias("source"), "target")
-    found = graph.k_shortest(layered(spark, sf), pairs, 7, 3)
+    found = graph.k_shortest(layered(spark, sf), pairs, 3)
     return found.withColumn("walk", F.array_join(F.transform("walk", lambda x: x.cast("string")), ">"))
 
 
 @query(f"{PATHS} SELECT source, v, count(*) AS n FROM p GROUP BY ALL")
 def path_count_dp(spark, sf):
     """The number of paths from each region (AG-12)."""
-    return graph.count_paths(layered(spark, sf), table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("source")), 7)
+    return graph.count_paths(layered(spark, sf), table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("source")))
 
 
 @query("WITH c AS (SELECT l_partkey AS seg, sum(CAST(l_quantity AS BIGINT)) AS c FROM lineitem GROUP BY 1) SELECT p_partkey AS seg, round(coalesce(c, 0) / p_size, 6) AS depth FROM part LEFT JOIN c ON seg = p_partkey")

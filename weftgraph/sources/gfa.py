@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar, tags
 from ..operators.graph import SequenceGraph, flip, number_segments
+from ..operators.ordering import dense_numbers
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines (plain or gzipped) with their fields; `line` orders them: the file, then the place in it."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
-    return lines.where(F.length("value") >= 3).where(F.substring("value", 2, 1) == "\t").select(F.struct("_file", "_at").alias("line"), F.split("value", "\t").alias("f"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    return lines.where(F.length("value") >= 3).where(F.substring("value", 2, 1) == "\t").select(F.struct("_file", "_block", "_at").alias("line"), F.split("value", "\t").alias("f"))
 
 
 def overlap(text: Column) -> Column:
@@ -40,7 +41,12 @@ def parse_gfa(lines: DataFrame) -> SequenceGraph:
     arcs = l_.withColumn("_o", overlap(F.col("o"))).withColumn("link", F.xxhash64("a", "ao", "b", "bo", "o", "line.*"))
     arcs = arcs.join(ids.select(F.col("name").alias("a"), F.col("seg").alias("_sa")), "a").join(ids.select(F.col("name").alias("b"), F.col("seg").alias("_sb")), "b")
     arcs = arcs.select(vertex("_sa", "ao").alias("v"), vertex("_sb", "bo").alias("w"), "_o.ov", "_o.ow", F.coalesce(long("SR"), F.lit(-1).cast("long")).alias("rank"), "link", F.lit(False).alias("comp"), tags.drop(F.col("tags"), "SR").alias("tags"))
-    return SequenceGraph(segments, arcs)
+    # L1 and L2, the parts of the two segments outside the overlap, tell how long these are at least
+    known = arcs.select(F.shiftright("v", 1).alias("seg"), (F.col("ov") + tags.get(F.col("tags"), "L1").try_cast("long")).alias("_l"))
+    known = known.unionByName(arcs.select(F.shiftright("w", 1).alias("seg"), (F.col("ow") + tags.get(F.col("tags"), "L2").try_cast("long")).alias("_l")))
+    longest = known.where("_l IS NOT NULL").groupBy("seg").agg(F.max("_l").alias("_l"))
+    segments = segments.join(longest, "seg", "left").withColumn("len", F.greatest("len", "_l")).drop("_l")
+    return SequenceGraph(segments, arcs.withColumn("tags", tags.drop(F.col("tags"), "L1", "L2")))
 
 
 def read_gfa(spark: SparkSession, path: str) -> SequenceGraph:
@@ -48,10 +54,8 @@ def read_gfa(spark: SparkSession, path: str) -> SequenceGraph:
 
 
 def fasta_graph(records: DataFrame) -> SequenceGraph:
-    """FASTA records (name, seq) as a graph of unlinked segments s1, s2, ... in order of their names."""
-    from ..operators.ordering import dense_numbers
-
-    numbered = dense_numbers(records.select("name", "seq"), ["name", "seq"], "seg")
+    """FASTA records (ord, name, seq) as a graph of unlinked segments s1, s2, ... in order of the records."""
+    numbered = dense_numbers(records.select("ord", "name", "seq"), ["ord"], "seg")
     empty = F.map_from_entries(F.array().cast("array<struct<key:string,value:struct<type:string,value:string>>>"))
     segments = numbered.select("seg", F.concat(F.lit("s"), (F.col("seg") + 1).cast("string")).alias("name"), F.upper("seq").alias("seq"), F.length("seq").cast("long").alias("len"), F.col("name").alias("sn"), F.lit(0).cast("long").alias("so"), F.lit(0).cast("long").alias("sr"), empty.alias("tags"))
     arcs = records.sparkSession.createDataFrame([], "v long, w long, ov long, ow long, rank long, link long, comp boolean, tags map<string,struct<type:string,value:string>>")
@@ -66,10 +70,10 @@ def gfa_lines(graph: SequenceGraph) -> DataFrame:
     lines = s.select(F.lit(0).alias("_k"), F.col("seg").alias("_a"), F.lit(0).cast("long").alias("_b"), text(parts).alias("value"))
     hairpin = F.col("v") == flip("w")  # its own complement: one line
     arcs = graph.arcs.where(~F.col("comp") | hairpin)
-    name = s.select(F.col("seg").alias("_s"), F.col("name").alias("_n"))
+    name = s.select(F.col("seg").alias("_s"), F.col("name").alias("_n"), F.col("len").alias("_l"))
     sign = lambda v: F.when(F.col(v).bitwiseAND(F.lit(1).cast("long")) == 1, "-").otherwise("+")
-    a = arcs.join(name, F.shiftright("v", 1) == F.col("_s")).withColumnRenamed("_n", "_from").drop("_s").join(name, F.shiftright("w", 1) == F.col("_s"))
-    parts = [F.lit("L"), F.col("_from"), sign("v"), F.col("_n"), sign("w"), F.concat(F.least("ov", "ow").cast("string"), F.lit("M")), F.when(F.col("rank") >= 0, F.concat(F.lit("SR:i:"), "rank"))]
+    a = arcs.join(name, F.shiftright("v", 1) == F.col("_s")).withColumnRenamed("_n", "_from").drop("_s").withColumnRenamed("_l", "_from_len").join(name, F.shiftright("w", 1) == F.col("_s"))
+    parts = [F.lit("L"), F.col("_from"), sign("v"), F.col("_n"), sign("w"), F.concat(F.least("ov", "ow").cast("string"), F.lit("M")), F.when(F.col("rank") >= 0, F.concat(F.lit("SR:i:"), "rank")), F.concat(F.lit("L1:i:"), F.col("_from_len") - F.col("ov")), F.concat(F.lit("L2:i:"), F.col("_l") - F.col("ow"))]
     return lines.unionByName(a.select(F.lit(1).alias("_k"), F.col("v").alias("_a"), F.col("w").alias("_b"), text(parts).alias("value")))
 
 
