@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .nt import complement
+
 
 def parse(cigar: Column) -> Column:
     """'3M1I' as an array of structs (op, len)."""
@@ -43,3 +45,18 @@ def summary(runs: Column) -> Column:
         match.alias("mlen"), (match + bad + ins + gone).alias("blen"), (match + bad + gone).alias("tlen"), (match + bad + ins).alias("qlen"),
         (match / F.nullif(match + bad + ins + gone, F.lit(0))).alias("identity"), (match / F.nullif(match + bad + gaps, F.lit(0))).alias("gap_compressed"),
     )
+
+
+def reverse(runs: Column) -> Column:
+    """The runs as seen from the other strand."""
+    return F.reverse(runs)
+
+
+def reverse_differences(text: Column) -> Column:
+    """A difference string (':12*ag+ac-t') as seen from the other strand: its parts in reverse order, inserted and
+    deleted bases reversed and complemented (brackets around ambiguous ones turn), substituted ones complemented."""
+    parts = F.reverse(F.regexp_extract_all(text, F.lit(r"(:[0-9]+|[*+-][A-Za-z\[\]]+)"), F.lit(1)))
+    rest = lambda p: complement(p.substr(F.lit(2), F.length(p)))
+    sign = lambda p: F.substring(p, 1, 1)
+    turned = lambda p: F.when(sign(p) == ":", p).when(sign(p) == "*", F.concat(sign(p), rest(p))).otherwise(F.concat(sign(p), F.translate(F.reverse(rest(p)), "[]", "][")))
+    return F.array_join(F.transform(parts, turned), "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ IUPAC = "ABCDGHKMNRSTUVWYabcdghkmnrstuvwy"
 COMPLEMENT = "TVGHCDMKNYSAABWRtvghcdmknysaabwr"
 
 
+def upper(seq: Column) -> Column:
+    """a-z as A-Z; other letters stay."""
+    return F.translate(seq, string.ascii_lowercase, string.ascii_uppercase)
+
+
 def complement(seq: Column) -> Column:
     return F.translate(seq, IUPAC, COMPLEMENT)
 
@@ -55,3 +62,39 @@ def hash_bits(key: Column, bits: int) -> Column:
 def name_stem(name: Column) -> Column:
     """A read name without the number of its mate."""
     return F.regexp_replace(name, "/[0-9]$", "")
+
+
+M32 = (1 << 32) - 1
+
+
+def hash32(key: Column) -> Column:
+    """A mix of 32-bit integers, as a number from 0 to 2**32 - 1. The shifts are fixed values."""
+    mask = F.lit(M32)
+    x = key.cast("long").bitwiseAND(mask)
+    inverse = lambda y, n: mask - F.shiftleft(y, n).bitwiseAND(mask)
+    x = (x + inverse(x, 15)).bitwiseAND(mask)
+    x = x.bitwiseXOR(F.shiftright(x, 10))
+    x = (x + F.shiftleft(x, 3)).bitwiseAND(mask)
+    x = x.bitwiseXOR(F.shiftright(x, 6))
+    x = (x + inverse(x, 11)).bitwiseAND(mask)
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def hash_text(text: Column) -> Column:
+    """The polynomial hash of a text's UTF-8 bytes (base 31, bytes over 127 as negative), modulo 2**32."""
+    digits = F.hex(text.cast("binary"))
+    at = F.sequence(F.lit(1), F.greatest(F.length(digits) / 2, F.lit(1)).cast("int"))
+    byte = lambda i: F.coalesce(F.conv(F.substr(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("long"), F.lit(0))
+    return F.aggregate(at, F.lit(0).cast("long"), lambda h, i: (h * 31 + byte(i) - F.when(byte(i) > 127, 256).otherwise(0)).bitwiseAND(F.lit(M32)))
+
+
+def query_seed(name: Column, length: Column, seed: int) -> Column:
+    """The seed of a query's tie-breaking hashes, from its name (null: none) and length."""
+    own = F.coalesce(hash_text(name), F.lit(0))
+    return hash32(own.bitwiseXOR((hash32(length) + hash32(F.lit(seed))).bitwiseAND(F.lit(M32))))
+
+
+def divergence(n_minimizers: Column, n_anchors: Column, span: Column) -> Column:
+    """Estimated divergence of a chain: the log of minimizers to anchors by the k-mer's length; a chain with more
+    anchors than minimizers counts by the inverse ratio."""
+    return F.abs(F.ln(n_minimizers / n_anchors)) / span

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import flip
+from ..functions import tags
+from .graph import SequenceGraph, flip
 from .intervals import union_length
 
 
@@ -37,3 +38,16 @@ def breadth(steps: DataFrame, segments: DataFrame, sample: str, n_samples: int)
 def link_use(steps: DataFrame, sample: str, by: list[str], n_samples: int) -> DataFrame:
     """The share of samples that take each arc."""
     return traversals(steps, [sample, *by]).groupBy("v", "w").agg((F.count_distinct(sample) / n_samples).alias("use"))
+
+
+def write_tags(graph: SequenceGraph, tag: str, segs: DataFrame | None = None, links: DataFrame | None = None) -> SequenceGraph:
+    """graph with coverage as a float tag: segs (seg, value) on segments, links (v, w, value) on arcs, of which those that
+    complete a link's other strand stay as they are."""
+    segments, arcs = graph.segments, graph.arcs
+    text = F.round("_value", 6).cast("string")
+    if segs is not None:
+        segments = segments.join(segs.select("seg", F.col("value").alias("_value")), "seg", "left").withColumn("tags", F.when(F.col("_value").isNotNull(), tags.put(F.col("tags"), tag, "f", text)).otherwise(F.col("tags"))).drop("_value")
+    if links is not None:
+        own = F.col("_value").isNotNull() & ~F.col("comp")
+        arcs = arcs.join(links.select("v", "w", F.col("value").alias("_value")), ["v", "w"], "left").withColumn("tags", F.when(own, tags.put(F.col("tags"), tag, "f", text)).otherwise(F.col("tags"))).drop("_value")
+    return SequenceGraph(segments, arcs)

@@ -58,6 +58,17 @@ def infer_overlaps(arcs: DataFrame) -> DataFrame:
     return fill.where("ov IS NOT NULL AND ow IS NOT NULL").drop("_n", "_ov", "_ow")
 
 
+def has_overlaps(arcs: DataFrame) -> bool:
+    """Whether some arc has an overlap: such a graph can't be mapped to."""
+    return not arcs.where("ov <> 0 OR ow <> 0").isEmpty()
+
+
+def number_sequences(segments: DataFrame) -> DataFrame:
+    """(sn, snid): a gapless number for each stable sequence, by the smallest segment on it."""
+    first = segments.where("sn IS NOT NULL").groupBy("sn").agg(F.min("seg").alias("_first"))
+    return dense_numbers(first, ["_first"], "snid").drop("_first")
+
+
 def drop_dangling(arcs: DataFrame, segments: DataFrame) -> DataFrame:
     """The arcs both of whose segments exist and have a length."""
     live = segments.where("len > 0").select(F.col("seg").alias("_seg"))

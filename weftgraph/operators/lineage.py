@@ -3,8 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = f"file://{tempfile.mkdtemp(prefix='weft-shared-')}"
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -12,8 +29,5 @@ def cut(df: DataFrame) -> DataFrame:
     one process, as in tests, a temporary one is set. On a cluster a folder of one machine would lose rows."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='weft-checkpoint-')}")
+        context.setCheckpointDir(_folder(df.sparkSession))
     return df.checkpoint()

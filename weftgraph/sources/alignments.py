@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import tags
+from ..functions import nt, tags
 
 GAF = "qname string, qlen long, qs long, qe long, strand string, path string, plen long, ps long, pe long, mlen long, blen long, mapq int".split(", ")
 #: name of a BED-like layout and its columns
@@ -16,6 +16,8 @@ LAYOUTS = {
     "calls": "ctg string, st long, en long, src string, sink string, call string",
     "genes": "ctg string, st long, en long, gene string, score string, strand string",
     "lengths": "ctg string, length long",
+    "motifs": "ctg string, st long, en long, score string, motif_len int",
+    "centromeres": "ctg string, st long, en long, label int",
     "map": "ctg string, pos long, value double",
 }
 
@@ -60,6 +62,25 @@ def call_lines(calls: DataFrame) -> DataFrame:
     return calls.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in ("ctg", "st", "en", "src", "sink")], call).alias("value"))
 
 
+def chain_lines(chains: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """Linear chains (aln, step, v, name, len, n, mini_first, mini_last, span, ts, te, qs, qe) as lines that follow their
+    alignment's, with the divergence; with anchors (aln, step, x, y) also the steps between them. n of 0: no anchors."""
+    n = F.col("mini_last") - F.col("mini_first") + 1
+    div = nt.divergence(n, F.col("n"), F.col("span"))
+    shown = F.when(n == F.col("n"), "0").otherwise(F.format_string("%.4f", div))
+    text = lambda *names: [F.col(c).cast("string") for c in names]
+    head = [F.lit("*"), F.concat(F.when(F.col("v") % 2 == 1, "<").otherwise(">"), "name"), *text("len", "n")]
+    if anchors is not None:
+        by = Window.partitionBy("aln", "step").orderBy("x", "y")
+        gaps = anchors.withColumns({"_dx": F.col("x") - F.lag("x").over(by), "_dy": F.col("y") - F.lag("y").over(by), "_k": F.row_number().over(by)}).where("_dx IS NOT NULL")
+        listed = F.sort_array(F.collect_list(F.struct("_k", "_dx", "_dy")))
+        joined = lambda c: F.array_join(F.transform(listed, lambda x: x[c].cast("string")), ",")
+        chains = chains.join(gaps.groupBy("aln", "step").agg(joined("_dx").alias("_xs"), joined("_dy").alias("_ys")), ["aln", "step"], "left")
+    more = [*text("span"), F.coalesce("_xs", F.lit("")), F.coalesce("_ys", F.lit(""))] if anchors is not None else []
+    line = F.when(F.col("n") > 0, F.concat_ws("\t", *head, shown, *text("ts", "te", "qs", "qe"), *more)).otherwise(F.concat_ws("\t", *head))
+    return chains.select("aln", "step", line.alias("value"))
+
+
 def vcf_lines(merged: DataFrame, samples: list[str], source: str = "weftgraph") -> DataFrame:
     """Merged bubbles (ctg, st, en, ns, na, ac, awalk, gt) as VCF 4.2 lines with symbolic alleles, header first."""
     head = ["##fileformat=VCFv4.2", f"##source={source}", '##INFO=<ID=END,Number=1,Type=Integer,Description="End">', '##INFO=<ID=NS,Number=1,Type=Integer,Description="Samples called">', '##INFO=<ID=AC,Number=.,Type=Integer,Description="Allele counts">', '##INFO=<ID=AWALK,Number=.,Type=String,Description="Walks">', '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]

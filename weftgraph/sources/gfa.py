@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cigar, tags
+from ..functions import cigar, nt, tags
 from ..operators.graph import SequenceGraph, flip, number_segments
 from ..operators.ordering import dense_numbers
 
@@ -35,7 +35,7 @@ def parse_gfa(lines: DataFrame) -> SequenceGraph:
     ids = number_segments(names, ["line"])
     long = lambda k: tags.get(F.col("tags"), k).try_cast("long")
     first = s.groupBy("name").agg(F.min_by(F.struct("seq", "tags"), "line").alias("x")).select("name", "x.*")
-    seq = F.when(F.col("seq") != "*", F.upper("seq"))
+    seq = F.when(F.col("seq") != "*", nt.upper(F.col("seq")))
     segments = ids.join(first, "name", "left").select("seg", "name", seq.alias("seq"), F.coalesce(F.length(seq).cast("long"), long("LN"), F.lit(0).cast("long")).alias("len"), tags.get(F.col("tags"), "SN").alias("sn"), F.coalesce(long("SO"), F.lit(0).cast("long")).alias("so"), F.coalesce(long("SR"), F.lit(0).cast("long")).alias("sr"), tags.drop(F.col("tags"), "LN", "SN", "SO", "SR").alias("tags"))
     vertex = lambda seg, o: F.col(seg) * 2 + F.when(F.col(o) == "-", 1).otherwise(0)
     arcs = l_.withColumn("_o", overlap(F.col("o"))).withColumn("link", F.xxhash64("a", "ao", "b", "bo", "o", "line.*"))
@@ -57,7 +57,7 @@ def fasta_graph(records: DataFrame) -> SequenceGraph:
     """FASTA records (ord, name, seq) as a graph of unlinked segments s1, s2, ... in order of the records."""
     numbered = dense_numbers(records.select("ord", "name", "seq"), ["ord"], "seg")
     empty = F.map_from_entries(F.array().cast("array<struct<key:string,value:struct<type:string,value:string>>>"))
-    segments = numbered.select("seg", F.concat(F.lit("s"), (F.col("seg") + 1).cast("string")).alias("name"), F.upper("seq").alias("seq"), F.length("seq").cast("long").alias("len"), F.col("name").alias("sn"), F.lit(0).cast("long").alias("so"), F.lit(0).cast("long").alias("sr"), empty.alias("tags"))
+    segments = numbered.select("seg", F.concat(F.lit("s"), (F.col("seg") + 1).cast("string")).alias("name"), nt.upper(F.col("seq")).alias("seq"), F.length("seq").cast("long").alias("len"), F.col("name").alias("sn"), F.lit(0).cast("long").alias("so"), F.lit(0).cast("long").alias("sr"), empty.alias("tags"))
     arcs = records.sparkSession.createDataFrame([], "v long, w long, ov long, ow long, rank long, link long, comp boolean, tags map<string,struct<type:string,value:string>>")
     return SequenceGraph(segments, arcs)
 
