@@ -190,6 +190,31 @@ def test_sharding(spark, docs, plain):
     again = sharding.external_shuffle(plain, 4, buckets_per_shard=2).collect()
     assert Counter((r.doc_id, r.shard, r.slot) for r in again) == Counter((r.doc_id, r.shard, r.slot) for r in found)
     assert sharding.external_shuffle(docs, 3).count() == len(ROWS)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")  # the order is the seed's alone
+    other = sharding.external_shuffle(plain, 4, buckets_per_shard=2).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert Counter((r.doc_id, r.shard, r.slot) for r in other) == Counter((r.doc_id, r.shard, r.slot) for r in found)
+
+
+def test_sharding_of_many_equal_rows_and_maps(spark):
+    rows = [(None, "same", {"b": 1, "a": 2})] * 3000 + [(5, "same", None)] * 1500 + [(i, "x", {}) for i in range(500)]
+    found = sharding.external_shuffle(spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>"), 5).collect()
+    assert Counter((r.doc_id, r.text, repr(r.m and sorted(r.m.items()))) for r in found) == Counter((i, t, repr(m and sorted(m.items()))) for i, t, m in rows)
+    assert Counter(r.shard for r in found) == {k: 1000 for k in range(5)}
+    # copies scatter: each shard has its part of them
+    assert all(450 < sum(r.shard == k for r in found if r.doc_id is None) < 750 for k in range(5))
+
+
+def test_sharding_query(spark, tmp_path):
+    """The digest columns of the query against plain Python."""
+    from weftgraph.llm import queries
+
+    rows = [(i, t) for i, t in ROWS if i is not None]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op7_sharding(spark, str(tmp_path)).collect()
+    want = Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), "rows", None) for i, t in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in found) == want
+    assert all(0 <= r.shard < 40 for r in found)
 
 
 def test_sharding_is_uniform(spark):

@@ -6,14 +6,15 @@ record in the whole is the number of records in the buckets before plus its plac
 are equal ranges of places, so their row counts are at most one apart (the law `rows`).
 
 Defined cases: null ids and null texts are records as any other (a null text has no bytes); repeated rows
-are kept, each at a place of its own; an empty table gives no rows. Other columns pass through, but for
-those named shard or slot.
+are kept, each at a place of its own, and scatter over all buckets however many they are; an empty table gives
+no rows. Other columns pass through, maps too, but for those named shard or slot.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .common import col, others, shared_path
 
@@ -25,24 +26,41 @@ def record_size(text: str = "text"):
     return (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + RECORD_OVERHEAD).cast("long")
 
 
+def _numbered(docs: DataFrame, names: list[str], key, most: int) -> DataFrame:
+    """docs with `_copy`: rows that are equal in all columns, if their key stands in more than `most` rows, get
+    numbers; all others 0. Equal rows are counted before they move, and the counts become rows again."""
+    often = docs.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select("_key").collect()
+    if not often:
+        return docs.select(*map(col, names), F.lit(0).cast("long").alias("_copy"))
+    # each has over `most` rows, so there are fewer of them than the number of rows holds `most`
+    often = F.broadcast(docs.sparkSession.createDataFrame(often, "_key long"))
+    keyed = docs.withColumn("_key", key)
+    rare = keyed.join(often, "_key", "left_anti").select(*map(col, names), F.lit(0).cast("long").alias("_copy"))
+    counted = keyed.join(often, "_key", "left_semi").groupBy(*map(col, names)).agg(F.count(F.lit(1)).alias("_n"))
+    return rare.unionByName(counted.select(*map(col, names), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy")))
+
+
 def external_shuffle(docs: DataFrame, shards: int, seed: int = 17, bucket_bytes: int = 64 << 20, buckets_per_shard: int = 8) -> DataFrame:
     """docs with the columns shard and slot: a uniform shuffle, dealt to `shards` shards of equal row counts.
 
     bucket_bytes bounds what one task holds of a bucket; there are `buckets_per_shard` buckets for each shard
-    at least. Places need the row counts of the buckets, a table of as many rows as there are buckets.
-    """
+    at least, and a task for each, so that the order depends on the rows and the seed alone. Places need the
+    row counts of the buckets, a table of as many rows as there are buckets."""
     kept = others(docs, "shard", "slot")
+    maps = {f.name for f in docs.schema if isinstance(f.dataType, MapType)}
+    packed = docs.select(*[(F.array_sort(F.map_entries(col(c))) if c in maps else col(c)).alias(c) for c in kept])
     total, n = docs.select(F.sum(record_size()), F.count(F.lit(1))).first()
     n_buckets = max(shards * buckets_per_shard, -(-(total or 0) // bucket_bytes))
-    # the id alone names most records; where it is null, the text does
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.xxhash64("text"))), F.lit(n_buckets)).cast("int")
-    scattered = docs.select(F.struct(*map(col, kept)).alias("_record"), bucket.alias("_bucket"))
-    counts = docs.select(bucket.alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    packed = _numbered(packed, kept, key, max(1000, (n or 0) // (16 * n_buckets)))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"), F.col("_copy")), F.lit(n_buckets)).cast("int")
+    scattered = packed.select(F.struct(*map(col, kept)).alias("_record"), bucket.alias("_bucket"))
+    counts = scattered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     before = counts.selectExpr("_bucket", "sum(_rows) OVER (ORDER BY _bucket) - _rows AS _before")
     if n_buckets <= 1 << 16:  # 24 bytes each
         before = F.broadcast(before)
     dealt = (
-        scattered.repartition("_bucket")
+        scattered.repartition(n_buckets, "_bucket")
         .groupBy("_bucket")
         .agg(F.array_sort(F.collect_list("_record")).alias("_records"))
         .sortWithinPartitions("_bucket")  # shuffle() draws from one stream for each partition
@@ -52,11 +70,8 @@ def external_shuffle(docs: DataFrame, shards: int, seed: int = 17, bucket_bytes:
         .withColumn("_place", F.col("_before") + F.col("_at"))
         .withColumn("_shard", F.expr(f"(_place * {shards}) div {max(n, 1)}").cast("int"))
     )
-    return dealt.select(
-        "_record.*",
-        F.col("_shard").alias("shard"),
-        F.expr(f"_place - (CAST(_shard AS BIGINT) * {n} + {shards - 1}) div {shards}").alias("slot"),
-    )
+    own = [(F.map_from_entries(F.col("_record")[c]) if c in maps else F.col("_record")[c]).alias(c) for c in kept]
+    return dealt.select(*own, F.col("_shard").alias("shard"), F.expr(f"_place - (CAST(_shard AS BIGINT) * {n} + {shards - 1}) div {shards}").alias("slot"))
 
 
 def write_shards(docs: DataFrame, shards: int, path: str | None = None, **how) -> str:
