@@ -6,8 +6,8 @@ word repeated on its own weighs little), and a linear softmax on it gives the pa
 probability. A misspelling shares most n-grams with the word it spells. A text's score is that of its most
 toxic passage, over all passages of the whole text.
 
-Training takes a bounded sample: `Settings.docs_per_class` labelled documents of each class and
-`Settings.passages_per_doc` passages of each, both chosen by hash. Scoring only needs, for each n-gram
+Training takes a bounded sample of rows, whole texts: about `Settings.docs_per_class` labelled documents of each
+class, chosen by hash. Scoring only needs, for each n-gram
 bucket, the dot product of its embedding with the softmax weights: a broadcast of `buckets` floats.
 
 Defined cases: null and empty texts get the probability that the bias alone gives; null labels don't train;
@@ -33,7 +33,6 @@ from .common import as_bytes, claim
 @dataclass(frozen=True)
 class Settings:
     docs_per_class: int = 1500
-    passages_per_doc: int = 24
     passage_words: int = 48
     least_words: int = 24
     grams: tuple[int, int] = (3, 6)
@@ -190,10 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
             for text, toxic in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
                 words = text.split() if text else []
                 starts = passage_starts(len(words), s.passage_words).tolist()
-                cuts = list(zip(starts, [*starts[1:], len(words)]))
-                step = max(1, len(cuts) / s.passages_per_doc)
-                for k in range(int(len(cuts) / step)):
-                    a, b = cuts[int(k * step)]
+                for a, b in zip(starts, [*starts[1:], len(words)]):
                     out.append(b" ".join(words[a:b]))
                     marks.append(toxic)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(marks, pa.int32())], names=["passage", "toxic"])
