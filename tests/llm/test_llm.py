@@ -482,3 +482,20 @@ def test_file_order_of_records(spark, tmp_path):
     index.write.parquet(str(tmp_path / "index"))
     rows = {(int(r.file[5:].split("-")[0]), int(r.file[:-4].split("-c")[1])): r.start for r in token_records.read_index(spark, str(tmp_path / "index")).collect()}
     assert [rows[k] for k in sorted(rows)] == list(range(0, 60, 5))
+
+
+def test_visible_text_of_pages():
+    """The single pass against the pattern that says what is hidden, and its time on tags that never close."""
+    import html
+    import time
+
+    hidden = re.compile(r"(?is)<(script|style|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+    draw, parts = random.Random(4), ["<nav ", "</nav >", "<nav>", "<SCRIPT x>", "</script>", "<style", "</style\n>", "<!--", "-->", "<", ">", "a", " b ", "&amp;", "<p>", "</p>", "-", "<navy>", "<nav-x>"]
+    for _ in range(5000):
+        page = "".join(draw.choices(parts, k=draw.randint(0, 14)))
+        assert language_id.visible(page) == html.unescape(hidden.sub(" ", page)), page
+    for junk in ("<nav ", "<nav>", "<!--", "<", "<script>x", "<html "):
+        began = time.time()
+        language_id.visible(junk * 200_000)
+        language_id.LANG.search(junk * 200_000)
+        assert time.time() - began < 5

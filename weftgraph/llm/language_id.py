@@ -19,6 +19,7 @@ documents every page gets a null language. Other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections import Counter
@@ -45,12 +46,36 @@ class Settings:
     seed: int = 5
 
 
-HIDDEN = re.compile(r"(?is)<(script|style|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-LANG = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)")
+OPENING = re.compile(r"(?i)<(script|style|nav)\b")
+CLOSING = re.compile(r"(?i)</(script|style|nav)\s*>")
+LANG = re.compile(r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]+)")
 
 
 def visible(page: str) -> str:
-    return html.unescape(HIDDEN.sub(" ", page))
+    """A page's text: comments, tags, and scripts, styles and navigation with all in them become a space each. What
+    isn't closed counts as the tag alone, and behind the last '>' all is text. One pass over the page."""
+    ends: dict[str, list[tuple[int, int]]] = {"script": [], "style": [], "nav": []}
+    for m in CLOSING.finditer(page):
+        ends[m[1].lower().replace("\u017f", "s")].append(m.span())
+    out, at, comments = [], 0, True
+    while True:
+        i = page.find("<", at)
+        close = page.find(">", i + 1) if i >= 0 else -1
+        if close < 0:
+            out.append(page[at:])
+            return html.unescape("".join(out))
+        out += (page[at:i], " ")
+        at = close + 1
+        m = OPENING.match(page, i)
+        if m:
+            found = ends[m[1].lower().replace("\u017f", "s")]
+            k = bisect.bisect_left(found, (m.end(), 0))
+            if k < len(found):
+                at = found[k][1]
+        elif comments and page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            comments = end >= 0
+            at = end + 3 if comments else at
 
 
 def trigrams(word: str) -> list[str]:
