@@ -46,10 +46,9 @@ def shingles(texts: list[bytes | None], width: int) -> list[np.ndarray]:
         if n >= width:
             found = np.unique(whole[at : at + n - width + 1])
         elif n:
-            one = np.uint64(n)
+            found = np.array([n], np.uint64)  # arrays wrap around without a warning
             for w in words[at : at + n]:
-                one = _mix(np.array([one * BASE + w], np.uint64))[0]
-            found = np.array([one], np.uint64)
+                found = _mix(found * BASE + w)
         else:
             found = np.zeros(0, np.uint64)
         out.append(found)

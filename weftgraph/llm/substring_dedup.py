@@ -8,10 +8,13 @@ with one hash. Spark joins then work on pieces, about a twentieth of the words:
 1. pieces whose anchor occurs in one document only can't repeat; a join drops them;
 2. equal pieces (same anchor, same words) are one class; its first document is the source;
 3. an anchor with several classes is a branch: there, and only there, the pieces of each class in its first
-   document are expanded to their windows, read again from their source coordinates, and the windows are matched.
+   document are expanded to their windows, read again from their source coordinates, and the windows are matched;
+4. repeated pieces and windows that follow each other in a document and in their source alike are compacted to
+   one path; the words of each path are read again at its own and at its source's coordinates and compared.
 
-A window is a repeat if a document with a smaller id has it too; words that repeats cover are removed. This
-is exact up to collisions of 128 hash bits, at any number of copies.
+A window is a repeat if a document with a smaller id has it too; words that repeats cover are removed. Pieces
+meet by 64-bit hashes that are built on 64-bit hashes of words; what the comparison by 128-bit digests of the
+words themselves doesn't confirm is no repeat.
 
 Defined cases: a null text has no words and stays null; texts of fewer than `window` words lose nothing;
 rows with a null id count as after all others; rows with equal ids count as one document (they don't remove
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, chunks, claim, col, fields, in_arrow, others, stored
@@ -157,21 +160,58 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("row"), "text")
 
 
+def _digests(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, row, start, n, digest): 128-bit digests of the words of spans, read from their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (text, wanted) in enumerate(zip(as_bytes(batch.column(2)), batch.column(3))):
+                words = text.split()
+                start, n = (wanted.values.field(k) for k in range(2))
+                found = [xxhash.xxh3_128_digest(b" ".join(words[a : a + k])) for a, k in zip(start.to_pylist(), n.to_pylist())]
+                same = np.zeros(len(found), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(same + batch.column(0)[i].as_py()), pa.array(same + batch.column(1)[i].as_py()), start, n, pa.array(found, pa.binary())], names=["doc", "row", "start", "n", "digest"]
+                )
+
+    by_doc = spans.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("wanted"))  # different spans of one text
+    return docs.join(by_doc, ["doc", "row"]).select("doc", "row", "text", "wanted").mapInArrow(run, "doc long, row long, start int, n int, digest binary")
+
+
+def _paths(marks: DataFrame, window: int) -> DataFrame:
+    """Marks (doc, row, start, size, source) that follow each other in their document and in one source alike, as one."""
+    shift = F.col("start") - F.col("source.start")
+    keys = ["doc", "row", "s_doc", "s_row", "shift"]
+    rows = marks.select("doc", "row", "start", "size", F.col("source.doc").alias("s_doc"), F.col("source.row").alias("s_row"), shift.alias("shift"))
+    by = Window.partitionBy(*keys).orderBy("start", "size")
+    reach = F.max(F.col("start") + F.col("size")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    runs = rows.withColumn("_new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    found = runs.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("_end"))
+    return found.select("doc", "row", "start", (F.col("_end") - F.col("start")).alias("size"), "s_doc", "s_row", (F.col("start") - F.col("shift")).alias("s_start"), (F.col("_end") - F.col("start") + (window - 1)).alias("n"))
+
+
 def repeats(docs: DataFrame, window: int = 50, anchor: int = 12, chunk_bytes: int = 4 << 20) -> DataFrame:
-    """Runs of repeated windows: (doc, row, start, size), row being the hash of the text."""
+    """Paths of repeated windows: (doc, row, start, size), row being the hash of the text."""
     keyed = _keyed(docs)
     pieces = stored(_pieces(keyed, window, anchor, chunk_bytes), "pieces")
     shared = pieces.groupBy("anchor").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).where("_a < _b").select("anchor")
     shared = stored(pieces.join(shared, "anchor", "left_semi"), "shared-pieces")
     classes = stored(shared.groupBy("anchor", "code").agg(F.min(F.struct("doc", "row", "start", "size")).alias("source")), "classes")
-    branches = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor")
-    first = classes.join(branches, "anchor", "left_semi").select("anchor", "code", F.col("source.doc").alias("doc"))
+    # stored, so that the joins below are of plain tables, whose hot keys can be split
+    branches = stored(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor"), "branches")
+    first = stored(classes.join(branches, "anchor", "left_semi").select("anchor", "code", F.col("source.doc").alias("doc")), "branch-classes")
     heads = shared.join(first, ["anchor", "code", "doc"]).select("anchor", "doc", "row", "start", "size")  # a document may hold its class more than once
     windows = stored(_windows(heads, keyed, window), "windows")
-    earliest = stored(windows.groupBy("anchor", "code").agg(F.min("doc").alias("_first")), "earliest")  # then a hot key's rows can be split
-    whole = shared.join(classes.select("anchor", "code", F.col("source.doc").alias("_first")), ["anchor", "code"]).where("_first < doc")
-    single = windows.join(earliest, ["anchor", "code"]).where("_first < doc")
-    return whole.select("doc", "row", "start", "size").unionByName(single.select("doc", "row", "start", F.lit(1).alias("size")))
+    earliest = stored(windows.groupBy("anchor", "code").agg(F.min(F.struct("doc", "row", "start")).alias("source")), "earliest")
+    source = F.struct("source.doc", "source.row", "source.start").alias("source")
+    whole = shared.join(classes.select("anchor", "code", source), ["anchor", "code"]).where("source.doc < doc")
+    single = windows.join(earliest, ["anchor", "code"]).where("source.doc < doc").withColumn("size", F.lit(1))
+    marks = whole.select("doc", "row", "start", "size", "source").unionByName(single.select("doc", "row", "start", "size", "source"))
+    paths = stored(_paths(marks, window), "paths")
+    own, there = paths.select("doc", "row", "start", "n"), paths.select(F.col("s_doc").alias("doc"), F.col("s_row").alias("row"), F.col("s_start").alias("start"), "n")
+    digests = stored(_digests(own.unionByName(there).distinct(), keyed).distinct(), "digests")
+    checked = paths.join(digests, ["doc", "row", "start", "n"]).join(digests.toDF("s_doc", "s_row", "s_start", "n", "_digest"), ["s_doc", "s_row", "s_start", "n"])
+    return checked.where("digest = _digest").select("doc", "row", "start", "size")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 12, chunk_bytes: int = 4 << 20) -> DataFrame:
