@@ -555,20 +555,23 @@ def greedy_parent(spark, sf):
     return ranking.assign_parents(order_chains(spark, sf), 0.5)
 
 
-@query()
+@query(
+    """WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, floor(value)::BIGINT - 50 AS x FROM events), s AS (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY i)::BIGINT AS hi, sum(x) OVER (PARTITION BY user_id ORDER BY i)::BIGINT - x AS lo FROM e),
+    m AS (SELECT a.user_id, a.i AS st, b.i + 1 AS en, b.hi - a.lo AS score FROM s a JOIN s b ON a.user_id = b.user_id AND a.i <= b.i AND a.lo < b.hi
+        WHERE a.x > 0 AND b.x > 0 AND NOT EXISTS (SELECT 1 FROM s c WHERE c.user_id = a.user_id AND c.i > a.i AND c.i <= b.i AND c.lo <= a.lo) AND NOT EXISTS (SELECT 1 FROM s c WHERE c.user_id = a.user_id AND c.i >= a.i AND c.i < b.i AND c.hi >= b.hi))
+    SELECT user_id, st, en, score FROM m WHERE score >= 40 AND NOT EXISTS (SELECT 1 FROM m o WHERE o.user_id = m.user_id AND o.st <= m.st AND m.en <= o.en AND (o.st < m.st OR m.en < o.en))"""
+)
 def max_scoring_segments(spark, sf):
     """All maximal scoring stretches of each user's values around 50 (KN-18)."""
-    e = table(spark, sf, "events").select("user_id", "ts", (F.col("value") - 50).alias("x"))
-    return ranking.maximal_segments(e, "user_id", "ts", "x", 40.0)
+    e = table(spark, sf, "events").select("user_id", F.struct("ts", "event_id").alias("at"), (F.floor("value") - 50).cast("long").alias("x"))
+    return ranking.maximal_segments(e, "user_id", "at", "x", 40).withColumn("score", F.col("score").cast("long"))
 
 
 @query()
 def linear_chain_dp(spark, sf):
     """Colinear chains with gaps of the benchmark's 3-grams in documents (KN-3, KN-5)."""
-    t = mapping.word_grams(table(spark, sf, "benchmark"), "item_id", "text", 3)
-    rare = t.groupBy("gram").agg(F.count(F.lit(1)).alias("_o")).where("_o < 50").select("gram")
-    q = mapping.word_grams(table(spark, sf, "documents"), "doc_id", "text", 3)
-    pairs = q.toDF("qid", "qpos", "gram").join(t.join(rare, "gram").toDF("gram", "seg", "tpos"), "gram").select("qid", "seg", F.lit(False).alias("rev"), F.col("tpos") + 2, F.col("qpos") + 2, F.lit(3).alias("span")).toDF("qid", "seg", "rev", "tpos", "qpos", "span")
+    pairs = mapping.shared_grams(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 3, 50)
+    pairs = pairs.select(F.col("doc_id").alias("qid"), F.col("item_id").alias("seg"), F.lit(False).alias("rev"), (F.col("tpos") + 2).alias("tpos"), (F.col("qpos") + 2).alias("qpos"), F.lit(3).alias("span"))
     return chaining.linear_chains(pairs, chaining.ChainOptions(max_dist=60, bandwidth=20, min_count=3, min_score=6))
 
 
