@@ -128,7 +128,7 @@ def test_numbers_of_wide_rows(spark, merge):
 
 def test_running_totals(spark):
     rows = [(i, rng.choice("ab"), rng.randrange(5)) for i in range(200)]
-    got = {r.i: (r.t, r["_run_t"]) for r in ordering.running_total(spark.createDataFrame(rows, "i int, s string, x long").repartition(5), ["i"], "x", "t", also="s").collect()}
+    got = {r.i: (r.t, r["_runt"]) for r in ordering.running_total(spark.createDataFrame(rows, "i int, s string, x long").repartition(5), ["i"], "x", "t", also="s").collect()}
     total, head, last = 0, 0, None
     for i, s, x in rows:
         head = total if s != last else head
