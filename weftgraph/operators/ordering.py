@@ -54,6 +54,11 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
 
 
+def first_last(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """(keys..., first, last): the value of each key's first and last row in an order."""
+    return df.groupBy(*keys).agg(F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"))
+
+
 def exact_quantile_of_counts(values: DataFrame, value: str, fractions: list[float]) -> DataFrame:
     """For each fraction f the value at place floor((1 - f) * n) of the sorted values.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import cigar, nt, tags
 from .operators import alleles, augment, bubbles, chaining, coverage, graph, intervals, ordering, ranking, seeding
 from .plans import mapping
-from .sources import alignments, fasta
+from .sources import alignments, fasta, stable
 from .streaming import sessions as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,8 +133,7 @@ def tandem_flags(spark, sf):
 @query(f"SELECT event_id, {SECONDS} - lag({SECONDS}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events")
 def anchor_gap_profile(spark, sf):
     """Seconds since a user's event before (WN-3)."""
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return event_times(spark, sf).select("event_id", (F.col("st") - F.lag("st").over(by)).alias("gap"))
+    return seeding.gaps(event_times(spark, sf), ["user_id"], ["ts", "event_id"], "st").select("event_id", "gap")
 
 
 @query(
@@ -343,10 +342,10 @@ def graph_symmetric_closure(spark, sf):
     return graph.symmetric(as_arcs(walk_arcs(spark, sf))).select("v", "w", "link", "comp")
 
 
-@query(f"SELECT count(*) AS pairs, coalesce(sum(n - 1), 0)::BIGINT AS extra FROM (SELECT v, w, count(*) AS n FROM (SELECT v, lead(v) OVER (PARTITION BY walk ORDER BY ord) AS w FROM {STEPS}) WHERE w IS NOT NULL GROUP BY ALL HAVING count(*) > 1)")
+@query(f"SELECT v, w, count(*) AS n FROM (SELECT v, lead(v) OVER (PARTITION BY walk ORDER BY ord) AS w FROM {STEPS}) WHERE w IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 def graph_multi_edge_count(spark, sf):
     """Parallel arcs (GR-13)."""
-    return graph.multi_edges(coverage.traversals(walk_steps(spark, sf), ["walk"])).agg(F.count(F.lit(1)).alias("pairs"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra"))
+    return graph.multi_edges(coverage.traversals(walk_steps(spark, sf), ["walk"]))
 
 
 @query(
@@ -486,17 +485,20 @@ def bubble_detect(spark, sf):
 
 
 @query(
-    """WITH n AS (SELECT n_nationkey::BIGINT AS seg, n_regionkey, lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::BIGINT AS next FROM nation), s AS (SELECT s_suppkey FROM supplier JOIN n ON s_nationkey = seg WHERE next IS NOT NULL)
-    SELECT (SELECT count(*) FROM nation) * 2 + (SELECT count(*) FROM s) + (SELECT count(*) FROM nation) AS n_segments, 2 * ((SELECT count(*) FROM n WHERE next IS NOT NULL) + 2 * (SELECT count(*) FROM s) + 3 * (SELECT count(*) FROM nation)) AS n_arcs,
-    (SELECT count(*) * 4 FROM nation) + (SELECT coalesce(sum((s_suppkey + 1000) % 7 + 1), 0) FROM s)::BIGINT + (SELECT count(*) * 3 FROM nation) AS bases"""
+    """WITH n AS (SELECT n_nationkey::BIGINT AS seg, n_regionkey::VARCHAR AS sn, lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::BIGINT AS next, row_number() OVER (ORDER BY n_nationkey) - 1 AS r, count(*) OVER () AS total FROM nation),
+    s AS (SELECT s_suppkey + 1000 AS sup, seg, next, 2 * total + row_number() OVER (ORDER BY s_suppkey) - 1 AS id FROM supplier JOIN n ON s_nationkey = seg WHERE next IS NOT NULL),
+    i AS (SELECT seg, r, sn, 2 * total + (SELECT count(*) FROM s) + r AS id FROM n), m AS (SELECT a.r AS ra, b.r AS rb FROM n a JOIN n b ON a.next = b.seg),
+    l AS (SELECT 4 * r AS v, 4 * r + 2 AS w FROM n UNION ALL SELECT 4 * ra + 2, 4 * rb FROM m UNION ALL SELECT 4 * r + 2, 2 * id FROM s JOIN n USING (seg) UNION ALL SELECT 2 * id, 4 * r FROM s JOIN n ON s.next = n.seg UNION ALL SELECT 4 * r, 2 * id FROM i UNION ALL SELECT 2 * id, 4 * r + 2 FROM i)
+    SELECT 'S' AS kind, 2 * r AS a, 2::BIGINT AS b, sn, seg * 4 AS so FROM n UNION ALL SELECT 'S', 2 * r + 1, 2, sn, seg * 4 + 2 FROM n UNION ALL SELECT 'S', id, sup % 7 + 1, 's', 0 FROM s UNION ALL SELECT 'S', id, 3, 'ins' || seg, 0 FROM i
+    UNION ALL SELECT 'L', v, w, NULL, NULL FROM l UNION ALL SELECT 'L', xor(w, 1), xor(v, 1), NULL, NULL FROM l"""
 )
 def graph_augment(spark, sf):
-    """Three bases put into the middle of each nation's segment: what the graph grows to (KN-23, ST-1)."""
+    """Three bases put into the middle of each nation's segment: all segments and arcs of the grown graph (KN-23, ST-1)."""
     g = nation_graph(spark, sf)
     mid = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("ins"), (F.col("n_nationkey") * 2).cast("long").alias("v0"), F.lit(2).cast("long").alias("off0"))
     grown = augment.augment(g, mid.select("ins", "v0", "off0", F.col("v0").alias("v1"), F.col("off0").alias("off1"), F.lit("TTT").alias("seq")))
-    s = grown.segments.agg(F.count(F.lit(1)).alias("n_segments"), F.sum("len").alias("bases"))
-    return s.crossJoin(grown.arcs.agg(F.count(F.lit(1)).alias("n_arcs"))).select("n_segments", "n_arcs", "bases")
+    segs = grown.segments.select(F.lit("S").alias("kind"), F.col("seg").alias("a"), F.col("len").alias("b"), "sn", "so")
+    return segs.unionByName(grown.arcs.select(F.lit("L").alias("kind"), F.col("v").alias("a"), F.col("w").alias("b"), F.lit(None).cast("string").alias("sn"), F.lit(None).cast("long").alias("so")))
 
 
 # --- ranks ---------------------------------------------------------------------------------------------------
@@ -546,7 +548,7 @@ def mapq_estimate(spark, sf):
 def divergence_estimate(spark, sf):
     """Divergence from the share of matching seeds (FN-14)."""
     g = table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "click").alias("m"))
-    return g.where("m > 0").select("user_id", F.round(F.ln(F.col("n") / F.col("m")) / 17, 6).alias("div"))
+    return g.where("m > 0").select("user_id", F.round(nt.divergence(F.col("n"), F.col("m"), F.lit(17)), 6).alias("div"))
 
 
 @query()
@@ -669,7 +671,8 @@ def path_transitions(spark, sf):
 @query("SELECT user_id, arg_min(event_id, ts) AS first_click, arg_max(event_id, ts) AS last_click FROM events WHERE event_type = 'click' GROUP BY user_id")
 def first_last_extract(spark, sf):
     """First and last click of each user (WN-13)."""
-    return table(spark, sf, "events").where("event_type = 'click'").groupBy("user_id").agg(F.min_by("event_id", "ts").alias("first_click"), F.max_by("event_id", "ts").alias("last_click"))
+    found = ordering.first_last(table(spark, sf, "events").where("event_type = 'click'"), ["user_id"], "ts", "event_id")
+    return found.select("user_id", F.col("first").alias("first_click"), F.col("last").alias("last_click"))
 
 
 @query(
@@ -682,18 +685,7 @@ def stable_path_merge(spark, sf):
     """Walks in stable coordinates, neighbours on one strand merged (KN-28, FN-15)."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     s = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("walk"), F.row_number().over(order).alias("ord"), F.col("l_returnflag").alias("sn"), (F.col("l_linestatus") == "O").alias("rev"), (F.col("l_linenumber") * 10).cast("long").alias("so"), (F.col("l_partkey") % 2 + 10).alias("len"))
-    return stable_paths(s)
-
-
-def stable_paths(steps: DataFrame) -> DataFrame:
-    """The path text of each walk: steps (walk, ord, sn, rev, so, len)."""
-    by = Window.partitionBy("walk").orderBy("ord")
-    before = F.lag(F.struct("sn", "rev", "so", "len")).over(by)
-    joined = (before["sn"] == F.col("sn")) & (before["rev"] == F.col("rev")) & F.when(F.col("rev"), F.col("so") + F.col("len") == before["so"]).otherwise(F.col("so") == before["so"] + before["len"])
-    runs = steps.withColumn("_new", F.when(joined, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = runs.groupBy("walk", "_run").agg(F.any_value("sn").alias("sn"), F.any_value("rev").alias("rev"), F.min("so").alias("st"), F.max(F.col("so") + F.col("len")).alias("en"))
-    text = F.concat(F.when(F.col("rev"), "<").otherwise(">"), "sn", F.lit(":"), F.col("st").cast("string"), F.lit("-"), F.col("en").cast("string"))
-    return parts.groupBy("walk").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_run", text.alias("t")))), lambda x: x["t"]), "").alias("path"))
+    return stable.stable_paths(s.withColumn("sr", F.lit(0)), ["walk"]).select("walk", "path")
 
 
 # --- streams -------------------------------------------------------------------------------------------------
