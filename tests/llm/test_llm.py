@@ -454,7 +454,7 @@ def test_pipeline_stages(spark, tmp_path):
     found = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(found) == {1, 4, 5} and all(r.decoded_equal for r in found.values())
     model = piece_lattice.lattice(public_tokenizers.path("piece_bpe_32k.model"))
-    assert model.decode(found[5].ids) == " ".join(rows[4][1].split()[70:])
+    assert model.decode(found[5].ids) == found[5].text == " ".join(rows[4][1].split()[70:])
 
 
 def test_words_are_encoded_as_in_whole_texts():
@@ -499,3 +499,93 @@ def test_visible_text_of_pages():
         language_id.visible(junk * 200_000)
         language_id.LANG.search(junk * 200_000)
         assert time.time() - began < 5
+
+
+def test_toxicity_scores_by_plain_python():
+    """A scorer of given weights against sums over words and n-grams."""
+    import math
+
+    s = toxicity.Settings()
+    weights = np.random.default_rng(3).normal(0, 3, s.buckets).astype(np.float32)
+    score = toxicity.Scorer(toxicity.Model(weights, -1.5), s)
+    texts = [None, "", "one", "a b a b", prose(47), prose(48), prose(49), prose(1000, 40), "é漢 " * 70, PASSAGE]
+
+    def plain(text):
+        w = (text or "").encode().split()
+        n = max(1, -(-len(w) // s.passage_words))
+        best = -math.inf
+        for k in range(n):
+            bag = set(w[k * len(w) // n : (k + 1) * len(w) // n])
+            total = 0.0
+            for x in sorted(bag):
+                grams = weights[toxicity.gram_buckets([x], s)[1]].astype(float)
+                total += grams.sum() / len(grams)
+            best = max(best, total / max(len(bag), s.least_words))
+        return 1 / (1 + math.exp(-(best - 1.5)))
+
+    got = score([t.encode() if t is not None else None for t in texts])
+    assert np.allclose(got, [plain(t) for t in texts], atol=1e-9)
+
+
+def test_toxicity_of_odd_tables(spark, docs):
+    """No documents, no labels, one class, repeated rows and clashing columns."""
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (2, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score(docs, model).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in ROWS) and all(0 <= r.score <= 1 for r in rows)
+    assert len({r.score for r in rows if r.doc_id == 7}) == 1
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    none = toxicity.fit(docs, labels.limit(0))
+    assert len({r.score for r in toxicity.score(docs, none).collect()}) == 1
+
+
+def test_language_posteriors_by_plain_python(spark):
+    """Likelihoods, declared languages and host priors fused by hand; odd tables."""
+    s = language_id.Settings()
+    docs = spark.createDataFrame([(i, "the cat and the dog with that thing", "en") for i in range(5)] + [(50 + i, "der hund und die katze", "de") for i in range(5)], "doc_id long, text string, lang string")
+    body = lambda lang, text: f"<html{lang}><p>{text}</p></html>"
+    pages = [(1, "http://a.de/x", body("", "der hund")), (2, "http://a.de/y", body(' lang="en"', "der hund und der the")), (3, "http://b.de/", body("", "")), (4, "http://c.com/", body(' lang="fr"', "the dog")), (5, None, None), (5, None, None)]
+    model = language_id.fit(docs, s)
+    score, langs, seen = language_id.TextScorer(model, s), model.languages, []
+    for i, url, page in pages:
+        found = language_id.LANG.search(page or "")
+        ll = np.array(score(page), float)
+        if found and found[1] in langs:
+            ll = ll + np.array([np.log(s.declared_right) if x == found[1] else np.log(1 - s.declared_right) for x in langs])
+        e = np.exp(ll - ll.max())
+        seen.append((i, url.split("/")[2] if url else None, ll, np.round(e / e.sum() * 1e6) / 1e6))
+    hosts, suffixes = defaultdict(lambda: np.zeros(2)), defaultdict(lambda: np.zeros(2))
+    for _, h, _, p in seen:
+        hosts[h] += p
+        suffixes[(h or "").rsplit(".", 1)[-1]] += p
+    got = defaultdict(list)
+    for r in language_id.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect():
+        got[r.page_id].append(r)
+    assert {k: len(v) for k, v in got.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 2}
+    whole = sum(hosts.values())
+    for i, h, ll, p in seen[:4]:
+        flat = (whole - p + 1) / ((whole - p).sum() + 2)
+        of_suffix = (suffixes[h.rsplit(".", 1)[-1]] - p + s.suffix_weight * flat) / ((suffixes[h.rsplit(".", 1)[-1]] - p).sum() + s.suffix_weight)
+        prior = (hosts[h] - p + s.host_weight * of_suffix) / ((hosts[h] - p).sum() + s.host_weight)
+        post = np.exp(ll - ll.max()) * prior
+        assert got[i][0].lang == langs[int(post.argmax())] and abs(got[i][0].probability - post.max() / post.sum()) < 1e-6
+    empty = spark.createDataFrame([], "page_id long, url string, html string, lang string, host string, ll int")
+    assert language_id.identify(empty, docs).count() == 0
+    unlabelled = language_id.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs.limit(0)).collect()
+    assert len(unlabelled) == 6 and all(r.lang is None for r in unlabelled)
+
+
+def test_more_empty_tables(spark, docs, tmp_path):
+    from weftgraph.llm import queries
+
+    import corpus_pipeline
+
+    none = docs.limit(0)
+    items = spark.createDataFrame([(1, prose(30))], "item_id long, text string")
+    assert decontamination.hits(none, items).count() == 0 and decontamination.hits(docs, items.limit(0)).count() == 0
+    kept = decontamination.drop_contaminated(docs, items.limit(0))
+    assert kept.columns == docs.columns and kept.count() == len(ROWS)
+    assert edit_counts.count_edits(none.select("doc_id", "text"), queries.scripted_edits(), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+    none.select("doc_id", "text", "shard", "ids").write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
