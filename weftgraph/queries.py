@@ -551,7 +551,14 @@ def divergence_estimate(spark, sf):
     return g.where("m > 0").select("user_id", F.round(nt.divergence(F.col("n"), F.col("m"), F.lit(17)), 6).alias("div"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE c AS MATERIALIZED (SELECT * FROM {RANKED}),
+    w(qid, rank, prim, parent) AS (SELECT DISTINCT qid, -1::BIGINT, []::STRUCT(j BIGINT, a BIGINT, b BIGINT)[], -1::BIGINT FROM c
+        UNION ALL SELECT qid, rank, CASE WHEN p IS NULL THEN list_append(prim, {{'j': rank, 'a': qs, 'b': qe}}) ELSE prim END, coalesce(p, rank) FROM (SELECT *, list_filter(prim, lambda x: least(qe, x.b) > greatest(qs, x.a) AND (least(qe, x.b) - greatest(qs, x.a)) / least(qe - qs, x.b - x.a) - free / greatest(qe - qs, x.b - x.a) > 0.5)[1].j AS p
+            FROM (SELECT w.qid, w.rank + 1 AS rank, w.prim, c.qs, c.qe, c.qe - c.qs - len(list_filter(range(c.qs, c.qe), lambda y: len(list_filter(w.prim, lambda x: x.a <= y AND y < x.b)) > 0)) AS free FROM w JOIN c ON c.qid = w.qid AND c.rank = w.rank + 1)))
+    SELECT c.qid, c.rank, c.qs, c.qe, c.score, c.cnt, w.parent, coalesce(max(k.score), 0)::BIGINT AS sub, (count(*) FILTER (k.cnt >= c.cnt))::INT AS n_sub FROM c JOIN w ON c.qid = w.qid AND c.rank = w.rank
+    LEFT JOIN (SELECT c.qid, c.rank, c.score, c.cnt, w.parent FROM c JOIN w ON c.qid = w.qid AND c.rank = w.rank WHERE w.parent <> c.rank) k ON k.qid = c.qid AND k.parent = c.rank GROUP BY ALL"""
+)
 def greedy_parent(spark, sf):
     """Primary and secondary chains by a scan of each query (WN-6)."""
     return ranking.assign_parents(order_chains(spark, sf), 0.5)
