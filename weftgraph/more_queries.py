@@ -9,7 +9,6 @@ from .functions import cigar, nt, repeats, tags
 from .operators import annotation, coverage, generation, graph, ordering, seeding, summary
 from .operators.lineage import shared_path
 from .queries import ARCS, SECONDS, STEPS, _DNA, as_arcs, event_times, event_windows, nation_graph, query, table, walk_arcs, walk_steps
-from .plans import mapping
 from .sources import alignments, fasta, gfa, stable
 
 T = "chr(9)"
@@ -646,13 +645,3 @@ def possible_insertions(spark, sf):
 def inversion_events(spark, sf):
     """Inversions as two events each (KN-22)."""
     return generation.split_inversions(proposed(spark, sf).withColumn("inverted", F.col("l_linenumber") % 3 == 0), tens(spark, sf))
-
-
-# --- mapping -------------------------------------------------------------------------------------------------
-@query()
-def mapped_items(spark, sf):
-    """All benchmark items, as bases, mapped to all documents with the preset of short reads (section 3.1)."""
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("rid"), F.concat(F.lit("i"), "item_id").alias("name"), nt.as_dna(F.col("text")).alias("seq"))
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("rid"), F.concat(F.lit("d"), "doc_id").alias("name"), nt.as_dna(F.coalesce("text", F.lit(""))).alias("seq"))
-    found = mapping.map_sequences(items, docs.withColumn("len", F.length("seq").cast("long")), mapping.PRESETS["sr"])
-    return found.select("qname", "qlen", "qs", "qe", "path", "plen", "ps", "pe", "mlen", "blen", "mapq")
