@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, edit_counts, language_id, near_dedup, piece_lattice, quality_rules, sharding, substring_dedup, token_records, toxicity
+from . import decontamination, edit_counts, embedding_dedup, language_id, near_dedup, phrases, piece_lattice, quality_rules, sharding, substring_dedup, token_records, toxicity
 from .common import table
 
 
@@ -100,10 +100,21 @@ def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_lattice.segmentations(docs, tokenizer_path("piece_bpe_32k.model"), 4)
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component and number of links of every vector, at a cosine of 0.93 within its label."""
+    return embedding_dedup.embedding_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best collocations of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_token_records, op2_substring_dedup, op3_toxicity, op4_language_id, op5_near_dedup,
         op6_edit_counts, op7_sharding, op8_decontamination, op9_quality_rules, op10_piece_lattice,
+        op12_embedding_dedup, op13_phrases,
     )
     return {f.__name__: f for f in found}
 
@@ -148,5 +159,22 @@ QUALITY_RULES = f"""WITH d AS MATERIALIZED {WORDS}, g AS MATERIALIZED {WINDOWS.f
         NOT base_failed AND NOT covered_words > 0.25::DOUBLE * n_words AND NOT coalesce(longest, 0) > greatest(12, 0.2::DOUBLE * n_words) AS kept FROM b LEFT JOIN t USING (doc_id)"""
 
 
+EMBEDDING_DEDUP = """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93::DOUBLE),
+    r(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.other),
+    n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM (SELECT vec_id, min(other) AS component_id FROM r GROUP BY vec_id) LEFT JOIN n ON a = vec_id"""
+
+PHRASES = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p), n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+    f AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM w, range(1, 6) a(k), range(1, len(w) - k + 2) b(i) GROUP BY ALL),
+    c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+    s AS (SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, n.n, ((1000::HUGEINT * c.f * n.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+        FROM c JOIN n USING (lang), range(1, c.k) t(j) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1:], ' ')
+        WHERE NOT EXISTS (SELECT 1 FROM c z WHERE z.lang = c.lang AND z.k > c.k AND z.f >= c.f AND contains(' ' || z.phrase || ' ', ' ' || c.phrase || ' '))
+        QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, j) = 1)
+    SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n::BIGINT AS n, score FROM s WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER o <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": SUBSTRING_DEDUP, "op5_near_dedup": NEAR_DEDUP, "op9_quality_rules": QUALITY_RULES}
+    return {"op2_substring_dedup": SUBSTRING_DEDUP, "op5_near_dedup": NEAR_DEDUP, "op9_quality_rules": QUALITY_RULES, "op12_embedding_dedup": EMBEDDING_DEDUP, "op13_phrases": PHRASES}
