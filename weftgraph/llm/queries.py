@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, edit_counts, embedding_dedup, language_id, near_dedup, phrases, piece_lattice, quality_rules, sharding, substring_dedup, token_records, toxicity
+from . import decontamination, edit_counts, embedding_dedup, hard_negatives, language_id, near_dedup, phrases, piece_lattice, quality_rules, sharding, substring_dedup, token_records, toxicity
 from .common import table
 
 
@@ -100,6 +100,13 @@ def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_lattice.segmentations(docs, tokenizer_path("piece_bpe_32k.model"), 4)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh vector has another label first."""
+    moved = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component and number of links of every vector, at a cosine of 0.93 within its label."""
     return embedding_dedup.embedding_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
@@ -114,7 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_token_records, op2_substring_dedup, op3_toxicity, op4_language_id, op5_near_dedup,
         op6_edit_counts, op7_sharding, op8_decontamination, op9_quality_rules, op10_piece_lattice,
-        op12_embedding_dedup, op13_phrases,
+        op11_hard_negatives, op12_embedding_dedup, op13_phrases,
     )
     return {f.__name__: f for f in found}
 
@@ -159,6 +166,14 @@ QUALITY_RULES = f"""WITH d AS MATERIALIZED {WORDS}, g AS MATERIALIZED {WINDOWS.f
         NOT base_failed AND NOT covered_words > 0.25::DOUBLE * n_words AND NOT coalesce(longest, 0) > greatest(12, 0.2::DOUBLE * n_words) AS kept FROM b LEFT JOIN t USING (doc_id)"""
 
 
+HARD_NEGATIVES = """WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS x FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+    n AS (SELECT p.a, p.b AS pos, p.score AS ps, s.b AS neg, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank
+        FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+    SELECT a AS anchor_id, pos AS positive_id, rank::INT AS rank, neg AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 5"""
+
 EMBEDDING_DEDUP = """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
     l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93::DOUBLE),
     r(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.other),
@@ -177,4 +192,4 @@ PHRASES = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_spl
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": SUBSTRING_DEDUP, "op5_near_dedup": NEAR_DEDUP, "op9_quality_rules": QUALITY_RULES, "op12_embedding_dedup": EMBEDDING_DEDUP, "op13_phrases": PHRASES}
+    return {"op2_substring_dedup": SUBSTRING_DEDUP, "op5_near_dedup": NEAR_DEDUP, "op9_quality_rules": QUALITY_RULES, "op11_hard_negatives": HARD_NEGATIVES, "op12_embedding_dedup": EMBEDDING_DEDUP, "op13_phrases": PHRASES}
