@@ -51,7 +51,8 @@ def _scaled(rows: DataFrame, scale: int) -> DataFrame:
             values = np.floor(values * scale)
             keep, cells, squares = [], [], []
             for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
-                sq = float(values[a:b] @ values[a:b])
+                with np.errstate(over="ignore"):
+                    sq = float(values[a:b] @ values[a:b])
                 if sq < 2.0**62:
                     x = values[a:b].astype(np.int64)
                     keep.append(i)
