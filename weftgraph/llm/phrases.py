@@ -79,7 +79,8 @@ class MinimalHash:
             set_ = (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
             out[left[set_]] = self._rank(bits, ranks, at[set_])
             left = left[~set_]
-        out[(out >= 0) & (self.keys[out] != keys)] = -1
+        known = np.flatnonzero(out >= 0)
+        out[known[self.keys[out[known]] != keys[known]]] = -1
         return out
 
 
@@ -156,10 +157,11 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.n
 
 def _pairs(places: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where a phrase of the next level stands, and its key: the slots of its beginning and its ending."""
-    order = np.argsort(places, kind="stable")
-    places, slots = places[order], slots[order].astype(np.uint64)
+    if (places[1:] < places[:-1]).any():  # several hashes, one after the other
+        order = np.argsort(places, kind="stable")
+        places, slots = places[order], slots[order]
     at = np.flatnonzero(places[1:] == places[:-1] + 1)
-    return places[at], (slots[at] << np.uint64(32)) | slots[at + 1]
+    return places[at], (slots[at].astype(np.uint64) << np.uint64(32)) | slots[at + 1].astype(np.uint64)
 
 
 def _candidates(level: DataFrame, least: int, bin_keys: int) -> DataFrame:
@@ -180,7 +182,7 @@ def _candidates(level: DataFrame, least: int, bin_keys: int) -> DataFrame:
         for _, places, slots in _whole_blocks(batches):
             held.append(_pairs(places, slots)[1])
             size += len(held[-1])
-            if size >= 2 * bin_keys:
+            if size >= bin_keys:
                 yield flush()
                 held, size = [], 0
         if size:
@@ -299,7 +301,7 @@ def _next_level(level: DataFrame, least: int, most_keys: int, bin_keys: int, nam
     return stored(table, f"phrases-{name}"), _together(placed)
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, block_bytes: int = 8 << 20, most_keys: int = 1 << 20, bin_keys: int = 1 << 21) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, block_bytes: int = 3 << 20, most_keys: int = 1 << 20, bin_keys: int = 1 << 20) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's `top` phrases of 2 to `longest` words."""
     blocks = stored(_token_blocks(docs, block_bytes), "token-blocks")
     for seed in range(1, 9):
