@@ -205,6 +205,18 @@ def test_sharding_of_many_equal_rows_and_maps(spark):
     assert all(450 < sum(r.shard == k for r in found if r.doc_id is None) < 750 for k in range(5))
 
 
+def test_sharding_of_one_key_with_other_columns(spark):
+    """Rows of one id and text that differ elsewhere scatter over the buckets, and equal ones among them too."""
+    from pyspark.sql import functions as F
+
+    one = spark.range(20_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS STRING) AS text", "id AS other")
+    rows = one.unionByName(one.limit(1).crossJoin(spark.range(10_000)).drop("id"))
+    found = sharding.external_shuffle(rows, 4, buckets_per_shard=4).withColumn("_p", F.spark_partition_id()).collect()
+    assert len(found) == 30_000 and sorted(Counter(r.shard for r in found).values()) == [7500] * 4
+    assert max(Counter(r._p for r in found).values()) < 4000
+    assert Counter(r.other for r in found) == Counter(r.other for r in rows.collect())
+
+
 def test_sharding_query(spark, tmp_path):
     """The digest columns of the query against plain Python."""
     from weftgraph.llm import queries

@@ -6,8 +6,9 @@ record in the whole is the number of records in the buckets before plus its plac
 are equal ranges of places, so their row counts are at most one apart (the law `rows`).
 
 Defined cases: null ids and null texts are records as any other (a null text has no bytes); repeated rows
-are kept, each at a place of its own, and scatter over all buckets however many they are; an empty table gives
-no rows. Other columns pass through, maps too, but for those named shard or slot.
+are kept, each at a place of its own, and scatter over all buckets however many they are, as rows of one id and
+text do; an empty table gives no rows. Other columns pass through, maps at the top too (maps inside of other
+columns can't be compared and are an error of Spark's), but for those named shard or slot.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from .common import col, others, shared_path
+from .common import col, others, shared_path, stored
 
 #: Bytes of overhead that a record counts besides its text.
 RECORD_OVERHEAD = 16
@@ -26,15 +27,12 @@ def record_size(text: str = "text"):
     return (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + RECORD_OVERHEAD).cast("long")
 
 
-def _numbered(docs: DataFrame, names: list[str], key, most: int) -> DataFrame:
-    """docs with `_copy`: rows that are equal in all columns, if their key stands in more than `most` rows, get
-    numbers; all others 0. Equal rows are counted before they move, and the counts become rows again."""
-    often = docs.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select("_key").collect()
-    if not often:
-        return docs.select(*map(col, names), F.lit(0).cast("long").alias("_copy"))
-    # each has over `most` rows, so there are fewer of them than the number of rows holds `most`
-    often = F.broadcast(docs.sparkSession.createDataFrame(often, "_key long"))
-    keyed = docs.withColumn("_key", key)
+def _numbered(packed: DataFrame, key, most: int) -> DataFrame:
+    """packed with `_copy`: rows that are equal in all columns, if they are over `most`, get numbers; all others 0.
+    Equal rows are counted before they move, and the counts become rows again."""
+    names = packed.columns
+    keyed = packed.withColumn("_key", key)
+    often = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select("_key")
     rare = keyed.join(often, "_key", "left_anti").select(*map(col, names), F.lit(0).cast("long").alias("_copy"))
     counted = keyed.join(often, "_key", "left_semi").groupBy(*map(col, names)).agg(F.count(F.lit(1)).alias("_n"))
     return rare.unionByName(counted.select(*map(col, names), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy")))
@@ -51,11 +49,15 @@ def external_shuffle(docs: DataFrame, shards: int, seed: int = 17, bucket_bytes:
     packed = docs.select(*[(F.array_sort(F.map_entries(col(c))) if c in maps else col(c)).alias(c) for c in kept])
     total, n = docs.select(F.sum(record_size()), F.count(F.lit(1))).first()
     n_buckets = max(shards * buckets_per_shard, -(-(total or 0) // bucket_bytes))
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    packed = _numbered(packed, kept, key, max(1000, (n or 0) // (16 * n_buckets)))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"), F.col("_copy")), F.lit(n_buckets)).cast("int")
-    scattered = packed.select(F.struct(*map(col, kept)).alias("_record"), bucket.alias("_bucket"))
-    counts = scattered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    every = [col(c) for c in kept]  # rows of one id and text that differ in another column scatter as well
+    bucket = lambda copy: F.pmod(F.xxhash64(F.lit(seed), *every, copy), F.lit(n_buckets)).cast("int").alias("_bucket")
+    numbered = packed.withColumn("_copy", F.lit(0).cast("long"))
+    counts = stored(numbered.groupBy(bucket(F.col("_copy"))).agg(F.count(F.lit(1)).alias("_rows")), "bucket-counts")
+    even = (n or 0) // n_buckets
+    if (counts.agg(F.max("_rows")).first()[0] or 0) > even + max(1000, even):  # only many equal rows fill a bucket so
+        numbered = _numbered(packed, F.xxhash64(F.lit(seed), *every), max(1000, (n or 0) // (16 * n_buckets)))
+        counts = numbered.groupBy(bucket(F.col("_copy"))).agg(F.count(F.lit(1)).alias("_rows"))
+    scattered = numbered.select(F.struct(*every).alias("_record"), bucket(F.col("_copy")))
     before = counts.selectExpr("_bucket", "sum(_rows) OVER (ORDER BY _bucket) - _rows AS _before")
     if n_buckets <= 1 << 16:  # 24 bytes each
         before = F.broadcast(before)
