@@ -177,3 +177,20 @@ def test_stream_equals_batch(spark, tmp_path):
     q = sessions.sessions(stream, "user_id", "ts", "1 hour").writeStream.outputMode("complete").format("memory").queryName("got").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     assert Counter(tuple(r) for r in spark.table("got").collect()) == want
+
+
+def test_intervals_of_all_lengths_and_hot_keys(spark):
+    """One key, lengths from 0 to a million at a width of 4: a pair meets in few bins, islands run over many."""
+    rows = lambda n: [("k", (s := rng.randrange(3000)), s + rng.choice([0, 1, 3, 4, 5, 40, 900]), i) for i in range(n)]
+    a, b = [*rows(150), ("k", 5, 10**9, -1), ("j", 0, 1, 7)], [*rows(150), ("k", -4, 10**6, -2)]
+    left, right = spark.createDataFrame(a, "k string, st long, en long, a int"), spark.createDataFrame(b, "k string, st long, en long, b int")
+    found = intervals.overlap_join(left, right, ["k"], 4)
+    assert Counter((r.a, r.b) for r in found.collect()) == Counter((x[3], y[3]) for x in a for y in b if x[0] == y[0] and x[1] < y[2] and y[1] < x[2])
+    inside = {x[3] for x in a if any(y[0] == x[0] and y[1] <= x[1] and x[2] <= y[2] for y in b)}
+    assert sorted(r.a for r in intervals.contained(left, right, ["k"], 4).collect()) == sorted(inside)
+    short = [x for x in a if x[2] - x[1] < 50]
+    some, holes = left.where("en - st < 50"), right.where("en - st < 50")
+    for width in (None, 16):
+        assert sorted((r.st, r.en, r.n) for r in intervals.union(some, ["k"], width).collect()) == sorted((r.st, r.en, r.n) for r in intervals.union(some, ["k"]).collect())
+        got = {x for r in intervals.subtract(some, holes, ["k"], width).collect() if r.k == "k" for x in range(r.st, r.en)}
+        assert got == covered([(x[1], x[2]) for x in short if x[0] == "k"]) - covered([(y[1], y[2]) for y in b if y[2] - y[1] < 50])

@@ -183,7 +183,7 @@ def interval_union_len(spark, sf):
 def interval_subtract_blacklist(spark, sf):
     """Hours after clicks less those after other events (ST-5)."""
     e = event_windows(spark, sf, 3600)
-    return intervals.subtract(e.where("event_type = 'click'"), e.where("event_type <> 'click'"), ["user_id"])
+    return intervals.subtract(e.where("event_type = 'click'"), e.where("event_type <> 'click'"), ["user_id"], 86_400)
 
 
 @query(
