@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nt import reverse_complement
+from ..functions.nt import hash32, reverse_complement
 from .lineage import cut
 from .ordering import dense_numbers
 
@@ -169,7 +169,8 @@ def reach(arcs: DataFrame, sources: DataFrame, most_dist: int | None = None) ->
 
 
 def k_shortest(arcs: DataFrame, pairs: DataFrame, k: int, most_dist: int | None = None) -> DataFrame:
-    """The k shortest walks of each (source, target), of at most some length, ties by the walk's vertices.
+    """The k shortest walks of each (source, target), of at most some length, ties by the walk's vertices; pairs may
+    have a length of their own, `most`, of which each source's largest bounds its walks.
 
     Walks grow from each source by one arc a round; at each vertex only its k shortest from a source stay, as
     only they can begin the k shortest to any other. It ends when no walk is new; distances must be over zero,
@@ -178,18 +179,38 @@ def k_shortest(arcs: DataFrame, pairs: DataFrame, k: int, most_dist: int | None
         raise ValueError("distances of zero or less")
     rank = F.row_number().over(Window.partitionBy("source", "v").orderBy("dist", "walk"))
     steps = arcs.select("v", "w", F.col("dist").alias("_d"))
-    best = cut(pairs.select("source").distinct().select("source", F.col("source").alias("v"), F.lit(0).cast("long").alias("dist"), F.array("source").alias("walk"), F.lit(0).alias("round")))
+    bound = F.max("most") if "most" in pairs.columns else F.lit(most_dist).cast("long")
+    sources = pairs.groupBy("source").agg(bound.alias("_most"))
+    best = cut(sources.select("source", "_most", F.col("source").alias("v"), F.lit(0).cast("long").alias("dist"), F.array("source").alias("walk"), F.lit(0).alias("round")))
     front, done = best, 0
     while not front.isEmpty():
         done += 1
-        grown = front.join(steps, "v").select("source", F.col("w").alias("v"), (F.col("dist") + F.col("_d")).alias("dist"), F.concat("walk", F.array("w")).alias("walk"), F.lit(done).alias("round"))
-        if most_dist is not None:
-            grown = grown.where(F.col("dist") <= most_dist)
+        grown = front.join(steps, "v").select("source", "_most", F.col("w").alias("v"), (F.col("dist") + F.col("_d")).alias("dist"), F.concat("walk", F.array("w")).alias("walk"), F.lit(done).alias("round"))
+        grown = grown.where("_most IS NULL OR dist <= _most")
         best = cut(best.unionByName(grown).withColumn("_r", rank).where(F.col("_r") <= k).drop("_r"))
         front = best.where(F.col("round") == done)
     return best.withColumn("rank", rank).withColumnRenamed("v", "target").join(pairs.select("source", "target").distinct(), ["source", "target"]).select("source", "target", "rank", "dist", "walk")
 
 
+def walk_hash(walk: Column) -> Column:
+    """A hash of a walk's vertices in order."""
+    return F.aggregate(walk, F.lit(0).cast("long"), lambda h, v: hash32(h.bitwiseXOR(hash32(v))))
+
+
+def walks_of_length(arcs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """wanted with dist and walk: of the k shortest walks from source to target that are no longer than `most`, the one
+    whose length is nearest to `length` (ties: the shorter, then by vertices). Where wanted has `hash` and one of
+    these walks has it (walk_hash), that walk is taken. Rows without a walk are left out.
+
+    arcs: (v, w, dist); wanted: (source, target, length, most, ...). Walks are found once for each pair of vertices."""
+    found = k_shortest(arcs, wanted, k)
+    both = wanted.join(found, ["source", "target"]).where("dist <= most")
+    other = (walk_hash(F.col("walk")) != F.col("hash")) if "hash" in wanted.columns else F.lit(False)
+    keys = wanted.columns
+    near = F.struct(F.coalesce(other, F.lit(True)).alias("o"), F.abs(F.col("dist") - F.col("length")).alias("d"), "dist", "walk")
+    return both.groupBy(*keys).agg(F.min(near).alias("_b")).select(*keys, "_b.dist", "_b.walk")
+
+
 def count_paths(arcs: DataFrame, sources: DataFrame, most: int = 2**31 - 1) -> DataFrame:
     """The number of paths from each source to each vertex of an acyclic graph, saturating at `most`; a cycle that
     a source reaches is an error, as paths then have no end."""
