@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, stored
+from .common import as_bytes, shared_path, stored
 from .substring_dedup import _mix
 
 #: A-Z become a-z, and every mark that ends a piece becomes a full stop.
@@ -124,16 +124,21 @@ def _token_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, "block long, lang string, words array<string>, counts array<long>, tokens binary")
 
 
+def _packed(df: DataFrame, name: str) -> DataFrame:
+    """stored(), in a compression that is good at numbers."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _ints(cell: pa.BinaryScalar, kind=np.int32) -> np.ndarray:
     return np.frombuffer(cell.as_buffer() or b"", kind)
 
 
-def _place_rows(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """block, n, places and their slots."""
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), *(pa.array([r[k].astype(np.int32).tobytes() for r in rows], pa.binary()) for k in (1, 2))],
-        names=["block", "n", "places", "slots"],
-    )
+def _place_row(block: int, places: np.ndarray, slots: np.ndarray) -> pa.RecordBatch:
+    """block, n, places (each as its distance from the one before, which compresses to little) and their slots."""
+    cells = (np.diff(places, prepend=0), slots)
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(places)], pa.int64()), *(pa.array([c.astype(np.int32).tobytes()], pa.binary()) for c in cells)], names=["block", "n", "places", "slots"])
 
 
 PLACES = "block long, n long, places binary, slots binary"
@@ -149,7 +154,7 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.n
                 yield block, np.concatenate(places), np.concatenate(slots)
                 places, slots = [], []
             block = b
-            places.append(_ints(batch.column(2)[k]))
+            places.append(np.cumsum(_ints(batch.column(2)[k]), dtype=np.int32))
             slots.append(_ints(batch.column(3)[k]))
     if places:
         yield block, np.concatenate(places), np.concatenate(slots)
@@ -177,7 +182,10 @@ def _candidates(level: DataFrame, least: int, bin_keys: int) -> DataFrame:
             order = np.argsort(to, kind="stable")
             keys, counts, ends = keys[order], counts[order].astype(np.int32), np.searchsorted(to[order], np.arange(bins + 1))
             some = [b for b in range(bins) if ends[b] < ends[b + 1]]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in some], pa.binary()) for x in (keys, counts))], names=["bin", "keys", "counts"])
+            # a bin's keys rise, so their upper halves are sent as distances
+            upper, lower = (keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32)
+            parts = [(np.diff(upper[a:b], prepend=np.uint32(0)), lower[a:b], counts[a:b]) for a, b in zip(ends[some], ends[np.array(some) + 1])]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array([x[k].tobytes() for x in parts], pa.binary()) for k in range(3))], names=["bin", "upper", "lower", "counts"])
 
         for _, places, slots in _whole_blocks(batches):
             held.append(_pairs(places, slots)[1])
@@ -204,11 +212,12 @@ def _candidates(level: DataFrame, least: int, bin_keys: int) -> DataFrame:
                     yield hot()
                     held = []
                 now = b
-                held.append((_ints(batch.column(1)[k], np.uint64), _ints(batch.column(2)[k])))
+                upper = np.cumsum(_ints(batch.column(1)[k], np.uint32), dtype=np.uint32)
+                held.append((upper.astype(np.uint64) << np.uint64(32) | _ints(batch.column(2)[k], np.uint32), _ints(batch.column(3)[k])))
         if held:
             yield hot()
 
-    sent = level.mapInArrow(send, "bin long, keys binary, counts binary")
+    sent = level.mapInArrow(send, "bin long, upper binary, lower binary, counts binary")
     return sent.repartition(bins, "bin").sortWithinPartitions("bin").mapInArrow(add, "key long")
 
 
@@ -252,9 +261,9 @@ def _level_one(words: DataFrame, blocks: DataFrame, seed: int, most_keys: int) -
                     slots = np.concatenate([[-1], shared.value.slots(keys)])
                     slots = slots[_ints(batch.column(2)[k])]
                     places = np.flatnonzero(slots >= 0)
-                    yield _place_rows([(batch.column(0)[k].as_py(), places, slots[places] + first)])
+                    yield _place_row(batch.column(0)[k].as_py(), places, slots[places] + first)
 
-        placed.append(stored(marked.mapInArrow(run, PLACES), "places-1"))
+        placed.append(_packed(marked.mapInArrow(run, PLACES), "places-1"))
         numbered.append(_table(spark, found.keys.view(np.int64), first))
         shared.unpersist()
     return words.join(stored(_all(numbered), "slots-1"), "key").select("slot", "lang", "word", "f"), _together(placed)
@@ -275,7 +284,7 @@ def _all(tables: list[DataFrame]) -> DataFrame:
 
 def _together(placed: list[DataFrame]) -> DataFrame:
     """One row after the other for each block; a single hash has made whole blocks already."""
-    return placed[0] if len(placed) == 1 else stored(_all(placed).repartition("block").sortWithinPartitions("block"), "places")
+    return placed[0] if len(placed) == 1 else _packed(_all(placed).repartition("block").sortWithinPartitions("block"), "places")
 
 
 def _next_level(level: DataFrame, least: int, most_keys: int, bin_keys: int, name: str) -> tuple[DataFrame, DataFrame]:
@@ -290,9 +299,9 @@ def _next_level(level: DataFrame, least: int, most_keys: int, bin_keys: int, nam
             for block, places, slots in _whole_blocks(batches):
                 at, pairs = _pairs(places, slots)
                 new = shared.value.slots(pairs)
-                yield _place_rows([(block, at[new >= 0], new[new >= 0] + first)])
+                yield _place_row(block, at[new >= 0], new[new >= 0] + first)
 
-        placed.append(stored(level.mapInArrow(run, PLACES), f"places-{name}"))
+        placed.append(_packed(level.mapInArrow(run, PLACES), f"places-{name}"))
         sums = _summed(placed[-1], first, len(found.keys))
         numbered.append(_table(spark, found.keys.view(np.int64), first, sums))
         shared.unpersist()
@@ -303,7 +312,7 @@ def _next_level(level: DataFrame, least: int, most_keys: int, bin_keys: int, nam
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, block_bytes: int = 3 << 20, most_keys: int = 1 << 20, bin_keys: int = 1 << 20) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's `top` phrases of 2 to `longest` words."""
-    blocks = stored(_token_blocks(docs, block_bytes), "token-blocks")
+    blocks = _packed(_token_blocks(docs, block_bytes), "token-blocks")
     for seed in range(1, 9):
         exploded = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("word"), F.col("w.counts").alias("f"))
         counts = stored(exploded.groupBy("lang", "word").agg(F.sum("f").alias("f")).withColumn("key", F.xxhash64(F.lit(seed), "lang", "word")), "words")
