@@ -73,26 +73,27 @@ def _before(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFram
     return rows.join(tops.withColumn(name, F.max("_top").over(by)).drop("_top"), [*keys, "_bin"])
 
 
-def _merge(df: DataFrame, keys: list[str]) -> DataFrame:
+def _merge(df: DataFrame, keys: list[str], touching: bool = True) -> DataFrame:
     by = Window.partitionBy(*keys).orderBy("st", "en")
     reach = F.max("en").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("st") > reach), 1).otherwise(0)
+    new = F.when(reach.isNull() | (F.col("st") > reach if touching else F.col("st") >= reach), 1).otherwise(0)
     marked = df.withColumn("_new", new).withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*keys, "_run").agg(F.min("st").alias("st"), F.max("en").alias("en"), F.sum("n").alias("n")).drop("_run")
 
 
-def union(df: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
-    """The islands that the intervals of each key form: (keys, st, en, n intervals). Touching ones merge.
+def union(df: DataFrame, keys: list[str], width: int | None = None, touching: bool = True) -> DataFrame:
+    """The islands that the intervals of each key form: (keys, st, en, n intervals). Touching ones merge, unless
+    `touching` is false.
 
     With `width`, intervals merge first among those that start in one bin. An island of a bin starts an island of its
     key, where all earlier bins end before it; the last such start, again told by one row for each bin, names the
     islands that it goes on in. So a hot key is as many groups as it has bins."""
     rows = df.select(*keys, "st", "en", F.lit(1).cast("long").alias("n"))
     if not width:
-        return _merge(rows, keys)
-    rows = _merge(rows.withColumn("_bin", F.floor(F.col("st") / width)), [*keys, "_bin"])
+        return _merge(rows, keys, touching)
+    rows = _merge(rows.withColumn("_bin", F.floor(F.col("st") / width)), [*keys, "_bin"], touching)
     rows = _before(rows, keys, "en", "_reach")
-    starts = rows.withColumn("_head", F.when(F.col("_reach").isNull() | (F.col("st") > F.col("_reach")), F.col("st")))
+    starts = rows.withColumn("_head", F.when(F.col("_reach").isNull() | (F.col("st") > F.col("_reach") if touching else F.col("st") >= F.col("_reach")), F.col("st")))
     starts = _before(starts, keys, "_head", "_earlier")
     own = F.max("_head").over(Window.partitionBy(*keys, "_bin").orderBy("st").rowsBetween(Window.unboundedPreceding, 0))
     named = starts.withColumn("_island", F.coalesce(own, F.col("_earlier")))

@@ -475,7 +475,7 @@ def nation_graph(spark, sf) -> graph.SequenceGraph:
 
 @query(
     """WITH n AS (SELECT n_nationkey::BIGINT AS seg, n_regionkey::VARCHAR AS sn, lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::BIGINT AS next FROM nation)
-    SELECT sn, seg * 4 + 4 AS ss, next * 4 AS se, seg * 2 AS source, next * 2 AS sink, count(*) + 2 AS n_seg, count(*) + 1 AS n_paths, 0 AS len_min, max((s_suppkey + 1000) % 7 + 1)::BIGINT AS len_max
+    SELECT sn, seg * 4 + 4 AS ss, next * 4 AS se, seg * 2 AS source, next * 2 AS sink, count(*) + 2 AS n_seg, count(*) + 1 AS n_paths, 0 AS len_min, max((s_suppkey + 1000) % 7 + 1)::BIGINT AS len_max, false AS is_inv
     FROM n JOIN supplier ON s_nationkey = seg WHERE next IS NOT NULL GROUP BY ALL"""
 )
 def bubble_detect(spark, sf):
