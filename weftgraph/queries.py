@@ -706,7 +706,7 @@ def session_batch(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import more_queries  # noqa: F401  registers its own
+    from . import graph_queries, more_queries  # noqa: F401  register their own
 
     return dict(QUERIES)
 
