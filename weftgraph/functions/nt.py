@@ -70,14 +70,16 @@ M32 = (1 << 32) - 1
 def hash32(key: Column) -> Column:
     """A mix of 32-bit integers, as a number from 0 to 2**32 - 1. The shifts are fixed values."""
     mask = F.lit(M32)
-    x = key.cast("long").bitwiseAND(mask)
+    # each step is bound to a variable: written out, its uses of the step before would double with every step
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
     inverse = lambda y, n: mask - F.shiftleft(y, n).bitwiseAND(mask)
-    x = (x + inverse(x, 15)).bitwiseAND(mask)
-    x = x.bitwiseXOR(F.shiftright(x, 10))
-    x = (x + F.shiftleft(x, 3)).bitwiseAND(mask)
-    x = x.bitwiseXOR(F.shiftright(x, 6))
-    x = (x + inverse(x, 11)).bitwiseAND(mask)
-    return x.bitwiseXOR(F.shiftright(x, 16))
+    x = key.cast("long").bitwiseAND(mask)
+    x = bound(x, lambda y: (y + inverse(y, 15)).bitwiseAND(mask))
+    x = bound(x, lambda y: y.bitwiseXOR(F.shiftright(y, 10)))
+    x = bound(x, lambda y: (y + F.shiftleft(y, 3)).bitwiseAND(mask))
+    x = bound(x, lambda y: y.bitwiseXOR(F.shiftright(y, 6)))
+    x = bound(x, lambda y: (y + inverse(y, 11)).bitwiseAND(mask))
+    return bound(x, lambda y: y.bitwiseXOR(F.shiftright(y, 16)))
 
 
 def hash_text(text: Column) -> Column:
