@@ -89,14 +89,17 @@ def multi_edges(arcs: DataFrame) -> DataFrame:
 
 
 def single_edges(arcs: DataFrame) -> DataFrame:
-    """Of parallel arcs the one with the lowest non-negative rank stays, then the lowest link; duals go along."""
+    """Of parallel arcs the one with the lowest non-negative rank stays, then the lowest link; duals go along. Arcs from a
+    vertex to its own complement are their own duals and stay as they are."""
     rank = F.when(F.col("rank") >= 0, F.col("rank")).otherwise(F.lit(2**31 - 1))
     own = F.struct(rank.alias("r"), F.col("link").alias("l"))
     # both strands of a link stand under one key, so they are decided together
     first, second = F.struct("v", "w"), F.struct(flip("w").alias("v"), flip("v").alias("w"))
     keyed = arcs.withColumn("_key", F.least(first, second)).withColumn("_own", own)
     best = keyed.groupBy("_key").agg(F.min("_own").alias("_best"))
-    return keyed.join(best, "_key").where("_own = _best").dropDuplicates(["v", "w"]).drop("_key", "_own", "_best")
+    loop = F.col("w") == flip("v")
+    kept = keyed.where(~loop).join(best, "_key").where("_own = _best").dropDuplicates(["v", "w"])
+    return kept.drop("_key", "_own", "_best").unionByName(keyed.where(loop).drop("_key", "_own"))
 
 
 def normalize(graph: SequenceGraph) -> SequenceGraph:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap: str, late: str = "1 hour") -> DataFrame:
@@ -28,3 +30,37 @@ def map_stream(records: DataFrame, mapper: Callable[[DataFrame], DataFrame], out
         mapper(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return records.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_in_order(records: DataFrame, source: str, number: str, out: str, checkpoint: str):
+    """Writes each source's records in the order of their numbers, which count from 0 without gaps, however late one comes:
+    state by source holds back what an earlier record is missing for. A number that comes again changes nothing.
+
+    out: folders batch=k, whose rows have `written`, the record's place in the order; a batch that is run again after a
+    failure starts from the state before it and replaces its folder. Held rows are the state's size."""
+    import pandas as pd
+
+    names = records.columns
+    kinds = dict(records.dtypes)
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in names)
+
+    def release(key, batches, state):
+        wanted, held = (state.get if state.exists else (0, b""))
+        rows = [pd.DataFrame(batch) for batch in batches]
+        if held:
+            rows.insert(0, pickle.loads(held))
+        every = pd.concat(rows, ignore_index=True)
+        every = every[every[number] >= wanted].drop_duplicates(number).sort_values(number, ignore_index=True)
+        ready = int((every[number] == wanted + every.index).cumprod().sum())
+        rest = every.iloc[ready:]
+        state.update((wanted + ready, pickle.dumps(rest) if len(rest) else b""))
+        now = every.iloc[:ready].copy()
+        now["written"] = range(wanted, wanted + ready)
+        yield now[[*names, "written"]]
+
+    ordered = records.groupBy(source).applyInPandasWithState(release, f"{fields}, written long", "wanted long, held binary", "append", GroupStateTimeout.NoTimeout)
+
+    def one(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={k}")
+
+    return ordered.writeStream.outputMode("append").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
