@@ -96,12 +96,11 @@ def bubbles(segments: DataFrame, arcs: DataFrame) -> DataFrame:
 
 
 def _acyclic(local: DataFrame) -> DataFrame:
-    """The arcs of bubbles without a cycle, one that leads into itself included."""
+    """The arcs of bubbles without a cycle: arcs that nothing leads to or from go, again and again, and what is left
+    tells the others."""
     keyed = cut(local)
-    found = components.strong_components(keyed, ["source"])
-    sizes = found.groupBy("source", "component").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("source")
-    loops = keyed.where("v = w").select("source")
-    return cut(keyed.join(sizes.unionByName(loops).distinct(), "source", "left_anti"))
+    left = components.trim(keyed.select("source", "v", "w"), ["source"]).select("source").distinct()
+    return keyed.join(left, "source", "left_anti")
 
 
 def _path_lengths(local: DataFrame, ends: DataFrame) -> DataFrame:

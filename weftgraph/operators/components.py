@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 
-def _trim(arcs: DataFrame, keys: list[str]) -> DataFrame:
-    """Without arcs at vertices that nothing leads to or from, again and again: they are on no cycle."""
+def trim(arcs: DataFrame, keys: list[str]) -> DataFrame:
+    """Without arcs at vertices that nothing leads to or from, again and again: they are on no cycle. Arcs are left just
+    where there is a cycle."""
     n = arcs.count()
     while n:
         starts, ends = arcs.select(*keys, "v").distinct(), arcs.select(*keys, F.col("w").alias("v")).distinct()
@@ -44,7 +45,7 @@ def strong_components(arcs: DataFrame, keys: list[str] | None = None) -> DataFra
     at least in each part that is left."""
     keys = keys or []
     every = arcs.select(*keys, "v").unionByName(arcs.select(*keys, F.col("w").alias("v"))).distinct()
-    rest = _trim(cut(arcs.select(*keys, "v", "w").where("v <> w").distinct()), keys)
+    rest = trim(cut(arcs.select(*keys, "v", "w").where("v <> w").distinct()), keys)
     found = None
     while not rest.isEmpty():
         colour = _least_reaching(rest, keys)
@@ -58,7 +59,7 @@ def strong_components(arcs: DataFrame, keys: list[str] | None = None) -> DataFra
             mine = cut(mine.unionByName(front))
         found = mine if found is None else cut(found.unionByName(mine))
         left = rest.join(mine.select(*keys, "v"), [*keys, "v"], "left_anti").join(mine.select(*keys, F.col("v").alias("w")), [*keys, "w"], "left_anti").select(*keys, "v", "w")
-        rest = _trim(cut(left), keys)
+        rest = trim(cut(left), keys)
     if found is None:
         return every.withColumn("component", F.col("v"))
     return every.join(found, [*keys, "v"], "left").withColumn("component", F.coalesce("component", "v"))
