@@ -77,6 +77,24 @@ def test_token_records_round_trip(spark, docs, plain):
     assert Counter((r.doc_id, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in back) == Counter((i, c) for i, _, _, c in want if i is not None and i % 3 == 0)
 
 
+def test_reads_by_offset_decode_nothing_else(spark, tmp_path):
+    """A damaged frame that isn't wanted is never looked at; both ways of reading give the same records."""
+    frames = [token_records.frame(i, np.array([i, 70_000 + i], np.uint32)) + b"\n" for i in range(100)]
+    starts = np.cumsum([0, *map(len, frames)]).tolist()
+    data = bytearray(b"".join(frames))
+    data[starts[50] + 20] ^= 1
+    (tmp_path / "part-00000-x-c000.txt").write_bytes(bytes(data))
+    at = lambda ids: spark.createDataFrame([("part-00000-x-c000.txt", starts[i]) for i in ids], "file string, offset long")
+    path = f"file://{tmp_path}"
+    assert sorted((r.doc_id, r.ids) for r in token_records.read_shuffled(spark, path, at([7, 93, 7])).collect()) == [(7, [7, 70_007]), (93, [93, 70_093])]
+    for ids, most in (([50], 64 << 20), ([7], 0)):
+        with pytest.raises(Exception, match="checksum"):
+            token_records.read_shuffled(spark, path, at(ids), most).collect()
+    data[starts[50] + 20] ^= 1
+    (tmp_path / "part-00000-x-c000.txt").write_bytes(bytes(data))
+    assert sorted(r.doc_id for r in token_records.read_shuffled(spark, path, at(range(0, 100, 3)), 0).collect()) == list(range(0, 100, 3))
+
+
 def test_frames_tell_damage():
     data = bytearray(token_records.frame(5, np.array([1, 70_000], np.uint32)) + b"\n")
     assert [(d, list(ids)) for _, _, d, ids in token_records.frames(bytes(data))] == [(5, [1, 70_000])]

@@ -272,27 +272,30 @@ def read_index(spark: SparkSession, index_path: str) -> DataFrame:
     return index.join(files, "file").withColumn("start", F.col("_start") + F.col("before")).drop("_start")
 
 
-def read_shuffled(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
+def read_shuffled(spark: SparkSession, path: str, index: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     """The records that the index rows name: doc_id and ids, once each.
 
-    Each file is scanned where it is read and gives its records by offset; the wanted offsets, not the files'
-    contents, go to that scan where they are few, and records meet offsets in a semi-join where they are many."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = []
-                for record in frames(content.as_py()):
-                    found.append(record)
-                    if len(found) == 4096:
-                        yield rows(file, found)
-                        found = []
-                yield rows(file, found)
+    Files are read where they lie. Up to most_bytes of wanted offsets (24 bytes each) go to the scan, which decodes the
+    frames at these offsets and no other; of more, all frames are decoded and meet the offsets in a semi-join."""
+    wanted = index.select("file", "offset").distinct()
+    few = wanted.count() * 24 <= most_bytes
 
     def rows(file: str, found: list) -> pa.RecordBatch:
         ids = pa.array([x[3] for x in found], pa.list_(pa.uint32())).cast(pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array([file] * len(found), pa.string()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()), ids], names=["file", "offset", "doc_id", "ids"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, file in enumerate(batch.column(0).to_pylist()):
+                content = batch.column(1)[k].as_py()
+                records = itertools.chain.from_iterable(frames(content, at, 1) for at in batch.column(2)[k].as_py()) if few else frames(content)
+                while found := list(itertools.islice(records, 4096)):
+                    yield rows(file, found)
+
     content = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    records = content.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "content").mapInArrow(run, "file string, offset long, doc_id long, ids array<long>")
-    return records.join(index.select("file", "offset"), ["file", "offset"], "left_semi").select("doc_id", "ids")
+    content = content.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "content")
+    schema = "file string, offset long, doc_id long, ids array<long>"
+    if few:
+        offsets = wanted.groupBy("file").agg(F.array_sort(F.collect_list("offset")).alias("offsets"))
+        return content.join(F.broadcast(offsets), "file").select("file", "content", "offsets").mapInArrow(run, schema).select("doc_id", "ids")
+    return content.mapInArrow(run, schema).join(wanted, ["file", "offset"], "left_semi").select("doc_id", "ids")
