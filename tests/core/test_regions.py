@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from weftgraph.operators import generation, graph, ranking, seeding
+from weftgraph.sources import alignments
 from weftgraph.streaming import sessions
 
 rng = random.Random(47)
@@ -77,6 +78,12 @@ def test_an_insertion_without_base_alignment(spark):
     assert ref[: r.off0] + r.seq + ref[r.off1 :] == query
 
 
+def test_repeat_tables(spark, tmp_path):
+    (tmp_path / "r.out").write_text("   SW  perc perc\nscore  div. del.\n\n  463   1.3  0.6  1.7  chr1  10001 10468 (100) +  (TTAGGG)n  Simple_repeat  1 471 (0) 1\n 3612 11.4 27.0  1.3  chr1  10469 11447 (90) C  TAR1  Satellite/telo  (399) 1712 483 2 *\nnot a row\n")
+    rows = [tuple(r) for r in alignments.read_repeats(spark, f"file://{tmp_path}/r.out").sort("st").collect()]
+    assert rows == [("chr1", 10000, 10468, 1.3, "(TTAGGG)n", "Simple_repeat"), ("chr1", 10468, 11447, 11.4, "TAR1", "Satellite/telo")]
+
+
 def test_arcs_to_a_complement_stay(spark):
     rows = [(0, 1, 0, 1), (0, 1, 1, 2), (0, 2, 1, 3), (0, 2, 0, 4), (3, 1, 1, 3), (3, 1, 0, 4)]
     found = graph.single_edges(spark.createDataFrame(rows, "v long, w long, rank int, link long"))
