@@ -188,9 +188,13 @@ def test_intervals_of_all_lengths_and_hot_keys(spark):
     assert Counter((r.a, r.b) for r in found.collect()) == Counter((x[3], y[3]) for x in a for y in b if x[0] == y[0] and x[1] < y[2] and y[1] < x[2])
     inside = {x[3] for x in a if any(y[0] == x[0] and y[1] <= x[1] and x[2] <= y[2] for y in b)}
     assert sorted(r.a for r in intervals.contained(left, right, ["k"], 4).collect()) == sorted(inside)
+    a += [(None, 3, 9, 900), (None, 8, 30, 901), (None, 40, 41, 902)]  # a null key is a key
+    left = spark.createDataFrame(a, "k string, st long, en long, a int")
     short = [x for x in a if x[2] - x[1] < 50]
     some, holes = left.where("en - st < 50"), right.where("en - st < 50")
     for width in (None, 16):
         assert sorted((r.st, r.en, r.n) for r in intervals.union(some, ["k"], width).collect()) == sorted((r.st, r.en, r.n) for r in intervals.union(some, ["k"]).collect())
-        got = {x for r in intervals.subtract(some, holes, ["k"], width).collect() if r.k == "k" for x in range(r.st, r.en)}
+        rest = intervals.subtract(some, holes, ["k"], width).collect()
+        assert sorted((r.st, r.en) for r in rest if r.k is None) == [(3, 30), (40, 41)]
+        got = {x for r in rest if r.k == "k" for x in range(r.st, r.en)}
         assert got == covered([(x[1], x[2]) for x in short if x[0] == "k"]) - covered([(y[1], y[2]) for y in b if y[2] - y[1] < 50])

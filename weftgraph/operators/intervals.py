@@ -65,12 +65,19 @@ def contained(a: DataFrame, b: DataFrame, keys: list[str], width: int, of: bool
     return a.join(hit, [*keys, "st", "en"], "left_semi")
 
 
+def _beside(rows: DataFrame, bins: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with their bin's row; a null key is a key as any other."""
+    names = {k: f"_k{i}" for i, k in enumerate([*keys, "_bin"])}
+    other = bins.withColumnsRenamed(names)
+    return rows.join(other, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]).drop(*names.values())
+
+
 def _before(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """rows (with _bin) with the largest `value` of all earlier bins of their key: one row for each bin tells it, so
     only the table of bins is put in order by key."""
     tops = rows.groupBy(*keys, "_bin").agg(F.max(value).alias("_top"))
     by = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(tops.withColumn(name, F.max("_top").over(by)).drop("_top"), [*keys, "_bin"])
+    return _beside(rows, tops.withColumn(name, F.max("_top").over(by)).drop("_top"), keys)
 
 
 def _merge(df: DataFrame, keys: list[str], touching: bool = True) -> DataFrame:
@@ -123,7 +130,7 @@ def subtract(a: DataFrame, b: DataFrame, keys: list[str], width: int | None = No
     bins = bins.select(*keys, "_bin", F.coalesce(F.sum("_a").over(earlier), F.lit(0)).alias("_a0"), F.coalesce(F.sum("_b").over(earlier), F.lit(0)).alias("_b0"), F.lead("_first").over(line).alias("_next"))
     by = Window.partitionBy(*keys, "_bin").orderBy("pos")
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    swept = steps.withColumns({"_to": F.lead("pos").over(by), "_sa": F.sum("a").over(upto), "_sb": F.sum("b").over(upto)}).join(bins, [*keys, "_bin"])
+    swept = _beside(steps.withColumns({"_to": F.lead("pos").over(by), "_sa": F.sum("a").over(upto), "_sb": F.sum("b").over(upto)}), bins, keys)
     pieces = swept.select(*keys, F.col("pos").alias("st"), F.coalesce("_to", "_next").alias("en"), (F.col("_sa") + F.col("_a0")).alias("_a"), (F.col("_sb") + F.col("_b0")).alias("_b"))
     return union(pieces.where("_a > 0 AND _b = 0 AND en IS NOT NULL"), keys, width).drop("n")
 
