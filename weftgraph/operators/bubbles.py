@@ -77,6 +77,13 @@ def _inside(segments: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]
     return ends, cut(every.select("sn", F.col("_e.first").alias("st"), "_e.source", "_e.sink", "v").distinct())
 
 
+def numbered(segments: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bubbles (bid, sn, ss, se, source, sink), bid rising along the reference, and all their vertices (bid, v)."""
+    ends, inside = _inside(segments, arcs)
+    found = cut(dense_numbers(ends, ["sn", "st"], "bid"))
+    return found.select("bid", "sn", "ss", "se", "source", "sink"), inside.join(found.select("bid", "sn", "st"), ["sn", "st"]).select("bid", "v")
+
+
 def _local_arcs(segments: DataFrame, arcs: DataFrame, inside: DataFrame) -> DataFrame:
     """(source, sink, v, w, len): arcs within a bubble; len is that of w, and 0 for the sink."""
     local = inside.select("source", "sink", "v").join(arcs.select("v", "w").distinct(), "v").join(inside.select("source", F.col("v").alias("w")), ["source", "w"]).where("v <> sink AND w <> source")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.augment import augment
 from ..operators.graph import SequenceGraph
+from ..plans.growing import GrowOptions, grow
 
 
 def write_graph(graph: SequenceGraph, path: str, version: int) -> None:
@@ -28,3 +29,14 @@ def grow_stream(insertions: DataFrame, path: str, checkpoint: str):
         write_graph(augment(graph, batch), path, number + 1)
 
     return insertions.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def grow_from_sequences(samples: DataFrame, path: str, checkpoint: str, o: GrowOptions = GrowOptions()):
+    """Puts each micro-batch of sequences (rid, name, seq), a sample, into the graph: its version is mapped to, what the
+    sample adds is found and makes the next version, as in grow_stream. Version 0 must be there."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        graph = read_graph(batch.sparkSession, path, number)
+        write_graph(grow(graph, batch, o), path, number + 1)
+
+    return samples.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
