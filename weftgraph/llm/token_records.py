@@ -1,6 +1,7 @@
 """Token ids as length-delimited binary records with a separate offset index.
 
-A file is a run of frames, ascending in (doc_id, text):
+A file is a run of frames, ascending in (doc_id, text); from file to file, texts of one id that begin alike may go
+by a hash:
 
     u64 payload length | u32 masked checksum of those 8 bytes | payload | u32 masked checksum of it | 0x0A
     payload: u8 flags (1: the id is null) | i64 doc_id | u8 bytes an id (2 or 4) | ids, little-endian
@@ -18,6 +19,7 @@ read. A wrong checksum raises an error.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import struct
@@ -41,6 +43,10 @@ PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 MARKED = re.compile(r"([!-&(-/:-@\[-`{-~]*)([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 #: What the tokenizer's added tokens begin with; they are matched before all else.
 ADDED = "<|"
+#: What a tokenizer's file must say for the two patterns above to hold: its normalizers, pre-tokenizers, and the end of a word.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
 HEAD = struct.Struct("<QI")
 BODY = struct.Struct("<BqB")
 INDEX = "file string, offset long, length long, doc_id long, before long, n_tokens long, ids_crc32 long"
@@ -111,6 +117,23 @@ class _Ragged:
         return np.frombuffer(self.flat, np.uint32)[place], after
 
 
+def check_tokenizer(path: str) -> None:
+    """Raises an error if a tokenizer's file isn't of the kind that WordEncoder cuts words for."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    steps = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])]
+    cuts = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split = cuts[0] if cuts else {}
+    sound = {
+        "normalizer": steps == NORMALIZERS,
+        "pre-tokenizer": [x["type"] for x in cuts] == ["Split", "ByteLevel"] and (split.get("pattern"), split.get("behavior"), split.get("invert")) == ({"Regex": SPLIT}, "Removed", True) and not cuts[1]["add_prefix_space"],
+        "model": (told["model"]["type"], told["model"].get("end_of_word_suffix"), told["model"].get("dropout")) == ("BPE", WORD_END, None),
+        "added tokens": all(x["content"].startswith(ADDED) for x in told["added_tokens"]),
+    }
+    if not all(sound.values()):
+        raise ValueError(f"{path}: not a tokenizer that this encoder is made for: {', '.join(k for k, ok in sound.items() if not ok)}")
+
+
 class WordEncoder:
     """Token ids of whole texts with each different pre-token encoded once.
 
@@ -125,11 +148,12 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        check_tokenizer(path)
         self.tokenizer, self.plain, self.most = Tokenizer.from_file(path), Tokenizer.from_file(path), most
         self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.closing = np.zeros(self.tokenizer.get_vocab_size(True), bool)
-        self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.closing[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -221,7 +245,8 @@ def encoder(path: str) -> WordEncoder:
 def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, chunk_bytes: int = 4 << 20, file_bytes: int = 128 << 20) -> str:
     """Encodes every text and writes the frames in ascending doc_id order; returns the folder.
 
-    There are as many ranges of ids as make about `file_bytes` of text each, so that a file is read in one piece."""
+    There are as many ranges of rows as make about `file_bytes` of text each, so that a file is read in one piece. Rows of
+    one id (or without one) are dealt to ranges too, by how their texts begin, a hash, and where they were read."""
     path = path or shared_path(docs.sparkSession, "records")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(-(-total // file_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -237,7 +262,8 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
                     out.append(frame(doc_id, np.append(ids[end - n : end], np.uint32(end_id))))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
+    placed = docs.select(F.col("doc_id").cast("long"), "text").withColumns({"_p": F.substring("text", 1, 16), "_h": F.xxhash64("text"), "_n": F.monotonically_increasing_id()})
+    ordered = placed.repartitionByRange(ranges, "doc_id", "_p", "_h", "_n").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("maxRecordsPerFile", 65_536).text(path)
     return path
 
