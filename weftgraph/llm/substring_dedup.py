@@ -39,6 +39,7 @@ from .suffix_repeats import covered
 #: Odd bases of the two polynomial hashes, modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 LAST = 2**63 - 1  # stands for a null id
+SPANS = 65_536  # of one text that are read in one go
 
 
 class _WordHashes(dict):
@@ -174,7 +175,9 @@ def _digests(spans: DataFrame, docs: DataFrame) -> DataFrame:
                     [pa.array(same + batch.column(0)[i].as_py()), pa.array(same + batch.column(1)[i].as_py()), start, n, pa.array(found, pa.binary())], names=["doc", "row", "start", "n", "digest"]
                 )
 
-    by_doc = spans.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("wanted"))  # different spans of one text
+    # different spans of one text, at most SPANS in a list: a text that many documents repeat has very many
+    number = F.row_number().over(Window.partitionBy("doc", "row").orderBy("start", "n"))
+    by_doc = spans.withColumn("_part", F.floor(number / SPANS)).groupBy("doc", "row", "_part").agg(F.collect_list(F.struct("start", "n")).alias("wanted")).drop("_part")
     return docs.join(by_doc, ["doc", "row"]).select("doc", "row", "text", "wanted").mapInArrow(run, "doc long, row long, start int, n int, digest binary")
 
 
