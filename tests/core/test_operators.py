@@ -198,3 +198,15 @@ def test_intervals_of_all_lengths_and_hot_keys(spark):
         assert sorted((r.st, r.en) for r in rest if r.k is None) == [(3, 30), (40, 41)]
         got = {x for r in rest if r.k == "k" for x in range(r.st, r.en)}
         assert got == covered([(x[1], x[2]) for x in short if x[0] == "k"]) - covered([(y[1], y[2]) for y in b if y[2] - y[1] < 50])
+
+
+def test_islands_of_equal_intervals_in_sql():
+    import duckdb
+
+    from weftgraph.queries import ISLANDS
+
+    db = duckdb.connect()
+    db.execute("SET threads = 8")  # sorts of several threads may leave equal rows in another order each time
+    db.execute("CREATE TABLE s AS SELECT i % 33333 AS k, (hash(i) % 3)::BIGINT * 10 AS st, (hash(i) % 3)::BIGINT * 10 + 5 AS en FROM range(200000) r(i)")
+    got = db.execute(f"SELECT k, st, en, n FROM ({ISLANDS.format(key='k', rows='s')}) ORDER BY ALL").fetchall()
+    assert got == db.execute("SELECT k, st, en, count(*) FROM s GROUP BY ALL ORDER BY ALL").fetchall()
