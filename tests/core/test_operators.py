@@ -210,3 +210,12 @@ def test_islands_of_equal_intervals_in_sql():
     db.execute("CREATE TABLE s AS SELECT i % 33333 AS k, (hash(i) % 3)::BIGINT * 10 AS st, (hash(i) % 3)::BIGINT * 10 + 5 AS en FROM range(200000) r(i)")
     got = db.execute(f"SELECT k, st, en, n FROM ({ISLANDS.format(key='k', rows='s')}) ORDER BY ALL").fetchall()
     assert got == db.execute("SELECT k, st, en, count(*) FROM s GROUP BY ALL ORDER BY ALL").fetchall()
+
+
+def test_step_lookup_frames_start_at_the_first_row(spark):
+    """A frame to the last row is read anew for each row, so that a bin would cost the square of its rows."""
+    points = spark.range(40).selectExpr("'a' AS k", "id AS pos", "id")
+    steps = spark.range(40).where("id % 9 = 4").selectExpr("'a' AS k", "id AS pos", "id * 2.0D AS value")
+    found = intervals.step_lookup(points, steps, ["k"], "value", 10)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {r["id"]: r["value"] for r in found.collect()} == {i: None if i < 4 else 2.0 * min(i, 31) for i in range(40)}

@@ -164,12 +164,15 @@ def step_lookup(points: DataFrame, steps: DataFrame, keys: list[str], value: str
     bins = points.select(*keys, "_bin").distinct().join(ends, [*keys, "_bin"], "full")
     by = Window.partitionBy(*keys).orderBy("_bin")
     before = F.last("_hi", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    behind = F.first("_lo", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
+    # what is behind is what is before in the other order: a frame to the end is read anew for each row
+    back = Window.partitionBy(*keys).orderBy(F.desc("_bin"))
+    behind = F.last("_lo", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     bins = bins.select(*keys, "_bin", before.alias("_before"), behind.alias("_behind"))
     # a step comes before a point of its place, and after it no step of that place comes
     both = points.withColumns({"_s": F.lit(None).cast(steps.schema["_s"].dataType), "_side": F.lit(1)}).unionByName(steps.withColumn("_side", F.lit(0)), allowMissingColumns=True)
     by = Window.partitionBy(*keys, "_bin").orderBy("pos", "_side")
-    near = both.withColumns({"_a": F.last("_s", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.first("_s", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))})
+    back = Window.partitionBy(*keys, "_bin").orderBy(F.desc("pos"), F.desc("_side"))
+    near = both.withColumns({"_a": F.last("_s", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.last("_s", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))})
     found = near.where("_side = 1").join(bins, [*keys, "_bin"])
     a, b = F.coalesce("_a", "_before"), F.coalesce("_b", "_behind")
     slope = (b["v"] - a["v"]) * (F.col("pos") - a["p"]) / (b["p"] - a["p"])
