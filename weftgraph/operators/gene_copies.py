@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals
-from .lineage import cut
+from .lineage import cut, stored
 
 #: Names of genes that no copies are counted for: accessions with a version, or bare gene identifiers. A fixed value.
 NO_GENE = r"\|([A-Z]+\d*\.\d+|ENSG\d+)$"
@@ -64,29 +66,35 @@ def claim(hits: DataFrame, parts: DataFrame, sources: DataFrame | None = None, m
     else:
         own = own.withColumn("free", F.lit(True))
     turn = hits.select("hit", "score")
-    own = cut(own.join(turn, "hit"))
-    mine = own.select("ctg", "strand", "st", "en", "hit", "part", "score")
-    other = own.select("ctg", "strand", "st", "en", F.col("hit").alias("by"), F.col("score").alias("by_score"), "free")
+    length = F.sum(F.col("en") - F.col("st")).over(Window.partitionBy("hit"))
+    own = stored(own.join(turn, "hit").withColumn("length", length), "hit-intervals")
+    mine = own.select("ctg", "strand", "st", "en", "hit", "part", "score", "length")
+    other = own.select("ctg", "strand", "st", "en", F.col("hit").alias("by"), F.col("score").alias("by_score"), F.col("length").alias("by_length"), "free")
     met = intervals.overlap_join(mine, other, ["ctg", "strand"], width)
     earlier = (F.col("by_score") > F.col("score")) | ((F.col("by_score") == F.col("score")) & (F.col("by") < F.col("hit")))
-    met = met.where(earlier | ~F.col("free")).select("hit", "part", "by", "free", earlier.alias("earlier"), F.greatest("st", "b_st").alias("st"), F.least("en", "b_en").alias("en"))
-    met = cut(met)
-    length = own.groupBy("hit").agg(F.sum(F.col("en") - F.col("st")).alias("length"))
-    sized = cut(hits.join(length, "hit", "left").withColumn("length", F.coalesce("length", F.lit(0).cast("long"))))
-    waits = cut(met.where("earlier AND by <> hit").select("hit", "by").distinct())
-    open_, done = sized.select("hit", "length"), None
-    while not open_.isEmpty():
-        # waits has pairs of open hits only
-        ready = cut(open_.join(waits.select("hit").distinct(), "hit", "left_anti"))
-        taken = met.join(ready.select("hit"), "hit", "left_semi")
-        good = done.where("good").select(F.col("hit").alias("by"), F.lit(True).alias("_g")) if done is not None else ready.select(F.col("hit").alias("by"), F.lit(True).alias("_g")).limit(0)
-        held = taken.join(good, "by", "left").where("NOT free OR (earlier AND _g)").select("hit", "part", "st", "en")
-        covered = intervals.union_length(held, ["hit", "part"]).groupBy("hit").agg(F.sum("length").alias("claimed"))
-        decided = ready.join(covered, "hit", "left").withColumn("claimed", F.coalesce("claimed", F.lit(0).cast("long"))).withColumn("good", F.col("claimed") < F.col("length") * most_claimed)
-        done = cut(decided if done is None else done.unionByName(decided))
-        open_ = cut(open_.join(ready.select("hit"), "hit", "left_anti"))
-        waits = cut(waits.join(ready.select("hit").withColumnRenamed("hit", "by"), "by", "left_anti").select("hit", "by"))
-    return sized.drop("length").join(done, "hit") if done is not None else sized.withColumns({"claimed": F.lit(0).cast("long"), "good": F.lit(False)})
+    met = cut(met.where(earlier | ~F.col("free")).select("hit", "part", "by", "length", "by_length", "free", F.greatest("st", "b_st").alias("st"), F.least("en", "b_en").alias("en")))
+    # told: whether `by` has claimed its intervals, null until that is decided. Hits that meet none before them are
+    # decided at once, so that rounds hold the others alone, and of these only those that still wait
+    named = met.select(F.col("hit").alias("by"), F.lit(True).alias("_n")).distinct()
+    told = F.when(~F.col("free"), F.lit(True)).when(F.col("_n").isNull(), F.lit(0) < F.col("by_length") * most_claimed)
+    state = met.join(named, "by", "left").select("hit", "part", "by", "length", "st", "en", told.alias("told"))
+    waits, verdicts = F.max(F.col("told").isNull()).over(Window.partitionBy("hit")), []
+    while True:
+        state = cut(state.withColumn("_waits", waits))
+        if state.isEmpty():
+            break
+        ready = state.where("NOT _waits")
+        covered = intervals.union_length(ready.where("told").select("hit", "part", "st", "en"), ["hit", "part"]).groupBy("hit").agg(F.sum("length").alias("claimed"))
+        decided = ready.groupBy("hit").agg(F.max("length").alias("length")).join(covered, "hit", "left").withColumn("claimed", F.coalesce("claimed", F.lit(0).cast("long")))
+        decided = cut(decided.select("hit", "claimed", (F.col("claimed") < F.col("length") * most_claimed).alias("good")))
+        verdicts = [*verdicts, decided] if len(verdicts) < 16 else [cut(reduce(DataFrame.unionByName, [*verdicts, decided]))]
+        state = state.where("_waits").join(decided.select(F.col("hit").alias("by"), F.col("good").alias("_g")), "by", "left").select("hit", "part", "by", "length", "st", "en", F.coalesce("told", "_g").alias("told"))
+    sized = hits.join(own.groupBy("hit").agg(F.max("length").alias("length")), "hit", "left").withColumn("length", F.coalesce("length", F.lit(0).cast("long")))
+    free = (F.lit(0) < F.col("length") * most_claimed).alias("good")
+    if not verdicts:
+        return sized.select("*", F.lit(0).cast("long").alias("claimed"), free)
+    done = reduce(DataFrame.unionByName, verdicts).withColumnsRenamed({"claimed": "_claimed", "good": "_good"})
+    return sized.join(done, "hit", "left").select(*sized.columns, F.coalesce("_claimed", F.lit(0).cast("long")).alias("claimed"), F.coalesce("_good", free).alias("good"))
 
 
 def copy_counts(claimed: DataFrame) -> DataFrame:
