@@ -12,13 +12,15 @@ def parse(parts: Column) -> Column:
     """An array of 'XX:T:value' as a map; what is no tag is left out, of repeated tags the last stays."""
     good = F.filter(parts, lambda p: p.rlike("^[A-Za-z][A-Za-z0-9]:[AifZHB]:"))
     one = F.transform(good, lambda p: F.struct(F.substring(p, 1, 2).alias("key"), F.struct(F.substring(p, 4, 1).alias("type"), p.substr(F.lit(6), F.length(p)).alias("value")).alias("value")))
-    last = F.filter(one, lambda x, i: ~F.exists(F.slice(one, i + 2, F.greatest(F.size(one) - i - 1, F.lit(0))), lambda y: y["key"] == x["key"]))
-    return F.map_from_entries(last)
+    last = lambda all_: F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, i + 2, F.greatest(F.size(all_) - i - 1, F.lit(0))), lambda y: y["key"] == x["key"]))
+    unique = lambda all_: F.size(F.array_distinct(F.transform(all_, lambda x: x["key"]))) == F.size(all_)
+    # an array of one holds the entries, so that they are made once and not for each use
+    return F.map_from_entries(F.transform(F.array(one), lambda all_: F.when(unique(all_), all_).otherwise(last(all_)))[0])
 
 
 def render(tags: Column) -> Column:
     """The map as an array of 'XX:T:value' in order of the tags."""
-    entries = F.array_sort(F.transform(F.map_entries(tags), lambda e: F.concat_ws(":", e["key"], e["value"]["type"], e["value"]["value"])))
+    entries = F.sort_array(F.transform(F.map_entries(tags), lambda e: F.concat_ws(":", e["key"], e["value"]["type"], e["value"]["value"])))
     return F.coalesce(entries, F.array().cast("array<string>"))
 
 
