@@ -21,12 +21,13 @@ def stable_runs(steps: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stable_paths(steps: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., path, plen, n_runs, sn, rev, st): the path's text, its length, and its first run."""
+    """(keys..., path, plen, n_runs, sn, rev, st, unknown): the path's text, its length, its first run, and whether a step
+    has no stable sequence."""
     text = F.concat(F.when(F.col("rev"), "<").otherwise(">"), "sn", F.lit(":"), F.col("st").cast("string"), F.lit("-"), F.col("en").cast("string"))
     listed = F.sort_array(F.collect_list(F.struct("run", text.alias("t"))))
     return stable_runs(steps, keys).groupBy(*keys).agg(
         F.array_join(F.transform(listed, lambda x: x["t"]), "").alias("path"), F.sum(F.col("en") - F.col("st")).alias("plen"), F.count(F.lit(1)).alias("n_runs"),
-        F.min_by("sn", "run").alias("sn"), F.min_by("rev", "run").alias("rev"), F.min_by("st", "run").alias("st"),
+        F.min_by("sn", "run").alias("sn"), F.min_by("rev", "run").alias("rev"), F.min_by("st", "run").alias("st"), F.bool_or(F.col("sn").isNull()).alias("unknown"),
     )
 
 
@@ -38,11 +39,13 @@ def to_stable(alignments: DataFrame, segments: DataFrame, key: str) -> tuple[Dat
     alignments: (key, strand, path, plen, ps, pe, ...); segments: (name, len, sn, so, sr)."""
     one = alignments.select(key, F.posexplode(path_steps(F.col("path"))).alias("ord", "_s"))
     steps = one.select(key, "ord", F.col("_s.rev").alias("rev"), F.col("_s.name").alias("name")).join(segments.select("name", "len", "sn", "so", "sr"), "name", "left")
-    unknown = steps.where("sn IS NULL").select(key).distinct()
-    paths = stable_paths(steps, [key]).select(key, F.col("path").alias("_path"), F.col("plen").alias("_plen"), "n_runs", F.col("sn").alias("_sn"), F.col("rev").alias("_rev"), F.col("st").alias("_st"))
+    paths = stable_paths(steps, [key]).select(key, F.col("path").alias("_path"), F.col("plen").alias("_plen"), "n_runs", F.col("sn").alias("_sn"), F.col("rev").alias("_rev"), F.col("st").alias("_st"), F.col("unknown").alias("_unknown"))
     size = segments.where("sr = 0").groupBy(F.col("sn").alias("_sn")).agg(F.max(F.col("so") + F.col("len")).alias("_total"))
-    rows = alignments.join(paths, key).join(size, "_sn", "left")
-    failed = unknown.unionByName(rows.where("_plen <> plen").select(key)).distinct()
+    # one row a key: what fails is told by a column, not by a join with the keys that fail
+    fails = F.col("_unknown") | F.coalesce(F.col("_plen") != F.col("plen"), F.lit(False))
+    known = alignments.join(paths, key).withColumn("_fails", fails)
+    failed = known.where("_fails").select(key).distinct()
+    rows = known.where("NOT _fails").join(size, "_sn", "left")
     whole = (F.col("n_runs") == 1) & F.col("_total").isNotNull()
     back = whole & F.col("_rev")
     start = F.when(back, F.col("_st") + F.col("plen") - 1 - F.col("pe")).when(whole, F.col("_st") + F.col("ps")).otherwise(F.col("ps"))
@@ -51,8 +54,7 @@ def to_stable(alignments: DataFrame, segments: DataFrame, key: str) -> tuple[Dat
         "strand": F.when(back, F.translate("strand", "+-", "-+")).otherwise(F.col("strand")), "path": F.when(whole, F.col("_sn")).otherwise(F.col("_path")),
         "plen": F.when(whole, F.col("_total")).otherwise(F.col("plen")), "ps": start, "pe": end,
     }
-    good = rows.join(failed, key, "left_anti")
-    return good.select(*[new.get(c, F.col(c)).alias(c) for c in alignments.columns]), failed
+    return rows.select(*[new.get(c, F.col(c)).alias(c) for c in alignments.columns]), failed
 
 
 def in_region(alignments: DataFrame, ctg: str, st: int, en: int) -> DataFrame:
