@@ -6,9 +6,11 @@ import itertools
 import tempfile
 import uuid
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +105,16 @@ def chunks(texts: list[bytes | None], most: int) -> list[slice]:
     return out
 
 
+def text_parts(column: pa.Array, most: int) -> Iterator[tuple[slice, list[bytes | None]]]:
+    """The runs of rows that `chunks` makes, each with its texts; a batch's texts are not copied all at once."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(sizes):
+        stop = min(int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most)) + 1, len(sizes))
+        yield slice(start, stop), as_bytes(column.slice(start, stop - start))
+        start = stop
+
+
 def word_ids(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Words of all texts as ids in order of first appearance, words per text, and the words."""
     known: dict[bytes, int] = defaultdict(itertools.count().__next__)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, claim, col, in_arrow, shared_path, stored
+from .common import as_bytes, claim, col, in_arrow, shared_path, stored, text_parts
 
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 HITS = "item_id long, passage_start int, score double, question_overlap double, answer_overlap double"
@@ -395,7 +395,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Setti
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not document_hits(t, shared.value) for t in as_bytes(batch.column(at))], pa.bool_())).rename_columns(names)
+                for part, texts in text_parts(batch.column(at), 1 << 20):
+                    yield batch.slice(part.start, len(texts)).filter(pa.array([not document_hits(t, shared.value) for t in texts], pa.bool_())).rename_columns(names)
 
         def digests(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, stored
+from .common import stored, text_parts
 from .components import components
-from .substring_dedup import _mix, _word_hashes
+from .substring_dedup import CHUNK, _mix, _word_hashes
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -141,14 +141,13 @@ def signatures(docs: DataFrame, width: int, perms: int, rows: int, seed: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for at in range(0, max(1, len(texts)), 1024):
-                found = shingles(texts[at : at + 1024], width)
+            for part, texts in text_parts(batch.column(1), CHUNK):
+                found = shingles(texts, width)
                 prints = [[int(_mix(x ^ c).sum(dtype=np.uint64).astype(np.int64)) for x in found] for c in (np.uint64(1), BASE)]
                 bands = np.concatenate([np.zeros(0, np.int64), *(band_keys(x, f, rows) if len(x) else np.zeros(0, np.int64) for x in found)])
                 ends = np.concatenate([[0], np.cumsum([2 * perms // rows if len(x) else 0 for x in found])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[at : at + 1024], pa.array([len(x) for x in found], pa.int64()), *(pa.array(x, pa.int64()) for x in prints), pa.ListArray.from_arrays(ends, bands)],
+                    [batch.column(0)[part.start : part.stop], pa.array([len(x) for x in found], pa.int64()), *(pa.array(x, pa.int64()) for x in prints), pa.ListArray.from_arrays(ends, bands)],
                     names=["doc", "n", "fp1", "fp2", "bands"],
                 )
 
@@ -162,8 +161,10 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shingles(as_bytes(batch.column(1)), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(2 + k) for k in range(len(more))), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", *more, "shingles"])
+            for part, texts in text_parts(batch.column(1), CHUNK):
+                found = shingles(texts, width)
+                own = [batch.column(k)[part.start : part.stop] for k in (0, *range(2, 2 + len(more)))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([x.tobytes() for x in found], pa.binary())], names=["node", *more, "shingles"])
 
     joined = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node").select("node", "text", *more)
     return joined.mapInArrow(run, ", ".join(["node long", *(f"{c} {kinds[c]}" for c in more), "shingles binary"]))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CONTINUATION, SPACE, as_bytes, chunks, in_arrow, word_ids
+from .common import CONTINUATION, SPACE, in_arrow, text_parts, word_ids
 from .suffix_repeats import covered, longest_repeats
 
 SYMBOLS = b"#*$%&|<>"
@@ -70,28 +70,26 @@ def measure(texts: list[bytes | None], limits: Limits = Limits()) -> dict[str, n
     }
 
 
-def quality_measures(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
+def quality_measures(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 1 << 20) -> DataFrame:
     """One row for each document: its id, the measures and the verdict `kept`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for part in chunks(texts, chunk_bytes):
-                found = measure(texts[part], limits)
+            for part, texts in text_parts(batch.column(1), chunk_bytes):
+                found = measure(texts, limits)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], *map(pa.array, found.values())], names=["doc_id", *found])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)
 
 
-def filter_quality(docs: DataFrame, limits: Limits = Limits(), chunk_bytes: int = 4 << 20) -> DataFrame:
+def filter_quality(docs: DataFrame, limits: Limits = Limits(), chunk_bytes: int = 1 << 20) -> DataFrame:
     """The documents that pass, with all their columns; rows go through one by one, without a join."""
     names = docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(at))
-            kept = [measure(texts[part], limits)["kept"] for part in chunks(texts, chunk_bytes)]
-            yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool))).rename_columns(names)
+            for part, texts in text_parts(batch.column(at), chunk_bytes):  # small batches, which the other side holds whole
+                yield batch.slice(part.start, len(texts)).filter(pa.array(measure(texts, limits)["kept"])).rename_columns(names)
 
     return in_arrow(docs, run, docs.schema)

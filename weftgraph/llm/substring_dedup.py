@@ -33,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, claim, col, fields, in_arrow, others, stored
+from .common import claim, col, fields, in_arrow, others, stored, text_parts
 from .suffix_repeats import covered
 
 #: Odd bases of the two polynomial hashes, modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 LAST = 2**63 - 1  # stands for a null id
 SPANS = 65_536  # of one text that are read in one go
+CHUNK = 1 << 20  # bytes of text that a task holds as words
+MEMORY = 100_000  # words whose hashes a worker keeps
 
 
 class _WordHashes(dict):
@@ -53,7 +55,7 @@ _hashes = _WordHashes()
 
 def _word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     claim("words", _hashes.clear)
-    if len(_hashes) > 400_000:
+    if len(_hashes) > MEMORY:
         _hashes.clear()
     parts = []
     for t in texts:
@@ -123,10 +125,9 @@ def pieces_of(texts: list[bytes | None], window: int, anchor: int) -> tuple[np.n
 def _pieces(docs: DataFrame, window: int, anchor: int, chunk_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(2))
             doc, row_hash = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for part in chunks(texts, chunk_bytes):
-                row, start, size, value, code = pieces_of(texts[part], window, anchor)
+            for part, texts in text_parts(batch.column(2), chunk_bytes):
+                row, start, size, value, code = pieces_of(texts, window, anchor)
                 row = row + part.start
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x) for x in (value, code, doc[row], row_hash[row], start.astype(np.int32), size.astype(np.int32))],
@@ -136,13 +137,19 @@ def _pieces(docs: DataFrame, window: int, anchor: int, chunk_bytes: int) -> Data
     return docs.mapInArrow(run, "anchor long, code long, doc long, row long, start int, size int")
 
 
+def _asked(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, pa.Scalar]]:
+    """Place, text (column 2) and list (column 3) of each row."""
+    for part, texts in text_parts(batch.column(2), CHUNK):
+        for i, text in enumerate(texts, part.start):
+            yield i, text, batch.column(3)[i]
+
+
 def _windows(pieces: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     """The windows of pieces, hashed from their source texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(2))
-            for i, (text, wanted) in enumerate(zip(texts, batch.column(3))):
+            for i, text, wanted in _asked(batch):
                 words, _ = _word_hashes([text])
                 start, size, value = (wanted.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
                 at = np.repeat(start.astype(np.int64), size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -166,7 +173,7 @@ def _digests(spans: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (text, wanted) in enumerate(zip(as_bytes(batch.column(2)), batch.column(3))):
+            for i, text, wanted in _asked(batch):
                 words = text.split()
                 start, n = (wanted.values.field(k) for k in range(2))
                 found = [xxhash.xxh3_128_digest(b" ".join(words[a : a + k])) for a, k in zip(start.to_pylist(), n.to_pylist())]
@@ -193,7 +200,7 @@ def _paths(marks: DataFrame, window: int) -> DataFrame:
     return found.select("doc", "row", "start", (F.col("_end") - F.col("start")).alias("size"), "s_doc", "s_row", (F.col("start") - F.col("shift")).alias("s_start"), (F.col("_end") - F.col("start") + (window - 1)).alias("n"))
 
 
-def repeats(docs: DataFrame, window: int = 50, anchor: int = 12, chunk_bytes: int = 4 << 20) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 50, anchor: int = 12, chunk_bytes: int = CHUNK) -> DataFrame:
     """Paths of repeated windows: (doc, row, start, size), row being the hash of the text."""
     keyed = _keyed(docs)
     pieces = stored(_pieces(keyed, window, anchor, chunk_bytes), "pieces")
@@ -217,7 +224,7 @@ def repeats(docs: DataFrame, window: int = 50, anchor: int = 12, chunk_bytes: in
     return checked.where("digest = _digest").select("doc", "row", "start", "size")
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 12, chunk_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 12, chunk_bytes: int = CHUNK) -> DataFrame:
     """docs with the repeated words out of `text`, and the columns n_words, n_removed and kept_sha256.
 
     A text that loses words becomes its other words joined by one space; the others stay as they are.
@@ -231,8 +238,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 12, chunk_by
     joined = keyed.join(marks, ["doc", "row"], "left").select("_rec.*", "_marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, n_words, n_removed, digest = as_bytes(batch.column(at)), [], [], []
+        parts = ((batch.slice(part.start, len(texts)), texts) for batch in batches for part, texts in text_parts(batch.column(at), CHUNK))
+        for batch, texts in parts:
+            n_words, n_removed, digest = [], [], []
             for i, (text, marks) in enumerate(zip(texts, batch.column(len(names)))):
                 words = text.split() if text else []
                 n_words.append(len(words))
