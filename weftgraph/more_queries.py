@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import cigar, nt, repeats, tags
 from .operators import annotation, coverage, generation, graph, ordering, seeding, summary
-from .operators.lineage import shared_path
+from .operators.lineage import cut, shared_path
 from .queries import ARCS, SECONDS, STEPS, _DNA, as_arcs, event_times, event_windows, nation_graph, query, table, walk_arcs, walk_steps
 from .sources import alignments, fasta, gfa, stable
 
@@ -50,7 +50,7 @@ def gfa_links(spark, sf):
     rank = F.when(F.col("rank") % 2 == 0, F.concat(F.when(k == 3, "\t").otherwise(""), F.lit("\tSR:i:"), "rank")).otherwise("")
     lines = walk_arcs(spark, sf).select(F.concat(F.lit("L\tp"), F.shiftright("v", 1), F.lit("\t"), sign("v"), F.lit("\tp"), F.shiftright("w", 1), F.lit("\t"), sign("w"), ov, rank).alias("value"))
     g = gfa.read_gfa(spark, written(spark, lines, "gfa"))
-    name = g.segments.select(F.col("seg"), F.col("name"))
+    name = cut(g.segments.select(F.col("seg"), F.col("name")))
     a = g.arcs.join(name.toDF("_s", "a"), F.shiftright("v", 1) == F.col("_s")).drop("_s").join(name.toDF("_s", "b"), F.shiftright("w", 1) == F.col("_s"))
     return a.select("a", "b", (F.col("v") % 2).alias("ra"), (F.col("w") % 2).alias("rb"), "ov", "ow", "rank")
 

@@ -31,22 +31,21 @@ def parse_gfa(lines: DataFrame) -> SequenceGraph:
     """Segments numbered by first appearance and arcs, as given: not yet normalized."""
     s = lines.where("f[0] = 'S' AND size(f) >= 3").select("line", F.col("f")[1].alias("name"), F.col("f")[2].alias("seq"), tags.parse(F.slice("f", 4, F.greatest(F.size("f") - 3, F.lit(0)))).alias("tags"))
     l_ = lines.where("f[0] = 'L' AND size(f) >= 5").select("line", *[F.col("f")[k].alias(c) for k, c in ((1, "a"), (2, "ao"), (3, "b"), (4, "bo"))], F.try_element_at("f", F.lit(6)).alias("o"), tags.parse(F.slice("f", 7, F.greatest(F.size("f") - 6, F.lit(0)))).alias("tags")).where("ao IN ('+', '-') AND bo IN ('+', '-')")
-    names = s.select("name", F.col("line")).unionByName(l_.select(F.col("a").alias("name"), "line")).unionByName(l_.select(F.col("b").alias("name"), "line"))
+    names = s.select("name", F.col("line")).unionByName(l_.select(F.explode(F.array("a", "b")).alias("name"), "line"))
     ids = number_segments(names, ["line"])
     long = lambda k: tags.get(F.col("tags"), k).try_cast("long")
     first = s.groupBy("name").agg(F.min_by(F.struct("seq", "tags"), "line").alias("x")).select("name", "x.*")
     seq = F.when(F.col("seq") != "*", nt.upper(F.col("seq")))
-    segments = ids.join(first, "name", "left").select("seg", "name", seq.alias("seq"), F.coalesce(F.length(seq).cast("long"), long("LN"), F.lit(0).cast("long")).alias("len"), tags.get(F.col("tags"), "SN").alias("sn"), F.coalesce(long("SO"), F.lit(0).cast("long")).alias("so"), F.coalesce(long("SR"), F.lit(0).cast("long")).alias("sr"), tags.drop(F.col("tags"), "LN", "SN", "SO", "SR").alias("tags"))
+    # L1 and L2, the parts of the two segments outside the overlap, tell how long these are at least
+    known = l_.where(F.map_contains_key("tags", F.lit("L1")) | F.map_contains_key("tags", F.lit("L2"))).withColumn("_o", overlap(F.col("o")))
+    known = known.select(F.explode(F.array(F.struct(F.col("a").alias("name"), (F.col("_o.ov") + long("L1")).alias("_l")), F.struct(F.col("b").alias("name"), (F.col("_o.ow") + long("L2")).alias("_l")))).alias("_x")).select("_x.*")
+    longest = known.where("_l IS NOT NULL").groupBy("name").agg(F.max("_l").alias("_l"))
+    segments = ids.join(first, "name", "left").join(longest, "name", "left").select("seg", "name", seq.alias("seq"), F.greatest(F.coalesce(F.length(seq).cast("long"), long("LN"), F.lit(0).cast("long")), "_l").alias("len"), tags.get(F.col("tags"), "SN").alias("sn"), F.coalesce(long("SO"), F.lit(0).cast("long")).alias("so"), F.coalesce(long("SR"), F.lit(0).cast("long")).alias("sr"), tags.drop(F.col("tags"), "LN", "SN", "SO", "SR").alias("tags"))
     vertex = lambda seg, o: F.col(seg) * 2 + F.when(F.col(o) == "-", 1).otherwise(0)
     arcs = l_.withColumn("_o", overlap(F.col("o"))).withColumn("link", F.xxhash64("a", "ao", "b", "bo", "o", "line.*"))
     arcs = arcs.join(ids.select(F.col("name").alias("a"), F.col("seg").alias("_sa")), "a").join(ids.select(F.col("name").alias("b"), F.col("seg").alias("_sb")), "b")
-    arcs = arcs.select(vertex("_sa", "ao").alias("v"), vertex("_sb", "bo").alias("w"), "_o.ov", "_o.ow", F.coalesce(long("SR"), F.lit(-1).cast("long")).alias("rank"), "link", F.lit(False).alias("comp"), tags.drop(F.col("tags"), "SR").alias("tags"))
-    # L1 and L2, the parts of the two segments outside the overlap, tell how long these are at least
-    known = arcs.select(F.shiftright("v", 1).alias("seg"), (F.col("ov") + tags.get(F.col("tags"), "L1").try_cast("long")).alias("_l"))
-    known = known.unionByName(arcs.select(F.shiftright("w", 1).alias("seg"), (F.col("ow") + tags.get(F.col("tags"), "L2").try_cast("long")).alias("_l")))
-    longest = known.where("_l IS NOT NULL").groupBy("seg").agg(F.max("_l").alias("_l"))
-    segments = segments.join(longest, "seg", "left").withColumn("len", F.greatest("len", "_l")).drop("_l")
-    return SequenceGraph(segments, arcs.withColumn("tags", tags.drop(F.col("tags"), "L1", "L2")))
+    arcs = arcs.select(vertex("_sa", "ao").alias("v"), vertex("_sb", "bo").alias("w"), "_o.ov", "_o.ow", F.coalesce(long("SR"), F.lit(-1).cast("long")).alias("rank"), "link", F.lit(False).alias("comp"), tags.drop(F.col("tags"), "SR", "L1", "L2").alias("tags"))
+    return SequenceGraph(segments, arcs)
 
 
 def read_gfa(spark: SparkSession, path: str) -> SequenceGraph:
