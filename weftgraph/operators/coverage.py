@@ -10,9 +10,10 @@ from .graph import SequenceGraph, flip
 from .intervals import union_length
 
 
-def traversals(steps: DataFrame, by: list[str]) -> DataFrame:
-    """The arcs that walks take: steps (by..., ord, v) as (by..., v, w)."""
-    return steps.withColumn("w", F.lead("v").over(Window.partitionBy(*by).orderBy("ord"))).where("w IS NOT NULL").select(*by, "v", "w")
+def traversals(steps: DataFrame, by: list[str], order: list[str] | None = None) -> DataFrame:
+    """The arcs that walks take: steps (by..., ord, v) as (by..., v, w). `order` names other columns than ord that put a
+    walk's steps in order, so that steps needn't be sorted to number them and then again."""
+    return steps.withColumn("w", F.lead("v").over(Window.partitionBy(*by).orderBy(*(order or ["ord"])))).where("w IS NOT NULL").select(*by, "v", "w")
 
 
 def depth(steps: DataFrame, segments: DataFrame) -> DataFrame:
@@ -21,12 +22,15 @@ def depth(steps: DataFrame, segments: DataFrame) -> DataFrame:
     return segments.join(held, "seg", "left").select("seg", (F.coalesce("_c", F.lit(0)) / F.col("len")).alias("depth"))
 
 
-def link_counts(steps: DataFrame, by: list[str], arcs: DataFrame) -> DataFrame:
-    """How often walks take each arc, on either strand."""
-    taken = traversals(steps, by)
-    both = taken.select("v", "w").unionByName(taken.select(flip("w").alias("v"), flip("v").alias("w")))
-    counts = both.groupBy("v", "w").agg(F.count(F.lit(1)).alias("n"))
-    return arcs.select("v", "w").distinct().join(counts, ["v", "w"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+def link_counts(steps: DataFrame, by: list[str], arcs: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """How often walks take each arc, on either strand. An arc and its dual are counted under the smaller of the two; one
+    that is its own dual counts for both strands."""
+    dual = (flip("w") < F.col("v")) | ((flip("w") == F.col("v")) & (flip("v") < F.col("w")))
+    keys = [F.when(dual, flip("w")).otherwise(F.col("v")).alias("_v"), F.when(dual, flip("v")).otherwise(F.col("w")).alias("_w")]
+    counts = traversals(steps, by, order).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    asked = arcs.select("v", "w").distinct().select("v", "w", *keys)
+    n = F.col("_n") * F.when(F.col("v") == flip("w"), 2).otherwise(1)
+    return asked.join(counts, ["_v", "_w"], "left").select("v", "w", F.coalesce(n, F.lit(0)).alias("n"))
 
 
 def breadth(steps: DataFrame, segments: DataFrame, sample: str, n_samples: int) -> DataFrame:
@@ -35,9 +39,9 @@ def breadth(steps: DataFrame, segments: DataFrame, sample: str, n_samples: int)
     return segments.join(held, "seg", "left").select("seg", (F.coalesce("_c", F.lit(0)) / F.col("len") / n_samples).alias("breadth"))
 
 
-def link_use(steps: DataFrame, sample: str, by: list[str], n_samples: int) -> DataFrame:
+def link_use(steps: DataFrame, sample: str, by: list[str], n_samples: int, order: list[str] | None = None) -> DataFrame:
     """The share of samples that take each arc."""
-    return traversals(steps, [sample, *by]).groupBy("v", "w").agg((F.count_distinct(sample) / n_samples).alias("use"))
+    return traversals(steps, [sample, *by], order).groupBy("v", "w").agg((F.count_distinct(sample) / n_samples).alias("use"))
 
 
 def write_tags(graph: SequenceGraph, tag: str, segs: DataFrame | None = None, links: DataFrame | None = None) -> SequenceGraph:
