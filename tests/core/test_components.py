@@ -3,7 +3,7 @@
 import random
 from collections import defaultdict
 
-from weftgraph.operators import bubbles, components
+from weftgraph.operators import bubbles, components, lineage
 
 rng = random.Random(23)
 
@@ -156,3 +156,28 @@ def test_line_without_bubbles(spark):
     line = spark.createDataFrame([(0, 2), (2, 4), (4, 6), (3, 1), (5, 3), (7, 5)], "v long, w long")
     assert bubbles.bubbles(segs, line).collect() == [] and bubbles.shortest_and_longest(segs, line).collect() == []
     assert bubbles.bubbles(segs, line.limit(0)).collect() == []
+
+
+def test_components_take_one_table_a_step(spark, monkeypatch):
+    seen = []
+
+    def counting(df, cut=lineage.cut):
+        seen.append(1)
+        return cut(df)
+
+    for module in (lineage, components):
+        monkeypatch.setattr(module, "cut", counting)
+    ring = [(v, (v + 1) % 12) for v in range(12)] + [(20, 0), (3, 30)]
+    found = {r.v: r.component for r in components.strong_components(spark.createDataFrame(ring, "v long, w long")).collect()}
+    assert found == {v: 0 for v in range(12)} | {20: 20, 30: 30}
+    assert len(seen) < 25  # both ways in the same steps, a table for each of the 12
+
+
+def test_components_of_large_fronts(spark, monkeypatch):
+    monkeypatch.setattr(components, "FEW", 2)  # most fronts go by their vertices, the last ones to all tasks
+    arcs = [(v, rng.randrange(60)) for v in range(60)] + [(100 + v, 101 + v) for v in range(6)] + [(5, 5), (5, 5), (5, 6), (5, 6), (6, 5)]
+    found = components.strong_components(spark.createDataFrame(arcs, "v long, w long"))
+    assert {r.v: r.component for r in found.collect()} == brute_components(arcs)
+    own = brute_components(arcs)
+    left = {(r.v, r.w) for r in components.trim(spark.createDataFrame(arcs, "v long, w long").where("v <> w"), []).collect()}
+    assert {(v, w) for v, w in arcs if v != w and own[v] == own[w]} <= left and not any(v >= 100 for v, _ in left)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -38,3 +38,10 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def cut_telling(df: DataFrame, total: Column) -> tuple[DataFrame, int]:
+    """cut(df) and a total over its rows, taken as they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, total.alias("total")))
+    return out, seen.get["total"] or 0
