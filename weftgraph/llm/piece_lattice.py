@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import claim, col, fields, in_arrow, others
+from .common import chunks, claim, col, fields, in_arrow, others
 
 MARK = "▁"
 #: Where a text falls into segments: a line end alone, letters with the spaces before them, other characters
@@ -38,18 +38,98 @@ OTHERS = rf"(?:(?![^\W\d_¹²³])[^{MARK}\n])+"
 SEGMENT = re.compile(rf"\n|{MARK}*{LETTERS}|{MARK}*{OTHERS}|{MARK}+")
 
 
-class _Best(dict):
-    """What Lattice.best() gave for segments; long ones are hardly met again and not kept."""
+class _Known(dict):
+    """Numbers of segments in order of first appearance; `names` lists them, and what Lattice.best() gives for them
+    stands in lists of the same order, once they are learned."""
 
-    def __init__(self, model):
+    def __init__(self):
         super().__init__()
-        self.model = model
-
-    def __missing__(self, segment: str) -> tuple[bytes, float, float]:
-        found = self.model.best(segment)
-        if len(segment) <= 64:
-            self[segment] = found
-        return found
+        self.names: list[str] = []
+        self.ids: list[bytes] = []
+        self.scores, self.behind = array("d"), array("d")
+
+    def __missing__(self, segment: str) -> int:
+        self[segment] = n = len(self)
+        self.names.append(segment)
+        return n
+
+
+class _Tree:
+    """The tree of a model's pieces in arrays, for the best ways through many short segments at once."""
+
+    def __init__(self, root: dict):
+        chars, keys, self.longest = {}, [], 0
+        pieces, todo, n = [(0.0, -1)], [(root, 0, 1)], 1
+        while todo:
+            after, node, depth = todo.pop()
+            self.longest = max(self.longest, depth if after else 0)
+            for c, (next_, found) in after.items():
+                keys.append((node, chars.setdefault(c, len(chars)), n))
+                pieces.append((0.0, -1) if found is None else (found[0], found[1][0]))
+                todo.append((next_, n, depth + 1))
+                n += 1
+        self.code = np.full(0x110001, -1, np.int32)
+        self.code[[ord(c) for c in chars]] = np.arange(len(chars))
+        self.width = len(chars)
+        known = np.array([node * self.width + c for node, c, _ in keys], np.int64)
+        order = np.argsort(known)
+        self.keys, self.to = known[order], np.array([x[2] for x in keys], np.int64)[order]
+        self.score, self.piece = np.array([x[0] for x in pieces]), np.array([x[1] for x in pieces], np.int64)
+        #: Characters that are pieces of their own.
+        self.single = {c for c, (_, found) in root.items() if found is not None}
+
+    def best(self, segments: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """What Lattice.best() gives for each segment, in the same order of additions and choices: edges of all
+        segments that start at one place have different ends, so they are taken at once, place by place."""
+        size = np.fromiter(map(len, segments), np.int64, len(segments))
+        code = self.code[np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.int64)
+        after = np.cumsum(size)
+        local = np.arange(len(code)) - np.repeat(after - size, size)  # the place in its segment
+        room = np.repeat(size, size) - local
+        place = np.arange(len(code)) + np.repeat(np.arange(len(size)), size)  # a segment has a place more than characters
+        at, node, edges = np.arange(len(code)), np.zeros(len(code), np.int64), []
+        for d in range(1, self.longest + 1):
+            inside = room[at] >= d
+            at, node = at[inside], node[inside]
+            key = node * self.width + code[at + d - 1]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            there = self.keys[k] == key
+            at, node = at[there], self.to[k[there]]
+            if not len(at):
+                break
+            ends = self.piece[node] >= 0
+            edges.append((local[at[ends]], place[at[ends]], place[at[ends]] + d, node[ends]))
+        start, i, j, node = map(np.concatenate, zip(*edges))
+        order = np.argsort(start, kind="stable")
+        i, j, s, piece = i[order], j[order], self.score[node[order]], self.piece[node[order]]
+        cuts = np.searchsorted(start[order], np.arange(int(size.max()) + 1))
+        n = len(code) + len(size)
+        first, second, back, by = np.full(n, -np.inf), np.full(n, -np.inf), np.zeros(n, np.int64), np.full(n, -1)
+        ends = after + np.arange(len(size))
+        first[ends - size] = 0.0
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            i_, j_, s_, p_ = i[lo:hi], j[lo:hi], s[lo:hi], piece[lo:hi]
+            x, f, g = first[i_] + s_, first[j_], second[j_]
+            more, same = x > f, x == f
+            second[j_] = np.where(more, np.maximum(f, second[i_] + s_), np.maximum(g, x))
+            first[j_] = np.maximum(f, x)
+            way = more | (same & (p_ < by[j_]))
+            back[j_[way]], by[j_[way]] = i_[way], p_[way]
+        steps, row, at = [], np.arange(len(size)), ends
+        while len(row):
+            steps.append((row, by[at]))
+            at = back[at]
+            open_ = at > ends[row] - size[row]
+            row, at = row[open_], at[open_]
+        count = np.zeros(len(size), np.int64)
+        for row, _ in steps:
+            count[row] += 1
+        upto = np.cumsum(count)
+        flat = np.empty(int(upto[-1]), "<u4")
+        for k, (row, ids) in enumerate(steps):
+            flat[upto[row] - 1 - k] = ids
+        raw, upto = flat.tobytes(), (4 * upto).tolist()
+        return [raw[a:b] for a, b in zip([0, *upto], upto)], first[ends], first[ends] - second[ends]
 
 
 class Lattice:
@@ -81,7 +161,8 @@ class Lattice:
         self.unknown = min(s for s, _ in self.scored.values() if s > -1e8) - 10.0  # for each byte of a character without a piece
         if not all(SEGMENT.fullmatch(p) and p != "\n" for p in self.pieces):
             raise ValueError("a piece of this model spans segments")
-        self.most, self.known, self.choices = most, _Best(self), {}
+        self.tree = _Tree(self.root)
+        self.most, self.known, self.held, self.choices = most, _Known(), 0, {}
 
     def edges(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each place, the edges that end there: start, score, piece ids."""
@@ -143,13 +224,27 @@ class Lattice:
         ids = [x for part in reversed(path) for x in part]
         return array("I", ids).tobytes(), first[n], first[n] - second[n]
 
-    def look_up(self, segments: list[str]) -> list[tuple[bytes, float, float]]:
-        if len(self.known) >= self.most:
-            self.known.clear()
-        return list(map(self.known.__getitem__, segments))
+    def learn(self) -> None:
+        """What is best for the segments that got numbers since it was last called."""
+        known = self.known
+        new = known.names[len(known.ids) :]
+        single = self.tree.single
+        many = [k for k, x in enumerate(new) if len(x) <= 32 and single.issuperset(x)]
+        many = many if len(many) >= 256 else []  # fewer are sooner done one by one
+        ids, scores, behind = [b""] * len(new), np.zeros(len(new)), np.zeros(len(new))
+        for lo in range(0, len(many), 1 << 14):
+            part = many[lo : lo + (1 << 14)]
+            found, scores[part], behind[part] = self.tree.best([new[k] for k in part])
+            for k, x in zip(part, found):
+                ids[k] = x
+        for k in set(range(len(new))).difference(many):
+            ids[k], scores[k], behind[k] = self.best(new[k])
+        known.ids += ids
+        known.scores.frombytes(scores.tobytes())
+        known.behind.frombytes(behind.tobytes())
 
     def forget(self) -> None:
-        self.known.clear()
+        self.known, self.held = _Known(), 0
         self.choices.clear()
 
     def _spelled(self, char: str) -> tuple[float, tuple[int, ...]]:
@@ -191,21 +286,40 @@ class Lattice:
 
     def encode(self, text: str, n: int = 1) -> list[tuple[float, bytes]]:
         """The n best segmentations of a whole text, best first: score and piece ids as little-endian 32 bits."""
-        segments = self.segments(text)
-        plain, scores, behind = map(list, zip(*self.look_up(segments))) if segments else ([], [], [])
-        top = sum(scores)
-        if n == 1 or not segments:
+        return next(self.encode_all([text], n))
+
+    def encode_all(self, texts: list[str], n: int = 1) -> Iterator[list[tuple[float, bytes]]]:
+        """encode() of each text; segments are learned for runs of texts of about 4 million characters."""
+        for part in chunks(texts, 1 << 22):
+            if len(self.known) >= self.most or self.held > 1 << 24:
+                self.known, self.held = _Known(), 0
+            number, rows = self.known.__getitem__, []
+            for text in texts[part]:
+                segments = self.segments(text)
+                rows.append(np.fromiter(map(number, segments), np.int64, len(segments)))
+            self.held += sum(map(len, self.known.names[len(self.known.ids) :]))
+            self.learn()
+            for row in rows:
+                yield self._encode(row, n)
+
+    def _encode(self, row: np.ndarray, n: int) -> list[tuple[float, bytes]]:
+        """The n best of a text whose segments have these numbers."""
+        known = self.known
+        plain = list(map(known.ids.__getitem__, row.tolist()))
+        top = sum(np.frombuffer(known.scores)[row].tolist()) if len(row) else 0
+        if n == 1 or not plain:
             return [(top, b"".join(plain))]
-        behind = np.array(behind)
+        behind = np.frombuffer(known.behind)[row]
         least = np.partition(behind, n - 2)[n - 2] if len(behind) >= n else np.inf
         changes = []  # of one segment: smaller ids come first where they stand late, larger ids where they stand early
+        names = known.names
         for k in np.flatnonzero((behind <= least) & (behind < np.inf)).tolist():
-            best, *others = self._choices(segments[k], n)
+            best, *others = self._choices(names[row[k]], n)
             changes += ((loss, ids > best[1], k if ids > best[1] else -k, ids, k) for loss, ids in others)
         open_ = sorted({x[-1] for x in heapq.nsmallest(n - 1, changes)}, reverse=True)
         mixes = [(0.0, ())]
         for k in open_:
-            mixes = heapq.nsmallest(n, ((loss + more, (*held, ids)) for loss, held in mixes for more, ids in self._choices(segments[k], n)))
+            mixes = heapq.nsmallest(n, ((loss + more, (*held, ids)) for loss, held in mixes for more, ids in self._choices(names[row[k]], n)))
         out = []
         for loss, held in mixes:
             for k, ids in zip(open_, held):
@@ -246,10 +360,10 @@ def segmentations(docs: DataFrame, model_path: str, n: int = 4, with_ids: bool =
         model = lattice(model_path)
         for batch in batches:
             rows, best_ids, decoded = [], [], []
-            for text in batch.column(len(names)).to_pylist():
-                found = model.encode(text or "", n)
+            texts = [x or "" for x in batch.column(len(names)).to_pylist()]
+            for text, found in zip(texts, model.encode_all(texts, n)):
                 again = model.decode(found[0][1])
-                rows.append((len(found[0][1]) // 4, found[0][0], len(found), [s for s, _ in found], [zlib.crc32(x) for _, x in found], again == (text or "")))
+                rows.append((len(found[0][1]) // 4, found[0][0], len(found), [s for s, _ in found], [zlib.crc32(x) for _, x in found], again == text))
                 if with_ids:
                     best_ids.append(np.frombuffer(found[0][1], "<i4"))
                     decoded.append(again)
