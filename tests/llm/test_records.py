@@ -41,3 +41,18 @@ def test_spans_of_one_text_in_parts(spark, monkeypatch):
     want = take()
     monkeypatch.setattr(substring_dedup, "SPANS", 3)
     assert take() == want and any(n for _, n, _ in want)
+
+
+def test_pre_tokens_outlive_words(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode, learned = token_records.WordEncoder(path, most=13), []
+    alone = token_records.WordEncoder(path).tokenizer
+    learn = encode._learn_units
+    monkeypatch.setattr(encode, "_learn_units", lambda: learned.append(len(encode.units.new)) or learn())
+    forms = ["{}", "{},", "({})", "{}!"]
+    words = ["Alpha", "beta", "Größe", "ÉTÉ", "x²", "Ⅷ", "ab3c"]
+    for form in forms:  # each time all words are new and over the limit, but not what they are made of
+        text = " ".join(form.format(w) for w in words * 2)
+        ids, counts = encode([text.encode(), " ".join(f"{w}?{k}" for k, w in enumerate(words)).encode()])
+        assert ids[: counts[0]].tolist() == alone.encode(text, add_special_tokens=False).ids
+    assert learned[0] > 0 and sum(learned[1:]) < learned[0]

@@ -141,7 +141,8 @@ class WordEncoder:
     normalizer doesn't look across it, so a text's ids are those of its words in a row. Printable ASCII words
     are cut into lower-case pre-tokens here (so is a letter word with ASCII marks around it); many of them go
     through the model in one string, in which the ends of pre-tokens show as tokens with the word end. Where
-    that isn't sure, the library gets the word alone. What is remembered is dropped at `most` words.
+    that isn't sure, the library gets the word alone. Words are dropped at `most` of them; pre-tokens, which are
+    fewer and cost more, at twice as many.
     """
 
     def __init__(self, path: str, most: int = 250_000):
@@ -157,8 +158,8 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.words, self.units = _Numbers(), _Numbers()
-        self.word_ids, self.unit_ids = _Ragged(), _Ragged()
+        self.words, self.word_ids = _Numbers(), _Ragged()
+        self.units, self.unit_ids = _Numbers(), _Ragged()
 
     def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -195,13 +196,13 @@ class WordEncoder:
         new, self.words.new = self.words.new, []
         units, counts = [], []
         for w in b"\n".join(new).decode("utf-8", "replace").split("\n"):
-            if w.isascii() and w.isprintable() and ADDED not in w:
-                w = w.lower()
-                if not w.isalpha():
-                    parts = PRE_TOKENS.findall(w)
-                    units += parts
-                    counts.append(len(parts))
-                    continue
+            if w.isalpha():
+                w = w.lower() if w.isascii() else w
+            elif w.isascii() and w.isprintable() and ADDED not in w:
+                parts = PRE_TOKENS.findall(w.lower())
+                units += parts
+                counts.append(len(parts))
+                continue
             else:
                 m = MARKED.fullmatch(w)
                 if m and ADDED not in w and unicodedata.normalize("NFC", m[2]).lower().isalpha():
@@ -219,7 +220,9 @@ class WordEncoder:
     def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the count of each text."""
         if len(self.words) > self.most:
-            self.clear()
+            self.words, self.word_ids = _Numbers(), _Ragged()
+        if len(self.units) > 2 * self.most:
+            self.units, self.unit_ids = _Numbers(), _Ragged()
         number, parts = self.words.__getitem__, []
         for t in texts:
             words = t.split() if t else []
