@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     members = classes.select("node", F.explode("bands").alias("key"))
     tops = stored(members.groupBy("key").agg(F.min("node").alias("top"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", "top"), "buckets")
     star = members.join(tops, "key").select(F.col("node").alias("a"), F.col("top").alias("b"))
-    groups = stored(components(star, "groups"), "groups")
+    groups = components(star, "groups")
 
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).select("component", F.ceil(F.col("_n") / block).cast("int").alias("blocks"))
     nodes = groups.join(stored(sizes, "group-sizes"), "component").select("node", F.col("component").alias("grp"), "blocks")
@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     lead = wide.drop("blocks").join(first, ["grp", "node"]).select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "node", F.col("node").alias("label"), F.lit(0).alias("role"), "shingles")
     links = stored(own.unionByName(lead).groupBy("grp", "part").applyInArrow(_confirm(percent), "a long, b long"), "links")
 
-    found = stored(components(links, "confirmed"), "confirmed")
+    found = components(links, "confirmed")
     labelled = wide.join(found, "node", "left").select("grp", "blocks", "node", F.coalesce("component", "node").alias("label"), "shingles")
     labelled = stored(labelled, "labelled")
     parts = labelled.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("_n"))
