@@ -5,13 +5,17 @@ its minimum and its maximum over the set, so 2 * perms values cost perms evaluat
 values are the bucket keys. With 64 functions and bands of 4 there are 32 bands: a pair at similarity 0.8
 shares no band with probability 5e-8.
 
-1. Equal sets become one node, named by the smallest id.
-2. Each bucket links its nodes to its smallest; connected components of these unverified links are groups
-   that hold every candidate pair. A group is dealt into blocks of bounded size.
+1. Equal sets become one node, named by the smallest id, with a sketch: a byte of each signature value.
+2. Within a bucket the sketches of its nodes are compared. Two sketches differ in as many bytes as a binomial law
+   of 1 - similarity tells; nodes further apart than six standard deviations beyond the wanted similarity are
+   strangers that met by chance (at 0.8 a link is lost so with probability 2e-8). Without that the strangers tie
+   more and more of all documents to one group, the more there are. Connected components of the near ones are
+   groups that hold every candidate pair. A group is dealt into blocks of bounded size.
 3. A task gets one block and its group's leaders with their full sets and confirms links until they are
    spanned (pairs already connected are skipped). For a group of one block that is exact.
 4. In groups of several blocks, nodes outside the largest confirmed part are compared, in blocks, with all
-   others of their group. Then each pair is connected or compared: no link is lost.
+   others of their group. Then each pair is connected or compared: no link is lost. Buckets of very many nodes
+   are dealt into blocks in the same way, at 2.
 
 Defined cases: null or empty texts and texts without words have an empty set and link with nothing; rows
 with a null id link with nothing and get a null component and kept = true; rows with equal ids count as one
@@ -74,9 +78,9 @@ def factors(perms: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**31, perms, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def band_keys(found: np.ndarray, f: np.ndarray, rows: int) -> np.ndarray:
-    """A 64-bit key for each band; a band holds only minima or only maxima."""
-    values = np.concatenate(signature(found, f)).astype(np.uint64).reshape(-1, rows)
+def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
+    """A 64-bit key for each band of a signature; a band holds only minima or only maxima."""
+    values = values.astype(np.uint64).reshape(-1, rows)
     key = np.arange(len(values), dtype=np.uint64) + np.uint64(1)
     for k in range(rows):
         key = _mix(key * BASE + values[:, k])
@@ -136,7 +140,7 @@ def _confirm(percent: int):
 
 
 def signatures(docs: DataFrame, width: int, perms: int, rows: int, seed: int) -> DataFrame:
-    """doc, n, fp1, fp2 (a fingerprint of the set) and bands of each row."""
+    """doc, n, fp1, fp2 (a fingerprint of the set), bands and sketch of each row."""
     f = factors(perms, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,14 +148,111 @@ def signatures(docs: DataFrame, width: int, perms: int, rows: int, seed: int) ->
             for part, texts in text_parts(batch.column(1), CHUNK):
                 found = shingles(texts, width)
                 prints = [[int(_mix(x ^ c).sum(dtype=np.uint64).astype(np.int64)) for x in found] for c in (np.uint64(1), BASE)]
-                bands = np.concatenate([np.zeros(0, np.int64), *(band_keys(x, f, rows) if len(x) else np.zeros(0, np.int64) for x in found)])
+                values = [np.concatenate(signature(x, f)) if len(x) else np.zeros(0, np.uint32) for x in found]
+                bands = np.concatenate([np.zeros(0, np.int64), *(band_keys(x, rows) for x in values)])
                 ends = np.concatenate([[0], np.cumsum([2 * perms // rows if len(x) else 0 for x in found])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part.start : part.stop], pa.array([len(x) for x in found], pa.int64()), *(pa.array(x, pa.int64()) for x in prints), pa.ListArray.from_arrays(ends, bands)],
-                    names=["doc", "n", "fp1", "fp2", "bands"],
-                )
+                    [
+                        batch.column(0)[part.start : part.stop], pa.array([len(x) for x in found], pa.int64()), *(pa.array(x, pa.int64()) for x in prints),
+                        pa.ListArray.from_arrays(ends, bands), pa.array([x.astype(np.uint8).tobytes() for x in values], pa.binary()),
+                    ],
+                    names=["doc", "n", "fp1", "fp2", "bands", "sketch"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(run, "doc long, n long, fp1 long, fp2 long, bands array<long>, sketch binary")
+
+
+def _spans(sketches: np.ndarray, tops: int, near: int, same: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Links that connect each of the first `tops` rows to every row whose sketch differs from its own in `near` bytes
+    or fewer; the rows then left, and all rows' labels. A row that differs from an earlier one in `same` bytes at
+    most is left out from then on: what is near to it is within near + same of the earlier one, and linked to that."""
+    label, left, links = np.arange(len(sketches)), np.arange(len(sketches)), []
+    while len(left) and left[0] < tops and (label[left] != label[left[0]]).any():
+        top, left = left[0], left[1:]
+        far = np.count_nonzero(sketches[left] != sketches[top], axis=1)
+        close = left[far <= near + same]
+        found, at = np.unique(label[close], return_index=True)
+        links += [(int(top), int(i)) for x, i in zip(found, close[at]) if x != label[top]]
+        label[np.isin(label, found)] = label[top]
+        left = left[far > same]
+    return links, left, label
+
+
+def _bucket_links(rows: DataFrame, near: int, same: int, with_open: bool = False) -> DataFrame:
+    """rows: (key, part, lead, node, sketch). (a, b) are links among the nodes of one key and part, of leads with all;
+    with_open tells (key, a, top) of the nodes whose other pairs are open, top being the lead that they are linked to."""
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(run, "doc long, n long, fp1 long, fp2 long, bands array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def links(table: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+            lead, node = (table.column(k).to_numpy() for k in ("lead", "node"))
+            sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+            two = starts[sizes == 2]  # most buckets
+            two = two[lead[two]]
+            two = two[np.count_nonzero(sketches[two] != sketches[two + 1], axis=1) <= near + same] if not with_open else two[:0]
+            out, rest = [(node[two], node[two + 1])], []
+            for start, size in zip(starts.tolist(), sizes.tolist()):
+                if size < 2 or (size == 2 and not with_open):
+                    continue
+                own, tops = node[start : start + size], int(lead[start : start + size].sum())
+                found, left, label = _spans(sketches[start : start + size], tops, near, same)
+                out.append(tuple(own[[x[k] for x in found]] if found else own[:0] for k in (0, 1)))
+                if with_open:
+                    first = {x: own[k] for k, x in reversed(list(enumerate(label[:tops].tolist())))}
+                    key = table.column("key")[start].as_py()
+                    rest += [(key, int(own[i]), first.get(int(label[i]))) for i in left if i >= tops]
+            a, b = (np.concatenate([x[k] for x in out]) for k in (0, 1))
+            none = [None] * len(a)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(none + [x[0] for x in rest], pa.int64()), pa.array([*a.tolist(), *(x[1] for x in rest)], pa.int64()), pa.array([*b.tolist(), *[None] * len(rest)], pa.int64()), pa.array(none + [x[2] for x in rest], pa.int64())],
+                names=["key", "a", "b", "top"],
+            )
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            key, part = (table.column(k).to_numpy() for k in ("key", "part"))
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])) if len(key) else np.zeros(0, np.int64)
+            if len(starts) > 1:  # the last one may go on in the next batch
+                yield links(table.slice(0, starts[-1]).combine_chunks(), starts[:-1], np.diff(starts))
+            held = table.slice(starts[-1]) if len(starts) else None
+        if held is not None:
+            yield links(held.combine_chunks(), np.zeros(1, np.int64), np.array([held.num_rows]))
+
+    dealt = rows.select("key", "part", "lead", "node", "sketch").repartition("key", "part").sortWithinPartitions("key", "part", F.desc("lead"), "node")
+    return dealt.mapInArrow(run, "key long, a long, b long, top long")
+
+
+def _candidates(classes: DataFrame, near: int, same: int, crowd: int, leaders: int) -> DataFrame:
+    """(a, b): links that connect all nodes that share a bucket and are near by their sketches."""
+    members = classes.select("node", F.explode("bands").alias("key"))
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    buckets = stored(buckets.select("key", F.ceil(F.col("_n") / crowd).cast("int").alias("cells")), "buckets")
+    shared = stored(members.join(buckets, "key"), "bucket-members")
+    sketched = lambda rows: rows.join(classes.select("node", "sketch"), "node")
+    found = _bucket_links(sketched(shared.where("cells = 1")).withColumns({"part": F.lit(0), "lead": F.lit(True)}), near, same).select("a", "b")
+    wide = shared.where("cells > 1")
+    if buckets.where("cells > 1").isEmpty():
+        return found
+    # every block of a large bucket also gets the bucket's leaders, a few nodes by the order of a hash
+    first = wide.groupBy("key").agg(F.min("cells").alias("cells"), *[F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node")).alias(f"l{k}") for k in range(leaders)])
+    first = first.select("key", "cells", F.explode(F.array_distinct(F.array(*[F.col(f"l{k}.node") for k in range(leaders)]))).alias("node"))
+    lead = first.select("key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("part"), F.lit(True).alias("lead"), "node")
+    rest = wide.join(first.select("key", "node"), ["key", "node"], "left_anti")
+    rest = rest.select("key", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("part"), F.lit(False).alias("lead"), "node")
+    led = stored(_bucket_links(sketched(lead.unionByName(rest)), near, same, with_open=True), "led-links")
+    # nodes linked to the most frequent leader are connected; each of the others is compared with all that are open
+    open_ = led.where("b IS NULL").select("key", F.col("a").alias("node"), "top")
+    main = open_.where("top IS NOT NULL").groupBy("key", "top").agg(F.count(F.lit(1)).alias("_n")).groupBy("key").agg(F.max_by("top", F.struct("_n", "top")).alias("main"))
+    open_ = open_.join(main, "key", "left").select("key", "node", (~F.col("top").eqNullSafe(F.col("main")) | F.col("top").isNull()).alias("out"))
+    parts = open_.groupBy("key").agg(F.count_if("out").alias("_out"), F.count(F.lit(1)).alias("_all")).where("_out > 0")
+    parts = stored(parts.select("key", *[F.ceil(F.col(c) / crowd).cast("long").alias(d) for c, d in (("_out", "cuts"), ("_all", "blocks"))]), "open-buckets")
+    open_ = open_.join(parts, "key")
+    cut, block = F.pmod(F.xxhash64("node"), F.col("cuts")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
+    outside = open_.where("out").select("key", "node", "blocks", cut.alias("cut"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("lead"))
+    inside = open_.select("key", "node", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"), block.alias("block"), F.lit(False).alias("lead"))
+    late = outside.unionByName(inside).select("key", (F.col("cut") * F.col("blocks") + F.col("block")).alias("part"), "lead", "node")
+    return found.unionByName(led.where("b IS NOT NULL").select("a", "b")).unionByName(_bucket_links(sketched(late), near, same).select("a", "b"))
 
 
 def _node_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -170,16 +271,15 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return joined.mapInArrow(run, ", ".join(["node long", *(f"{c} {kinds[c]}" for c in more), "shingles binary"]))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: int = 64, rows: int = 4, seed: int = 7, block: int = 256, leaders: int = 8) -> DataFrame:
-    """(doc, n, component) for each row of docs."""
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: int = 64, rows: int = 4, seed: int = 7, block: int = 256, leaders: int = 8, crowd: int = 4096) -> DataFrame:
+    """(doc, n, component) for each row of docs. Blocks hold about `block` nodes of a group or `crowd` of a bucket."""
     docs = docs.select("doc_id", "text")
     marks = stored(signatures(docs, width, perms, rows, seed), "signatures")
     some = marks.where("n > 0 AND doc IS NOT NULL")
-    classes = stored(some.groupBy("fp1", "fp2", "n").agg(F.min("doc").alias("node"), F.any_value("bands").alias("bands")), "set-classes")
-    members = classes.select("node", F.explode("bands").alias("key"))
-    tops = stored(members.groupBy("key").agg(F.min("node").alias("top"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", "top"), "buckets")
-    star = members.join(tops, "key").select(F.col("node").alias("a"), F.col("top").alias("b"))
-    groups = components(star, "groups")
+    classes = stored(some.groupBy("fp1", "fp2", "n").agg(F.min("doc").alias("node"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "set-classes")
+    values, apart = 2 * perms, (1 - percent / 100) * 255 / 256
+    near = int(values * apart + 6 * (values * apart * (1 - apart)) ** 0.5)
+    groups = components(_candidates(classes, near, values // 32, crowd, leaders), "groups")
 
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).select("component", F.ceil(F.col("_n") / block).cast("int").alias("blocks"))
     nodes = groups.join(stored(sizes, "group-sizes"), "component").select("node", F.col("component").alias("grp"), "blocks")
