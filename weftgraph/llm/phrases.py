@@ -11,7 +11,7 @@
 4. Each phrase carries the counts of all its beginnings and endings, read by slot; so every cut is at hand.
 
 Memory: a perfect hash holds `most_keys` keys at most, 2^20; more candidates are several hashes and as many passes
-over the (by then much smaller) places of the level before. Blocks and bins are bounded as well. Word hashes are
+over the (by then much smaller) places of the level before. Blocks, bins and row groups are bounded as well. Word hashes are
 compared with their words: a frequent word that shares its hash with another one sends the run to another seed.
 
 Defined cases: null texts are empty and have no words; a null lang is `und`, together with documents so marked;
@@ -37,6 +37,8 @@ from .substring_dedup import _mix
 #: A-Z become a-z, and every mark that ends a piece becomes a full stop.
 MARKS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz.........")
 CELLS = 1 << 20
+#: Blocks in a row group of the files.
+GROUP_ROWS = 4
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -125,9 +127,10 @@ def _token_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 
 
 def _packed(df: DataFrame, name: str) -> DataFrame:
-    """stored(), in a compression that is good at numbers."""
+    """stored(), in a compression that is good at numbers. A row is a block's, of some MB, and Spark reads the rows of a
+    row group at once, up to 4,096: so a row group holds few, and memory is the same for files of any length."""
     path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.row.count.limit", GROUP_ROWS).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
