@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, claim, col, fields, in_arrow, others
+from .common import chunks, claim, col, fields, in_arrow, others, text_parts
 
 MARK = "▁"
 #: Where a text falls into segments: a line end alone, letters with the spaces before them, other characters
@@ -290,7 +290,7 @@ class Lattice:
 
     def encode_all(self, texts: list[str], n: int = 1) -> Iterator[list[tuple[float, bytes]]]:
         """encode() of each text; segments are learned for runs of texts of about 4 million characters."""
-        for part in chunks(texts, 1 << 22):
+        for part in chunks(texts, RUN):
             if len(self.known) >= self.most or self.held > 1 << 24:
                 self.known, self.held = _Known(), 0
             number, rows = self.known.__getitem__, []
@@ -344,6 +344,8 @@ def lattice(path: str) -> Lattice:
     return _lattices[path]
 
 
+#: Bytes of text that are taken at once.
+RUN = 1 << 22
 SCHEMA = "n_pieces long, best_score double, n_found int, scores array<double>, nbest_crc32 array<long>, decoded_equal boolean"
 
 
@@ -359,18 +361,19 @@ def segmentations(docs: DataFrame, model_path: str, n: int = 4, with_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(model_path)
         for batch in batches:
-            rows, best_ids, decoded = [], [], []
-            texts = [x or "" for x in batch.column(len(names)).to_pylist()]
-            for text, found in zip(texts, model.encode_all(texts, n)):
-                again = model.decode(found[0][1])
-                rows.append((len(found[0][1]) // 4, found[0][0], len(found), [s for s, _ in found], [zlib.crc32(x) for _, x in found], again == text))
-                if with_ids:
-                    best_ids.append(np.frombuffer(found[0][1], "<i4"))
-                    decoded.append(again)
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = (pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_())
-            out = [*(batch.column(k) for k in range(len(names))), *(pa.array(c, k) for c, k in zip(columns, kinds))]
-            yield pa.RecordBatch.from_arrays(out + ([pa.array(best_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if with_ids else []), names=[*names, *(x.split()[0] for x in SCHEMA.split(", ")), *(["ids", "text"] if with_ids else [])])
+            for part, texts in text_parts(batch.column(len(names)), RUN):  # so that what is found is sent on, and never that of a whole batch held
+                rows, best_ids, decoded = [], [], []
+                texts = [x.decode() if x else "" for x in texts]
+                for text, found in zip(texts, model.encode_all(texts, n)):
+                    again = model.decode(found[0][1])
+                    rows.append((len(found[0][1]) // 4, found[0][0], len(found), [s for s, _ in found], [zlib.crc32(x) for _, x in found], again == text))
+                    if with_ids:
+                        best_ids.append(np.frombuffer(found[0][1], "<i4"))
+                        decoded.append(again)
+                columns = list(zip(*rows)) or [()] * 6
+                kinds = (pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_())
+                out = [*(batch.column(k)[part.start : part.stop] for k in range(len(names))), *(pa.array(c, k) for c, k in zip(columns, kinds))]
+                yield pa.RecordBatch.from_arrays(out + ([pa.array(best_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if with_ids else []), names=[*names, *(x.split()[0] for x in SCHEMA.split(", ")), *(["ids", "text"] if with_ids else [])])
 
     schema = ", ".join([*filter(None, [fields(docs, names)]), SCHEMA, *(["ids array<int>, text string"] if with_ids else [])])
     return in_arrow(docs.select(*map(col, names), "text"), run, schema)
